@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folioscan.llm import language_id, minhash_dedup, packing, topk_search, url_filter
+from folioscan.llm import language_id, minhash_dedup, packing, suffix_dedup, topk_search, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
@@ -91,6 +95,22 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM hits WHERE k = 1
 """
 
+_OP4 = """
+WITH docs AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents)
+, starts AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 399)) AS p, h FROM docs WHERE length(h) >= 800)
+, hashed AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS m FROM starts)
+, twice AS (SELECT m FROM hashed GROUP BY m HAVING count(*) > 1)
+, hits AS (SELECT doc_id, p FROM hashed SEMI JOIN twice USING (m))
+, runs AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM hits)
+, numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM runs)
+, spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 400 AS b FROM numbered GROUP BY 1, 2)
+, cuts AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS ends, [0] || list(b ORDER BY a) AS begins FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(unhex(h)) ELSE sha256(unhex(array_to_string(list_transform(range(1, len(begins) + 1),
+    lambda i: substr(h, 2 * begins[i] + 1, 2 * (coalesce(ends[i], length(h) // 2) - begins[i]))), ''))) END AS kept_sha256
+FROM docs d LEFT JOIN cuts USING (doc_id)
+"""
+
 _OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))
@@ -103,8 +123,9 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_minhash": op3_minhash,
+    "op4_suffix": op4_suffix,
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {"op1_url_filter": _OP1, "op3_minhash": _OP3, "op8_topk": _OP8}
+SQL: dict[str, str] = {"op1_url_filter": _OP1, "op3_minhash": _OP3, "op4_suffix": _OP4, "op8_topk": _OP8}
