@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folioscan.llm import language_id, minhash_dedup, packing, suffix_dedup, topk_search, url_filter
+from folioscan.llm import embedding_dedup, language_id, minhash_dedup, packing, suffix_dedup, topk_search, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=400, digest=True)
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.range_links(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
@@ -62,6 +66,22 @@ _REACH = """
 , low AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 """
 
+_OP2 = (
+    """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+, vertices AS (SELECT vec_id AS id FROM embeddings)
+, links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND len(p.e) = len(q.e)
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.9)
+"""
+    + _REACH
+    + """
+, n AS (SELECT a AS id, count(*) AS n FROM sym GROUP BY 1)
+SELECT low.id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, low.id = component_id AS kept FROM low LEFT JOIN n USING (id)
+"""
+)
+
 _OP3 = (
     r"""
 WITH RECURSIVE words AS (
@@ -122,10 +142,11 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_embedding": op2_embedding,
     "op3_minhash": op3_minhash,
     "op4_suffix": op4_suffix,
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {"op1_url_filter": _OP1, "op3_minhash": _OP3, "op4_suffix": _OP4, "op8_topk": _OP8}
+SQL: dict[str, str] = {"op1_url_filter": _OP1, "op2_embedding": _OP2, "op3_minhash": _OP3, "op4_suffix": _OP4, "op8_topk": _OP8}
