@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folioscan.llm import embedding_dedup, language_id, minhash_dedup, packing, suffix_dedup, topk_search, url_filter
+from folioscan.llm import embedding_dedup, language_id, license_scan, minhash_dedup, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search, url_filter
+from folioscan.llm.common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +39,31 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.range_links(_read(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"), license_scan.NOTICES)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the documents' token streams as blocks, scans them, and puts the ids back beside the counts."""
+    import public_tokenizers
+
+    end_id = 50256
+    stream = token_counts.token_stream(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id)
+    blocks = Scratch(spark, "tokens").table(stream, "blocks")
+    counts = token_counts.count_tokens(blocks, end_id)
+    # The n-th document that ends in a block is the n-th that the writer named for it.
+    named = blocks.select("file", "block", F.posexplode("ids").alias("i", "doc_id"))
+    firsts = counts.groupBy("file", "block").agg(F.min("doc_index").alias("first"))
+    named = named.join(firsts, ["file", "block"]).select("file", (F.col("first") + F.col("i")).alias("doc_index"), "doc_id")
+    return counts.join(named, ["file", "doc_index"]).select("doc_id", "file", "doc_index", "start", "n_tokens")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
@@ -131,6 +157,28 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
 FROM docs d LEFT JOIN cuts USING (doc_id)
 """
 
+def _licenses_sql(k: int = 5, percent: int = 80) -> str:
+    """Every window of every text against every template, by the shingles that both hold."""
+    rows = []
+    for t in license_scan.NOTICES:
+        words = license_scan.template_words(t.text)
+        size, step = license_scan.window(len(words))
+        grams = sorted({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)})
+        rows += [f"('{t.name}', '{g}', {len(grams)}, {size}, {step})" for g in grams]
+    return f"""
+WITH t(template, gram, n, size, step) AS (VALUES {", ".join(rows)})
+, w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS words FROM documents)
+, g AS (SELECT doc_id, unnest(range(1, len(words) - {k - 2})) AS i, words FROM w WHERE len(words) >= {k})
+, hits AS (SELECT doc_id, template, gram, n, size, step, i - 1 AS p FROM g JOIN t ON array_to_string(words[i : i + {k - 1}], ' ') = gram)
+, windows AS (SELECT *, unnest(range(0, p + 1, step)) AS start FROM hits)
+, held AS (SELECT doc_id, template, n, start, count(DISTINCT gram) AS c FROM windows WHERE p + {k} <= start + size GROUP BY ALL)
+, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY c DESC, start) AS r FROM held WHERE c * 100 >= n * {percent})
+SELECT doc_id, template, CAST(start AS BIGINT) AS start_word, CAST(c AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_shingles FROM best WHERE r = 1
+"""
+
+
+_OP6 = _licenses_sql()
+
 _OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))
@@ -145,8 +193,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding": op2_embedding,
     "op3_minhash": op3_minhash,
     "op4_suffix": op4_suffix,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_licenses": op6_licenses,
+    "op7_token_counts": op7_token_counts,
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {"op1_url_filter": _OP1, "op2_embedding": _OP2, "op3_minhash": _OP3, "op4_suffix": _OP4, "op8_topk": _OP8}
+SQL: dict[str, str] = {"op1_url_filter": _OP1, "op2_embedding": _OP2, "op3_minhash": _OP3, "op4_suffix": _OP4, "op6_licenses": _OP6, "op8_topk": _OP8}
