@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words kept with their ids in one Python worker; the cache starts anew beyond that.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Where single spaces and line feeds aren't the only white space, or two of them touch, words depend on one another.
 _UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]")
 
