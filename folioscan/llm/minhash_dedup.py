@@ -32,8 +32,8 @@ from folioscan.llm.textcodes import shingle_sets
 
 #: Most pairs one confirming task group reads against one centre.
 PAIRS_A_GROUP = 512
-#: Members of a bucket that one task holds while others are tried against them.
-MEMBERS = 2048
+#: Members of a group of buckets that one task holds while others are tried against them.
+MEMBERS = 512
 #: Coordinates of the brief sketches that members of different components are compared by, and the standard deviations by which one may
 #: fall short of the similarity before a pair is passed over (chance 3 in a million).
 BRIEF, SHORT = 512, 4.5
@@ -103,7 +103,7 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, np.zeros(0, dtype=U64)
         for batch in batches:
-            us, vs, near, linked = [], [], [], []
+            us, vs = [], []
             for a, b, codes in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 codes = np.frombuffer(codes.as_buffer(), dtype=U64)
                 if b is None:
@@ -114,18 +114,16 @@ def _confirm(percent: int):
                 at = np.searchsorted(own, codes)
                 at[at == len(own)] = 0
                 both = int(np.count_nonzero(own[at] == codes)) if len(own) else 0
-                every = len(own) + len(codes) - both
-                us.append(a)
-                vs.append(b)
-                near.append(both / max(every, 1))
-                linked.append(both > 0 and 100 * both >= percent * every)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(near, pa.float64()), pa.array(linked, pa.bool_())], names=["u", "v", "near", "linked"])
+                if both and 100 * both >= percent * (len(own) + len(codes) - both):
+                    us.append(a)
+                    vs.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
 def _compact(t: int):
-    """Batches (id, codes) to (id, brief): the sketch of each set, one byte per coordinate."""
+    """Batches (id, codes) to (id, brief, codes): the sketch of each set, one byte per coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,82 +131,91 @@ def _compact(t: int):
                 part = batch.slice(at, 256)
                 brief = sketch([np.frombuffer(c.as_buffer(), dtype=U64) for c in part.column(1)], t)
                 brief = (mix64(brief) >> U64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in brief], pa.binary())], names=["id", "brief"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in brief], pa.binary()), part.column(1)], names=["id", "brief", "codes"])
 
     return run
 
 
 def _across(percent: int, t: int):
-    """Streams members sorted by (key, block, probe last) to pairs (a, b) of different components that may be similar enough."""
+    """Streams members sorted by (group, block, probe last) to links (u, v) of different components: one for each probe and component that it links with."""
     least = percent / 100
     agree = t * (least + (1 - least) / 256) - SHORT * np.sqrt(t * least * (1 - least))
 
-    def pairs(home: list[tuple], probes: list[tuple]) -> np.ndarray:
-        ids, component, n, near, outer = (np.array(c) for c in list(zip(*home, strict=True))[:5])
-        brief = np.frombuffer(b"".join(h[5] for h in home), dtype=np.uint8).reshape(len(home), t)
-        out = []
-        for i, c, size, close, _, sketch_ in probes:
-            fits = (component != c) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & (np.abs(near - close) <= 1 - least + 1e-9) & (~outer | (ids > i))
-            rows = np.flatnonzero(fits)
-            if len(rows):
-                rows = rows[(brief[rows] == np.frombuffer(sketch_, dtype=np.uint8)).sum(axis=1) >= agree]
-                out.append(np.column_stack([np.minimum(ids[rows], i), np.maximum(ids[rows], i)]))
-        return np.unique(np.vstack(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, home, probes, found = None, [], [], []
+        task, home, arrays = None, [], None
+        us, vs = [], []
 
-        def settle() -> None:
-            if home and probes:
-                found.append(pairs(home, probes))
-            probes.clear()
+        def hold(i: int, c: int, brief: bytes, codes: bytes) -> None:
+            own = np.frombuffer(codes, dtype=U64)
+            ids, component, sizes, outer, briefs = arrays
+            fits = (component != c) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))) & (~outer | (ids > i))
+            rows = np.flatnonzero(fits)
+            if not len(rows):
+                return
+            same = np.count_nonzero(briefs[rows] == np.frombuffer(brief, dtype=np.uint8), axis=1)
+            rows, same = rows[same >= agree], same[same >= agree]
+            done = set()
+            for r in rows[np.argsort(-same, kind="stable")].tolist():
+                if component[r] in done:
+                    continue
+                other = np.frombuffer(home[r][4], dtype=U64)
+                at = np.searchsorted(own, other)
+                at[at == len(own)] = 0
+                both = int(np.count_nonzero(own[at] == other))
+                if both and 100 * both >= percent * (len(own) + len(other) - both):
+                    done.add(component[r])
+                    us.append(i)
+                    vs.append(int(ids[r]))
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(9)]
-            for key, block, probe, *member in zip(*columns, strict=True):
-                if (key, block) != task:
-                    settle()
-                    task, home = (key, block), []
-                if probe:
-                    probes.append(member)
-                    if len(probes) >= MEMBERS:
-                        settle()
-                else:
-                    home.append(member)
-            if sum(map(len, found)) > 10_000:
-                every = np.unique(np.vstack(found), axis=0)
-                found = []
-                yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
-        settle()
-        every = np.unique(np.vstack([np.zeros((0, 2), np.int64), *found]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for group, block, probe, i, component, outer, brief, codes in zip(*columns, strict=True):
+                if (group, block) != task:
+                    task, home, arrays = (group, block), [], None
+                if not probe:
+                    home.append((i, component, outer, brief, codes))
+                    continue
+                if not home:
+                    continue
+                if arrays is None:
+                    arrays = (
+                        np.array([h[0] for h in home]), np.array([h[1] for h in home]), np.array([len(h[4]) // 8 for h in home]), np.array([h[2] for h in home]),
+                        np.frombuffer(b"".join(h[3] for h in home), dtype=np.uint8).reshape(len(home), t),
+                    )
+                hold(i, component, brief, codes)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            us.clear()
+            vs.clear()
 
     return run
 
 
 def _apart(placed: DataFrame, sets: DataFrame, percent: int, t: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members (key, id, n_shingles, near, component_id) of a bucket that lie in different components and may be similar enough.
+    """Links (u, v) between members (key, a, id, component_id) of buckets that lie in different components.
 
-    All members of a bucket are dealt to blocks. Those outside the bucket's largest component go to each block and are held against its members, so
-    members of the largest component, most of a hot bucket, never meet one another.
+    Buckets that share members form a group, so that each member's set travels once, not once for each bucket. A group's members are dealt to blocks;
+    those outside its largest component go to each block and are held against its members. Members of the largest component, most of a hot
+    group, never meet one another. Pairs are weighed by brief sketches, then confirmed on full sets where they are; only links are emitted.
     """
     spark = placed.sparkSession
-    groups = placed.groupBy("key", "component_id").agg(F.count("*").alias("n"))
-    mixed = groups.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("groups"), F.max(F.struct("n", "component_id")).alias("top")).where("groups > 1 and all > 2")
-    mixed = mixed.select("key", (F.floor((F.col("all") - 1) / MEMBERS) + 1).cast("int").alias("blocks"), F.col("top.component_id").alias("top"))
-    members = scratch.table(placed.join(mixed, "key").withColumn("outer", F.col("component_id") != F.col("top")).drop("top"), "apart")
-    ids = members.select("id").distinct()
-    briefs = scratch.table(sets.join(ids, "id", "left_semi").mapInArrow(_compact(t), "id long, brief binary"), "briefs")
-    full = members.join(briefs, "id")
-    columns = ["id", "component_id", "n_shingles", "near", "outer", "brief"]
-    home = full.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), *columns)
-    probes = full.where("outer").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
-    ordered = home.unionByName(probes).repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block", "probe")
-    return ordered.mapInArrow(_across(percent, t), "a long, b long").distinct()
+    mixed = placed.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
+    members = scratch.table(placed.join(mixed, "key", "left_semi").select("a", "id", "component_id").distinct(), "apart")
+    groups = connected_components(members.select(F.col("a").alias("u"), F.col("id").alias("v")), scratch).withColumnRenamed("component_id", "group")
+    grouped = scratch.table(members.select("id", "component_id").distinct().join(groups, "id"), "groups")
+    sizes = grouped.groupBy("group", "component_id").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component_id")).alias("top"))
+    sizes = sizes.select("group", (F.floor((F.col("all") - 1) / MEMBERS) + 1).cast("int").alias("blocks"), F.col("top.component_id").alias("top"))
+    placed_ = grouped.join(sizes, "group").withColumn("outer", F.col("component_id") != F.col("top"))
+    briefs = sets.join(grouped.select("id"), "id", "left_semi").mapInArrow(_compact(t), "id long, brief binary, codes binary")
+    full = scratch.table(placed_.join(briefs, "id"), "members")
+    columns = ["id", "component_id", "outer", "brief", "codes"]
+    home = full.select("group", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), *columns)
+    probes = full.where("outer").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
+    ordered = home.unionByName(probes).repartition(partitions(spark), "group", "block").sortWithinPartitions("group", "block", "probe", "id")
+    return ordered.mapInArrow(_across(percent, t), "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) as (u, v) with the similarity of their full sets and whether it links them, and the sets. A centre with many partners is dealt to parts."""
+    """The pairs (a, b) whose full sets are similar enough, as links (u, v), and the sets. A centre with many partners is dealt to parts."""
     spark = docs.sparkSession
     ids = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = scratch.table(docs.join(maybe_broadcast(ids), "id", "left_semi").mapInArrow(_sets(k), "id long, codes binary"), "sets")
@@ -218,7 +225,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     left = centres.join(sets, F.col("a") == sets["id"]).select("a", "part", "b", "codes")
     right = dealt.join(sets, F.col("b") == sets["id"]).select("a", "part", "b", "codes")
     streams = left.unionByName(right).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first(), "codes")
-    return streams.mapInArrow(_confirm(percent), "u long, v long, near double, linked boolean"), sets
+    return streams.mapInArrow(_confirm(percent), "u long, v long"), sets
 
 
 def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,19 +241,14 @@ def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: in
     shared = scratch.table(buckets.join(least, "key").select("key", "a", "id", "n_shingles"), "buckets")
     tried = scratch.table(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
     tested, sets = _verified(tried, plain, k, percent, scratch)
-    held = scratch.table(tested, "held")
-    links = held.where("linked").select("u", "v")
+    links = scratch.table(tested, "links")
     merged = connected_components(links, scratch)
 
-    # What the stars left apart: members of a bucket that lie in different components. Jaccard distance is a metric, and both distances to
-    # the bucket's least member are known exactly, so pairs that these rule out aren't tried; nor are those whose sketches are far apart.
-    placed = shared.join(held.select(F.col("u").alias("a"), F.col("v").alias("id"), "near"), ["a", "id"], "left").join(merged, "id", "left")
-    placed = placed.select("key", "id", "n_shingles", F.coalesce("near", F.lit(1.0)).alias("near"), F.coalesce("component_id", "id").alias("component_id"))
-    placed = scratch.table(placed, "placed")
-    more = scratch.table(_apart(placed, sets, percent, BRIEF, scratch), "more")
+    # What the stars left apart: members of a bucket that lie in different components.
+    placed = shared.select("key", "a", "id").join(merged, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    more = scratch.table(_apart(scratch.table(placed, "placed"), sets, percent, BRIEF, scratch), "more")
     if not more.isEmpty():
-        links = links.unionByName(scratch.table(_verified(more, plain, k, percent, scratch)[0], "held").where("linked").select("u", "v"))
-        merged = connected_components(links, scratch)
+        merged = connected_components(links.unionByName(more), scratch)
 
     groups = classes.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     groups = scratch.table(groups, "groups")
