@@ -20,9 +20,9 @@ def _ask(spark, rows):
 
 
 def test_image_names(spark):
-    rows = spark.createDataFrame([("SWM 2016.pdf", 7), ("a.pdf.pdf", 12345), ("X.PDF", 1)], "s string, p int")
+    rows = spark.createDataFrame([("Big Plan.pdf", 7), ("a.pdf.pdf", 12345), ("X.PDF", 1)], "s string, p int")
     got = [r[0] for r in rows.select(names.image_name(F.col("s"), F.col("p"))).collect()]
-    assert got == ["swm_2016__page_0007.png", "a__page_12345.png", "x.pdf__page_0001.png"]
+    assert got == ["big_plan__page_0007.png", "a__page_12345.png", "x.pdf__page_0001.png"]
 
 
 def test_zero_vector_stays_zero(spark):
