@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: A join side is broadcast only when a count has shown it to hold at most so many narrow rows.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch between JVM and Python while a written table is made: several copies of a batch are held on both sides.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,7 +40,15 @@ class Scratch:
         """Writes df as Parquet and reads it back: later steps restart from the files if executors are lost."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH, None)
+        self.spark.conf.set(_BATCH, str(BATCH_BYTES))
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_BATCH)
+            else:
+                self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _remove(self) -> None:
