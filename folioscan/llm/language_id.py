@@ -126,12 +126,16 @@ def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4
     return LanguageModel(langs, cents, idf, {lang: reject_share * v for lang, v in near.items()})
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, keep: int, at: int):
+    """Batches of keep columns, the text in column at, to those columns and the model's verdicts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                found = [model.predict(t.as_py()) for t in part.column(at)]
+                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *columns], names=[*part.schema.names[:keep], "lang_pred", "score", "rejected"])
 
     return run
 
@@ -139,6 +143,8 @@ def _predict(model: LanguageModel):
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of every row, with lang_pred, score and rejected. Kept columns of those names are replaced."""
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected")]
-    plain = docs.select(*keep, F.col(text_col).alias("__text__"))
+    # A kept text travels once.
+    plain = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text__"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return plain.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, rejected boolean")
+    return plain.mapInArrow(_predict(model, len(keep), at), f"{schema}, lang_pred string, score double, rejected boolean")
