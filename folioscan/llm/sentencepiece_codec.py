@@ -14,7 +14,9 @@ are coded each. Empty table: no rows. Decoding undoes encoding up to the model's
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,13 +60,14 @@ class PieceCodec:
         self.fits: dict[tuple[str, str], bool] = {}
         # Pieces that merging builds from their letters, and the lengths of those that end in given two letters.
         self.built = {p for p in self.ids if len(p) > 1 and self.bpe and self._merge(p) == [p]}
+        self.steps = {p: self._edges(p) for p in self.built}
         lengths: dict[str, set[int]] = {}
         for p in self.built:
             lengths.setdefault(p[-2:], set()).add(len(p))
         self.ends = {end: sorted(found, reverse=True) for end, found in lengths.items()}
 
-    def _merge(self, text: str) -> list[str]:
-        """The BPE encoding of a short string by merging: best score first, then leftmost."""
+    def _merges(self, text: str) -> Iterator[tuple[float, list[str]]]:
+        """The merges of a short string, best score first, then leftmost: score and the parts after it."""
         parts = list(text)
         while len(parts) > 1:
             best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ids), default=None)
@@ -72,13 +75,44 @@ class PieceCodec:
                 break
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            yield best[0], parts
+
+    def _merge(self, text: str) -> list[str]:
+        """The BPE encoding of a short string by merging."""
+        found = list(text)
+        for _, parts in self._merges(text):
+            found = parts
+        return found
+
+    def _edges(self, piece: str) -> list[tuple[float, str, str]]:
+        """The merges that build a piece: score, then its first and last part after it."""
+        return [(score, parts[0], parts[-1]) for score, parts in self._merges(piece)]
 
     def _beside(self, a: str, b: str) -> bool:
+        """Whether a + b encodes as these two pieces: replays the merges of both, which no merge across the border may precede."""
         if len(self.fits) >= CACHE_PAIRS:
             self.fits.clear()
-        found = self.fits[a, b] = self._merge(a + b) == [a, b]
-        return found
+        left, right = self.steps.get(a, ()), self.steps.get(b, ())
+        i = j = 0
+        end, begin = a[-1], b[0]
+        while True:
+            p = left[i][0] if i < len(left) else -math.inf
+            q = right[j][0] if j < len(right) else -math.inf
+            across = self.scores.get(end + begin)
+            if across is not None and across > p and across >= q:
+                fit = False
+                break
+            if i == len(left) and j == len(right):
+                fit = True
+                break
+            if p >= q:
+                end = left[i][2]
+                i += 1
+            else:
+                begin = right[j][1]
+                j += 1
+        self.fits[a, b] = fit
+        return fit
 
     def _forward(self, word: str, states: list, start: int) -> None:
         """Appends the states of word's prefixes over start letters: (length of the last piece, score)."""
@@ -120,7 +154,7 @@ class PieceCodec:
             else:
                 out.append(self.unknown)
             i -= n
-        return np.array(out[::-1], dtype="<i4").tobytes()
+        return array("i", out[::-1]).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that aren't known yet, in trie order."""
@@ -171,7 +205,7 @@ def loaded(path: str) -> PieceCodec:
     return _loaded[path]
 
 
-def _small(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _small(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of rows with some limit bytes of text each; one row at least."""
     first, size = 0, 0
     for i, t in enumerate(column):
