@@ -114,61 +114,65 @@ class PieceCodec:
         self.fits[a, b] = fit
         return fit
 
-    def _forward(self, word: str, states: list, start: int) -> None:
-        """Appends the states of word's prefixes over start letters: (length of the last piece, score)."""
+    def _forward(self, word: str, states: list[int], scores: list[float], start: int) -> None:
+        """Appends the states of word's prefixes over start letters: length of the last piece, and for unigram models the best score."""
         if self.bpe:
             built, ends, fits = self.built, self.ends, self.fits
             for i in range(start + 1, len(word) + 1):
                 chosen = 1
-                for n in ends.get(word[i - 2 : i], ()) if i > 1 else ():
-                    if n <= i and (piece := word[i - n : i]) in built:
-                        if i == n:
-                            chosen = n
-                            break
-                        j = i - n
-                        pair = (word[j - states[j][0] : j], piece)
-                        fit = fits.get(pair)
-                        if self._beside(*pair) if fit is None else fit:
-                            chosen = n
-                            break
-                states.append((chosen, 0.0))
+                if lengths := ends.get(word[i - 2 : i] if i > 1 else ""):
+                    for n in lengths:
+                        if n <= i and (piece := word[i - n : i]) in built:
+                            j = i - n
+                            if not j:
+                                chosen = n
+                                break
+                            pair = (word[j - states[j] : j], piece)
+                            fit = fits.get(pair)
+                            if self._beside(*pair) if fit is None else fit:
+                                chosen = n
+                                break
+                states.append(chosen)
             return
         for i in range(start + 1, len(word) + 1):
-            best = (1, states[i - 1][1] + self.scores.get(word[i - 1], self.penalty))
+            best, chosen = scores[i - 1] + self.scores.get(word[i - 1], self.penalty), 1
             for n in range(2, min(self.longest, i) + 1):
                 score = self.scores.get(word[i - n : i])
-                if score is not None and states[i - n][1] + score > best[1]:
-                    best = (n, states[i - n][1] + score)
-            states.append(best)
+                if score is not None and scores[i - n] + score > best:
+                    best, chosen = scores[i - n] + score, n
+            states.append(chosen)
+            scores.append(best)
 
-    def _ids(self, word: str, states: list) -> bytes:
+    def _ids(self, word: str, states: list[int]) -> bytes:
         out: list[int] = []
-        i = len(word)
+        ids, i = self.ids, len(word)
         while i:
-            n = states[i][0]
+            n = states[i]
             piece = word[i - n : i]
-            if piece in self.ids:
-                out.append(self.ids[piece])
+            found = ids.get(piece)
+            if found is not None:
+                out.append(found)
             elif self.bytes:
                 out.extend(self.bytes[b] for b in reversed(piece.encode()))
             else:
                 out.append(self.unknown)
             i -= n
-        return array("i", out[::-1]).tobytes()
+        out.reverse()
+        return array("i", out).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that aren't known yet, in trie order."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        before, states = "", [(0, 0.0)]
+        before, states, scores = "", [0], [0.0]
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del states[shared + 1 :]
-            self._forward(word, states, shared)
+            del states[shared + 1 :], scores[shared + 1 :]
+            self._forward(word, states, scores, shared)
             self.known[word] = self._ids(word, states)
             before = word
 
@@ -205,7 +209,7 @@ def loaded(path: str) -> PieceCodec:
     return _loaded[path]
 
 
-def _small(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _small(column: pa.Array, limit: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Ranges of rows with some limit bytes of text each; one row at least."""
     first, size = 0, 0
     for i, t in enumerate(column):
