@@ -29,8 +29,8 @@ from folioscan.llm.common import Scratch, partitions
 from folioscan.llm.components import connected_components
 from folioscan.llm.vectors import matrices
 
-#: Home vectors and vectors held against them in one task.
-BLOCK, WIDE = 4096, 32_768
+#: Home vectors (fewer where they are long) and vectors held against them in one task, and bytes of home vectors.
+BLOCK, WIDE, HOME_BYTES = 16_384, 32_768, 8 << 20
 #: Vectors a cell should have, and pivots at most (what the driver gathers and every task holds).
 CELL, PIVOTS = 8192, 1024
 _MARGIN = 1e-4
@@ -225,7 +225,8 @@ def range_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     placed = scratch.table(classes.select("id", "vector", "weight").mapInArrow(_place(pivots), "id long, vector binary, weight long, cell int, angle double"), "placed")
     cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
     radius = {r["cell"]: r["radius"] + 1e-9 for r in cells}
-    grid = {r["cell"]: (-(-r["n"] // block), -(-total // wide)) for r in cells}
+    held = {c: max(1, min(block, HOME_BYTES // (8 * n))) for n, (first, p) in pivots.items() for c in range(first, first + len(p))}
+    grid = {r["cell"]: (-(-r["n"] // held[r["cell"]]), -(-total // wide)) for r in cells}
     dealt = placed.mapInArrow(_replicate(pivots, radius, grid, theta), "cell int, h int, w int, home boolean, id long, weight long, vector binary")
     ordered = dealt.repartition(partitions(spark), "cell", "h", "w").sortWithinPartitions("cell", "h", "w", F.col("home").desc())
     found = scratch.table(ordered.mapInArrow(_join(least), "id long, links long, to long"), "links")
