@@ -82,28 +82,30 @@ def scan_licenses(docs: DataFrame, templates: Sequence[LicenseTemplate], k: int
     words = {t.name: template_words(t.text) for t in templates}
     if len(words) != len(templates) or any(len(w) < k for w in words.values()) or len(templates) > MAX_TEMPLATES:
         raise ValueError(f"templates need distinct names and {k} words each, and there may be {MAX_TEMPLATES}")
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
-    found = None
+    if not words:
+        return spark.createDataFrame([], f"{id_col} long, template string, start_word long, n_shared long, n_shingles long")
+    # Templates of one length form a group; all groups' windows come from one reading of the text.
+    cuts, keys_of, any_key, table = [], None, set(), None
     for n in sorted({len(w) for w in words.values()}):
         names = sorted(t for t, w in words.items() if len(w) == n)
         size, step = window(n)
         keys = sorted(set().union(*(anchors(words[t], k, percent) for t in names)))
+        any_key |= set(keys)
         counts = {t: len({tuple(words[t][i : i + k]) for i in range(n - k + 1)}) for t in names}
         bands = max(band_count(n, counts[t], k, percent, miss) for t in names)
-        table = spark.createDataFrame([(t, words[t]) for t in names], "template string, words array<string>")
-        table = table.withColumn("shingles", _shingles(F.col("words"), k)).withColumn("key", F.explode(_minima(F.col("shingles"), bands))).select("template", "shingles", "key")
-        held = rows.where(F.col("text").rlike("|".join(keys))).select("id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
-        starts = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, size).alias("part")))
-        kept = F.filter(cut, lambda w: F.arrays_overlap(w["part"], F.array(*map(F.lit, keys))))
-        windows = held.select("id", F.explode(kept).alias("w")).select("id", F.col("w.start").alias("start"), _shingles(F.col("w.part"), k).alias("own"))
-        keyed = windows.select("id", "start", "own", F.explode(F.array_distinct(_minima(F.col("own"), bands))).alias("key"))
-        hits = keyed.join(F.broadcast(table), "key")
-        shared = F.size(F.array_intersect("own", "shingles"))
-        part = hits.select("id", "template", "start", shared.alias("n_shared"), F.size("shingles").alias("n_shingles")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"{id_col} long, template string, start_word long, n_shared long, n_shingles long")
+        part = spark.createDataFrame([(n, t, words[t]) for t in names], "length int, template string, words array<string>")
+        part = part.withColumn("shingles", _shingles(F.col("words"), k)).select("length", "template", "shingles", F.explode(_minima(F.col("shingles"), bands)).alias("key"))
+        table = part if table is None else table.unionByName(part)
+        keys_of = (F if keys_of is None else keys_of).when(F.col("length") == n, _minima(F.col("own"), bands))
+        starts = F.when(F.col("text").rlike("|".join(keys)) & (F.size("words") >= k), F.sequence(F.lit(0), F.size("words") - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        cut = F.transform(starts, lambda s: F.struct(F.lit(n).alias("length"), s.alias("start"), F.slice("words", s + 1, size).alias("part")))
+        cuts.append(F.filter(cut, lambda w: F.arrays_overlap(w["part"], F.array(*map(F.lit, keys)))))
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where(F.col("text").rlike("|".join(sorted(any_key))))
+    held = rows.select("id", "text", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
+    windows = held.select("id", F.explode(F.flatten(F.array(*cuts))).alias("w")).select("id", F.col("w.length").alias("length"), F.col("w.start").alias("start"), _shingles(F.col("w.part"), k).alias("own"))
+    keyed = windows.select("id", "length", "start", "own", F.explode(F.array_distinct(keys_of)).alias("key"))
+    hits = keyed.join(F.broadcast(table), ["length", "key"])
+    found = hits.select("id", "template", "start", F.size(F.array_intersect("own", "shingles")).alias("n_shared"), F.size("shingles").alias("n_shingles")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
     best = found.groupBy("id", "template").agg(F.max(F.struct("n_shared", (-F.col("start")).alias("back"), "n_shingles")).alias("b"))
     return best.select(F.col("id").alias(id_col), "template", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_shared").cast("long").alias("n_shared"), F.col("b.n_shingles").cast("long").alias("n_shingles"))
 
