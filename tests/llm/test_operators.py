@@ -194,6 +194,9 @@ def test_licenses(spark):
     assert set(got) == {(n, "GPL-3.0"), (n + 1, "GPL-3.0"), (n + 3, "GPL-3.0"), (n + 5, "MIT")}
     assert all(shared == of for _, shared, of in got.values()) and 90 <= got[n, "GPL-3.0"][0] <= 97
     assert license_scan.scan_licenses(_docs(spark, []), license_scan.NOTICES).count() == 0
+    assert license_scan.scan_licenses(_docs(spark, texts), []).count() == 0
+    plan = license_scan.scan_licenses(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), license_scan.NOTICES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Python" not in plan and "Arrow" not in plan
     with pytest.raises(ValueError):
         license_scan.scan_licenses(_docs(spark, texts), [license_scan.LicenseTemplate("a", "too short")])
 
