@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere, too."""
-    cut = suffix_dedup.remove_repeats(docs, length=400, keep=["doc_id", "lang", "source"])
+    """Texts without the strings of 400 bytes and the passages of over 50 words that occur elsewhere, too."""
+    cut = suffix_dedup.remove_repeats(docs, length=400, keep=["doc_id", "lang", "source"], n_words=51)
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

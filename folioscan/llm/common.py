@@ -34,7 +34,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/folioscan-{name}-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(self._remove)
+        atexit.register(self.remove)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and reads it back: later steps restart from the files if executors are lost."""
@@ -51,7 +51,7 @@ class Scratch:
                 self.spark.conf.set(_BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _remove(self) -> None:
+    def remove(self) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.root)

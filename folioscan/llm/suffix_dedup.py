@@ -14,6 +14,9 @@ minimiser). So instead of all suffixes, one in some `length / 2` is sorted, and
    in bands that narrow from level to level, down to single strings, each level a map-side combined count. This is exact as well.
 4. Repeated strings join into spans for each distinct text, and texts are cut where they are.
 
+Passages of so many words are found alike, in texts of `CODE` bytes a word: a passage of n words repeats where the n * CODE bytes of its
+words' codes do. Words are what ASCII white space parts, case and all; the white space between them doesn't count.
+
 Texts are UTF-8 bytes; null is empty. Texts under `length` bytes never change. Strings are judged on the input. Repeated rows are occurrences
 of their own. Ids may be null or repeat. Empty table: no rows.
 """
@@ -25,13 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import U64, Scratch, mix64, partitions
-from folioscan.llm.textcodes import _power
+from folioscan.llm.textcodes import _SPACE, _power
 
 GRAM = 32
+#: Bytes of a word's code: different words share one with probability 2**-48.
+CODE = 6
 #: Contexts of one gram that one task sorts at most.
 GROUP = 512
 #: Bytes of a text sampled at once.
@@ -80,6 +85,37 @@ def sample(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray,
     return np.concatenate(places), np.concatenate(grams), np.concatenate(contexts)
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of one text begin and end, and their codes."""
+    begins, ends, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    at = 0
+    while at < len(data):
+        to = min(at + PIECE, len(data))
+        while to < len(data) and not _SPACE[data[to]]:
+            more = np.flatnonzero(_SPACE[data[to : to + PIECE]])
+            to = to + int(more[0]) if len(more) else min(to + PIECE, len(data))
+        buf = data[at:to]
+        edge = np.diff(np.concatenate(([False], ~_SPACE[buf], [False])).astype(np.int8))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, inverse = _power(len(buf))
+        sums = np.zeros(len(buf) + 1, dtype=U64)
+        np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
+        codes.append(mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U64) * U64(0xA0761D6478BD642F)))
+        begins.append(begin + at)
+        ends.append(end + at)
+        at = to
+    return np.concatenate(begins), np.concatenate(ends), np.concatenate(codes)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc, key, text) to (doc, key, codes of the text's words)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            codes = [words(np.frombuffer(t.as_buffer(), dtype=np.uint8))[2].view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes() for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary())], names=["doc", "key", "codes"])
+
+
 def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Common-prefix intervals (length, first, end) of a suffix array by a stack scan, inner before outer; lcp[i]: of suffixes i and i+1."""
     stack: list[tuple[int, int]] = []
@@ -288,14 +324,17 @@ def _by_hash(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     return found.groupBy("gram", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(docs with a column __key__, spans): spans has, for each text key with repeats, its array of (low, high) byte ranges, which may overlap."""
+def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs with a column __key__, spans): spans has, for each text key with repeats, its array of (low, high) byte ranges, which may overlap.
+
+    key: what tells texts apart; their MD5 by default.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     reach = length - GRAM
     if reach < GRAM:
         raise ValueError(f"length has to be {2 * GRAM} at least")
-    key = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    key = F.unhex(F.md5(F.col(text_col).cast("binary"))) if key is None else key
     keyed = docs.withColumn("__key__", key)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), key.alias("key"), F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= length)
     found = scratch.table(plain.mapInArrow(_anchors(length), "doc long, key binary, size long, place long, gram long, ctx long"), "suffixes")
@@ -316,7 +355,22 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     high = F.least(F.col("size"), F.col("place") - F.col("low") + length)
     ranges = at.select("key", low.alias("low"), high.alias("high")).where(F.col("high") - F.col("low") >= length).distinct()
     spans = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return keyed, scratch.table(spans, "spans")
+    kept = Scratch(spark, "spans").table(spans, "spans")
+    scratch.remove()
+    return keyed, kept
+
+
+def _passages(docs: DataFrame, n_words: int, id_col: str, text_col: str, group: int) -> DataFrame:
+    """(key, spans) as of repeated_spans, for passages of n_words words; ranges are bytes of the words' codes."""
+    if n_words * CODE < 2 * GRAM:
+        raise ValueError(f"passages have to be of {-(-2 * GRAM // CODE)} words at least")
+    # So many words and the white space between them have that many bytes at least.
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("key"), F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= 2 * n_words - 1)
+    scratch = Scratch(docs.sparkSession, "words")
+    coded = scratch.table(plain.mapInArrow(_coded, "doc long, key binary, codes binary"), "codes")
+    spans = repeated_spans(coded, n_words * CODE, "doc", "codes", group, F.col("key"))[1]
+    scratch.remove()
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -330,15 +384,23 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(keep: int, digest: bool):
-    """Batches (kept columns..., text, spans) to kept columns with the digest or the remaining text."""
+def _places(spans: list[dict], data: memoryview, least: int) -> list[dict]:
+    """Ranges of the text for those of its words' codes."""
+    begins, ends, _ = words(np.frombuffer(data, dtype=np.uint8))
+    whole = [(-(-s["low"] // CODE), s["high"] // CODE) for s in spans]
+    return [{"low": int(begins[a]), "high": int(ends[b - 1])} for a, b in whole if b - a >= least]
+
+
+def _cut(keep: int, digest: bool, least: int = 0):
+    """Batches (kept columns..., text, spans, spans of words) to kept columns with the digest or the remaining text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column(keep), batch.column(keep + 1), strict=True):
-                data, cuts = text.as_buffer(), merged(spans.as_py())
+            for text, spans, passages in zip(batch.column(keep), batch.column(keep + 1), batch.column(keep + 2), strict=True):
+                data = text.as_buffer()
                 data = memoryview(data) if data is not None else memoryview(b"")
+                cuts = merged((spans.as_py() or []) + (_places(passages.as_py(), data, least) if passages.is_valid else []))
                 size.append(len(data))
                 gone.append(sum(b - a for a, b in cuts))
                 runs.append(len(cuts))
@@ -357,9 +419,11 @@ def _cut(keep: int, digest: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False, group: int = GROUP, n_words: int | None = None) -> DataFrame:
     """The columns keep (default: the id) of each row with n_bytes, n_removed, n_spans and kept_text, or kept_sha256 if digest.
 
+    n_words: passages of so many words that repeat are cut as well, however few bytes they have.
+
     kept_text is null for a null text; a character that a cut splits is left out of it. kept_sha256 is of the remaining bytes themselves.
     Kept columns of the result's names are replaced.
     """
@@ -367,6 +431,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     keep = [c for c in (keep or [id_col]) if c.lower() not in new]
     keyed, spans = repeated_spans(docs, length, id_col, text_col, group)
     rows = keyed.select(*keep, F.col(text_col).cast("binary").alias("__text__"), "__key__")
-    joined = rows.join(spans.withColumnRenamed("key", "__key__").withColumnRenamed("spans", "__spans__"), "__key__", "left").select(*keep, "__text__", "__spans__")
+    joined = rows.join(spans.withColumnRenamed("key", "__key__").withColumnRenamed("spans", "__spans__"), "__key__", "left")
+    if n_words:
+        passages = _passages(docs, n_words, id_col, text_col, group)
+        joined = joined.join(passages.withColumnRenamed("key", "__key__").withColumnRenamed("spans", "__passages__"), "__key__", "left")
+    else:
+        joined = joined.withColumn("__passages__", F.lit(None).cast("array<struct<low:int,high:bigint>>"))
+    joined = joined.select(*keep, "__text__", "__spans__", "__passages__")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return joined.mapInArrow(_cut(len(keep), digest), f"{schema}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept_text'} string")
+    return joined.mapInArrow(_cut(len(keep), digest, n_words or 0), f"{schema}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept_text'} string")

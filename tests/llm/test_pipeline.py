@@ -1,11 +1,15 @@
 """Each stage of the pipeline on what the one before kept, against plain versions."""
 
+import random
+from collections import Counter, defaultdict
+
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from brute import near_duplicates, repeats
 from pyspark.sql import functions as F
 
-from folioscan.llm import byte_bpe
+from folioscan.llm import byte_bpe, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,3 +48,47 @@ def test_empty_corpus(spark):
         docs = stage(spark, docs, DATA)
         assert docs.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).agg(F.count("*")).first()[0] == 0
+
+
+def test_passages_of_over_50_words_go_however_short(spark):
+    """Shared passages of 51 words and some 280 bytes, of 51 words of one letter, and one of 50 words, which stays."""
+    r = random.Random(51)
+    own = lambda: [f"{r.choice('bcdfg')}{r.randrange(10**6):06d}" for _ in range(60)]
+    shared = [f"w{r.randrange(1000):03d}{'é' * (i % 3 == 0)}" for i in range(51)]
+    letters = [r.choice("abcdefghij") for _ in range(51)]
+    less = [f"v{r.randrange(1000):03d}" for _ in range(50)]
+    assert 250 < len(" ".join(shared).encode()) < 300
+    texts, want = [], []
+    for i, passage in enumerate((shared, shared, letters, letters, less, less)):
+        before, after = own(), own()
+        texts.append(" ".join(before) + " " + ("\n" if i % 2 else " ").join(passage) + " " + " ".join(after))
+        want.append(" ".join(before) + "  " + " ".join(after) if passage is not less else texts[-1])
+    texts += ["x " * 40, None, ""]
+    want += ["x " * 40, None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.repeats(spark, docs, DATA).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_passages_equal_brute_force(spark):
+    rows = sorted((x["doc_id"], x["text"]) for x in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    plain = {i: suffix_dedup.words(np.frombuffer(t.encode(), dtype=np.uint8)) for i, t in rows}
+    times, strings = Counter(), defaultdict(int)
+    split = {i: [t.encode()[a:b] for a, b in zip(*plain[i][:2], strict=True)] for i, t in rows}
+    for i, t in rows:
+        assert split[i] == t.encode().split()
+        times.update(tuple(split[i][j : j + 51]) for j in range(len(split[i]) - 50))
+        for p in range(len(t.encode()) - 399):
+            strings[t.encode()[p : p + 400]] += 1
+    for group in (512, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        cut = {x["doc_id"]: x["kept_text"] for x in suffix_dedup.remove_repeats(docs, length=400, n_words=51, group=group).collect()}
+        for i, t in rows:
+            data, gone = t.encode(), np.zeros(len(t.encode()), bool)
+            for j in range(len(split[i]) - 50):
+                if times[tuple(split[i][j : j + 51])] > 1:
+                    gone[plain[i][0][j] : plain[i][1][j + 50]] = True
+            for p in range(len(data) - 399):
+                if strings[data[p : p + 400]] > 1:
+                    gone[p : p + 400] = True
+            assert cut[i] == bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")
