@@ -2,8 +2,8 @@
 
 A text is lower-cased, everything but letters becomes one space, and its 1- to 4-grams of code points are counted in
 `DIM` hashed bins. Weights are (1 + log count) * idf, length one. For each language, spherical k-means gives several
-centroids; a text takes the language of the centroid with the greatest cosine. A text whose cosine falls below a share
-of what the language's own training texts reach at least is rejected.
+centroids; a text takes the language of the centroid with the greatest cosine. A text is rejected whose cosine falls below a limit for
+its language and length, between what training texts and pieces of that length reach and what random letters do.
 
 The classifier is fitted on at most about `sample` labelled rows per language, picked by a hash of id: a documented, bounded sample;
 everything else covers all rows and whole texts. Null text or text without a letter: `und`, score 0, rejected.
@@ -13,6 +13,7 @@ Ties between languages go to the lesser name. Without any labelled row every tex
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,18 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import U64, mix64
 
-DIM = 1 << 12
+DIM = 1 << 18
+_SHIFT = U64(64 - 18)
+#: Length bands, the last one open.
+BANDS = 40
 #: Code points counted at once; longer texts are counted in pieces that overlap by the longest n-gram.
 PIECE = 1 << 18
 _OTHER = re.compile(r"[\W\d_]+")
 _ORDERS = (1, 2, 3, 4)
 
 
-def counts(text: str | None) -> np.ndarray | None:
-    """Hashed n-gram counts of the whole text; None if it has no letter."""
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The bins of the whole text's n-grams, in order, and their counts; None if it has no letter."""
     if not text:
         return None
     total = None
@@ -41,89 +45,171 @@ def counts(text: str | None) -> np.ndarray | None:
         if not np.any(points != U64(32)):
             continue
         h = np.zeros(len(points), dtype=U64)
+        found = []
         for n in _ORDERS:
             if len(points) < n:
                 break
             h = h[: len(points) - n + 1] * U64(0x100000001B3) + points[n - 1 :] + U64(n)
-            found = np.bincount((mix64(h) >> U64(52)).astype(np.int64), minlength=DIM)
-            total = found if total is None else total + found
+            found.append((mix64(h) >> _SHIFT).astype(np.int32))
+        own = np.unique(np.concatenate(found), return_counts=True)
+        total = own if total is None else _added(total, own)
         tail = plain[-(_ORDERS[-1] - 1) :]
     return total
 
 
-def weigh(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(count) * idf
-    norm = np.sqrt(np.einsum("...i,...i", x, x))
-    return x / np.maximum(norm, 1e-300)[..., None] if x.ndim > 1 else x / max(norm, 1e-300)
+def _added(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    bins, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    return bins, np.bincount(at, weights=np.concatenate([x[1], y[1]])).astype(np.int64)
+
+
+def counts(text: str | None) -> np.ndarray | None:
+    """Hashed n-gram counts of the whole text for all bins; None if it has no letter."""
+    found = grams(text)
+    return None if found is None else np.bincount(found[0], weights=found[1], minlength=DIM).astype(np.int64)
+
+
+class Rows:
+    """Sparse rows of length one: (1 + log count) * idf of each bin that occurs."""
 
+    def __init__(self, bins: np.ndarray, count: np.ndarray, sizes: np.ndarray, idf: np.ndarray):
+        self.bins, self.sizes, self.firsts = bins, sizes, np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        x = np.log1p(count) * idf[bins]
+        self.values = x / np.repeat(np.sqrt(np.add.reduceat(x * x, self.firsts)), sizes)
 
-def fit_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    def dots(self, c: np.ndarray) -> np.ndarray:
+        return np.array([np.add.reduceat(v[self.bins] * self.values, self.firsts) for v in c]).T
+
+    def mean(self, of: np.ndarray) -> np.ndarray:
+        own = np.repeat(of, self.sizes)
+        return np.bincount(self.bins[own], weights=self.values[own], minlength=DIM) / of.sum()
+
+    def row(self, i: int) -> np.ndarray:
+        return self.mean(np.arange(len(self.sizes)) == i)
+
+
+def fit_centroids(x: Rows, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, started from farthest points: no random choice."""
-    centres = [x.mean(axis=0)]
-    while len(centres) < min(k, len(x)):
-        near = np.max(x @ np.array(centres).T, axis=1)
-        centres.append(x[int(np.argmin(near))])
+    centres = [x.mean(np.ones(len(x.sizes), dtype=bool))]
+    while len(centres) < min(k, len(x.sizes)):
+        near = np.max(x.dots(np.array(centres)), axis=1)
+        centres.append(x.row(int(np.argmin(near))))
     c = np.array(centres)
     for _ in range(rounds):
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-        own = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[own == i].mean(axis=0) if np.any(own == i) else c[i] for i in range(len(c))])
+        own = np.argmax(x.dots(c), axis=1)
+        c = np.array([x.mean(own == i) if np.any(own == i) else c[i] for i in range(len(c))])
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text, and a piece of it of each length 8, 16, 32, ..., cut where a word begins."""
+    yield text
+    size = 8
+    while size < len(text):
+        at = text.rfind(" ", 0, (len(text) - size) // 2 + 1) + 1
+        yield text[at : at + size]
+        size *= 2
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (lang, text) to (lang, letters, bins, counts) of the texts and of their pieces, whose letters are null."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            found = [(lang, c) for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True) if (c := counts(text.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1].astype(np.float32).tobytes() for x in found], pa.binary())], names=["lang", "counts"])
+            found = [(lang, None if i else "".join(sorted(set(_OTHER.sub("", t.lower())))), c) for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True) for i, t in enumerate(_parts(text.as_py())) if (c := grams(t)) is not None]
+            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())]
+            columns += [pa.array([x[2][i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "letters", "bins", "counts"])
+
+
+def band(n: float | np.ndarray) -> np.ndarray:
+    """The length band of a text of n n-grams: two for each doubling."""
+    return np.minimum(2 * np.log2(np.maximum(n, 1)), BANDS - 1).astype(np.int64)
 
 
 class LanguageModel:
-    """Centroids with their languages, idf and rejection limits; a few hundred kB, so it travels with the tasks."""
+    """Centroids of the bins seen, with their languages, idf and rejection limits for each length band; some MB, sent to the tasks."""
 
-    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, limits: dict[str, float]):
-        self.langs, self.centroids, self.idf, self.limits = langs, centroids, idf, limits
+    def __init__(self, langs: list[str], seen: np.ndarray, centroids: np.ndarray, idf: np.ndarray, unseen: float, limits: dict[str, np.ndarray]):
+        self.langs, self.seen, self.centroids, self.idf, self.unseen, self.limits = langs, seen, centroids, idf, unseen, limits
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected)"""
-        count = counts(text)
-        if count is None or not self.langs:
+        found = grams(text)
+        if found is None or not self.langs:
             return "und", 0.0, True
-        cosines = self.centroids @ weigh(count, self.idf)
+        bins, count = found
+        at = np.minimum(np.searchsorted(self.seen, bins), len(self.seen) - 1)
+        known = self.seen[at] == bins
+        x = np.log1p(count)
+        own = x[known] * self.idf[at[known]]
+        norm = np.sqrt(own @ own + self.unseen**2 * (x[~known] @ x[~known]))
+        cosines = (own.astype(np.float32) @ self.centroids[at[known]]) / norm
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.langs[best], score, score < self.limits[self.langs[best]]
+        return self.langs[best], score, bool(score < self.limits[self.langs[best]][band(count.sum())])
+
+
+_NOTHING = LanguageModel([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0), 1.0, {})
+
+
+def _noise(letters: str, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """N-grams of texts of random letters, with and without spaces, of some n n-grams."""
+    r = np.random.default_rng(n)
+    size, many = max(1, n // 4), int(min(100, max(6, (1 << 16) // n)))
+    out = [grams("".join(r.choice(list(letters + " " * spaces), size))) for spaces in (0, 1, len(letters)) for _ in range(many)]
+    return [x for x in out if x is not None]
+
+
+def _limits(scores: np.ndarray, sizes: np.ndarray, noise, reject_share: float) -> np.ndarray:
+    """Limits by length band, from the cosines of texts and pieces with their numbers of n-grams. noise(n): cosines of random letters.
+
+    Between what all but a hundredth of the texts near that length reach and what all but a hundredth of random texts stay below.
+    """
+    bands = band(sizes)
+    known = [b for b in range(BANDS) if np.sum(bands == b) >= 20] or sorted(set(bands.tolist()))
+    low = np.array([np.quantile(scores[bands == b], 0.01) for b in known])
+    low = np.array([low[max(0, i - 2) : i + 3].min() for i in range(len(low))])
+    high = np.array([np.quantile(noise(int(2 ** (b / 2 + 0.25))), 0.99) for b in known])
+    limits = np.where(high < low, high + reject_share * (low - high), low)
+    # Lengths that the sample doesn't hold take the nearest one's.
+    return limits[np.abs(np.arange(BANDS)[:, None] - np.array(known)[None, :]).argmin(axis=1)]
 
 
 def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4, reject_share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows where training holds and lang isn't null. sample: expected labelled rows per language at most.
 
-    reject_share: a text is rejected below that share of the least cosine of its language's sample, so only texts far from all
-    that was learned go.
+    reject_share: a text is rejected below a limit for its length and language, that share of the way from the cosines of random letters
+    up to the least that the sample's texts, and pieces of them, reach at that length, a hundredth left out.
     """
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((0, DIM)), np.ones(DIM), {})
+        return _NOTHING
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
     picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) < F.element_at(rate, F.col(lang_col)) * (1 << 30))
-    rows = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_features, "lang string, counts binary").collect()
-    rows = sorted(((r["lang"], bytes(r["counts"])) for r in rows))
+    rows = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_features, "lang string, letters string, bins binary, counts binary").collect()
+    rows = sorted(((r["lang"], r["letters"] is None, bytes(r["bins"]), bytes(r["counts"]), r["letters"]) for r in rows), key=lambda r: r[:4])
     if not rows:
-        return LanguageModel([], np.zeros((0, DIM)), np.ones(DIM), {})
-    names = np.array([r[0] for r in rows])
-    count = np.array([np.frombuffer(r[1], dtype=np.float32) for r in rows], dtype=np.float64)
-    idf = np.log((1 + len(rows)) / (1 + (count > 0).sum(axis=0))) + 1
-    x = weigh(count, idf)
-    langs, cents = [], []
+        return _NOTHING
+    names, whole = np.array([r[0] for r in rows]), np.array([not r[1] for r in rows])
+    found = [(np.frombuffer(r[2], dtype=np.int32), np.frombuffer(r[3], dtype=np.int32)) for r in rows]
+    idf = np.log((1 + whole.sum()) / (1 + np.bincount(np.concatenate([x[0] for x, w in zip(found, whole, strict=True) if w]), minlength=DIM))) + 1
+    of = lambda some: Rows(np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]), np.array([len(x[0]) for x in some]), idf)
+    langs, cents, limits = [], [], {}
     for lang in sorted(set(names)):
-        c = fit_centroids(x[names == lang], centroids)
+        texts = [found[i] for i in np.flatnonzero((names == lang) & whole)]
+        c = fit_centroids(of(texts), centroids)
+        own = [found[i] for i in np.flatnonzero(names == lang)]
+        held = Counter(x for r in rows if r[0] == lang and r[4] for x in r[4])
+        letters = "".join(sorted(x for x, n in held.items() if n * 10 >= len(texts)))
+        noise = lambda n, letters=letters, c=c: of(_noise(letters, n)).dots(c).max(axis=1)
+        limits[str(lang)] = _limits(of(own).dots(c).max(axis=1), np.array([x[1].sum() for x in own]), noise, reject_share)
         langs += [str(lang)] * len(c)
         cents.append(c)
     cents = np.vstack(cents)
-    near = {lang: float((x[names == lang] @ cents[np.array(langs) == lang].T).max(axis=1).min()) for lang in set(langs)}
-    return LanguageModel(langs, cents, idf, {lang: reject_share * v for lang, v in near.items()})
+    seen = np.flatnonzero(cents.any(axis=0)).astype(np.int32)
+    return LanguageModel(langs, seen, np.ascontiguousarray(cents[:, seen].T).astype(np.float32), idf[seen], float(np.log(1 + whole.sum()) + 1), limits)
 
 
 def _predict(model: LanguageModel, keep: int, at: int):

@@ -283,6 +283,21 @@ def test_language_counts_whole_text():
     assert abs(int(whole.sum()) - sum(len(plain) - n + 1 for n in (1, 2, 3, 4))) < 100
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(docs, F.col("doc_id") % 2 == 0)
+    r = random.Random(4)
+    cyrillic, chinese, latin = "абвгдежзийклмнопрстуфхцчшщъыьэюя ", "".join(map(chr, range(0x4E00, 0x5E00))), "abcdefghijklmnopqrstuvwxyz "
+    for letters, sizes in ((cyrillic, (10, 30, 300, 2000, 20000)), (chinese, (10, 30, 300, 2000, 20000)), (latin, (30, 300, 2000, 20000)), (latin.upper() + latin + "0123456789+/", (100, 2000, 20000))):
+        assert all(model.predict("".join(r.choices(letters, k=n)))[2] for n in sizes for _ in range(5))
+    held = [x for x in docs.where("doc_id % 10 = 1 and lang is not null").select("text", "lang").collect() if language_id.counts(x["text"]) is not None]
+    found = [model.predict(x["text"]) for x in held]
+    assert sum(f[2] for f in found) <= len(held) / 1000
+    for size in (16, 32, 128, 512):
+        short = [language_id.grams(p) and model.predict(p)[2] for x in held for p in language_id._parts(x["text"]) if len(p) == size]
+        assert np.mean([s for s in short if s is not None] or [0]) <= 0.02
+
+
 # 10
 
 
