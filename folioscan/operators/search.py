@@ -17,6 +17,34 @@ SLICE = 4096
 FEW = 4
 
 
+def _slices(asked: DataFrame, n: int) -> Iterator[list]:
+    """The n rows of asked in slices of some SLICE rows, those of a query_id together."""
+    slices = -(-n // SLICE)
+    for s in range(slices):
+        rows = (asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)).collect()
+        if rows:
+            yield rows
+
+
+def _union(parts: Iterator[DataFrame], empty: DataFrame) -> DataFrame:
+    found = None
+    for part in parts:
+        found = part if found is None else found.unionByName(part)
+    return empty if found is None else found
+
+
+def _products(batch: pa.RecordBatch, matrix: np.ndarray, size: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+    """Batches (page, vector) to (pages, first row of matrix, inner products), size pages and SLICE rows at once."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        column = part.column(1)
+        if column.null_count or len(column.flatten()) != len(column) * matrix.shape[1] or (np.diff(np.asarray(column.offsets)) != matrix.shape[1]).any():
+            raise ValueError("vectors of different length")
+        vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        for first in range(0, len(matrix), SLICE):
+            yield part.column(0), first, matrix[first : first + SLICE] @ vectors.T
+
+
 def scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, page_ord, similarity) of every query with every page, for few queries. pages: page_ord, unit_vec; queries: query_id, unit_vec."""
     few = queries.select("query_id", F.col("unit_vec").alias("__q")).limit(SLICE + 1).collect()
@@ -26,6 +54,30 @@ def scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
     return pages.select("page_ord", "unit_vec", F.explode(table).alias("__x")).select(F.col("__x.query_id").alias("query_id"), "page_ord", dot(F.col("unit_vec"), F.col("__x.q")).alias("similarity"))
 
 
+def _matrix(rows: list, at: int) -> np.ndarray:
+    if len({len(r[at]) for r in rows}) > 1:
+        raise ValueError("vectors of different length")
+    return np.array([r[at] for r in rows], dtype=np.float64)
+
+
+def _best(ids: list, tokens: list, matrix: np.ndarray):
+    """Batches (page_ord, vec) to each token's greatest product with the patches of a page in the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, places = pa.array(ids, pa.int64()), pa.array(tokens, pa.int32())
+        for batch in batches:
+            for pages, first, found in _products(batch, matrix, 256):
+                codes = pages.cast(pa.int64()).dictionary_encode("encode")
+                own = codes.indices.to_numpy()
+                order = np.argsort(own, kind="stable")
+                best = np.maximum.reduceat(found[:, order], np.flatnonzero(np.diff(own[order], prepend=-1)), axis=1)
+                t, p = np.divmod(np.arange(best.size), best.shape[1])
+                t = pa.array(t + first)
+                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(p)), queries.take(t), places.take(t), pa.array(best.ravel())], names=["page_ord", "query_id", "token", "s"])
+
+    return run
+
+
 def _kernel(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_s = np.full((len(ids), k), -np.inf)
@@ -60,17 +112,12 @@ def top_k(pages: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
         raise ValueError("k has to be positive")
     asked = queries.select("query_id", "unit_vec")
     n = asked.count()
+    empty = pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
     if n <= FEW:
-        found = scores(pages, asked) if n else pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
+        found = scores(pages, asked) if n else empty
     else:
-        found, slices = None, -(-n // SLICE)
-        for s in range(slices):
-            rows = (asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)).collect()
-            if not rows:
-                continue
-            ids, matrix = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
-            part = pages.select("page_ord", "unit_vec").mapInArrow(_kernel(ids, matrix, k), "query_id long, page_ord long, similarity double")
-            found = part if found is None else found.unionByName(part)
+        ids = lambda rows: np.array([r[0] for r in rows], dtype=np.int64)
+        found = _union((pages.select("page_ord", "unit_vec").mapInArrow(_kernel(ids(rows), np.array([r[1] for r in rows], dtype=np.float64), k), "query_id long, page_ord long, similarity double") for rows in _slices(asked, n)), empty)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "page_ord")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "page_ord", "similarity")
 
@@ -81,11 +128,16 @@ def with_metadata(hits: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def max_sim(patches: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, page_ord, score): for each token of a query the greatest inner product with a page's patches, summed. patches: page_ord, vec; tokens: query_id, token, vec."""
-    few = tokens.select("query_id", "token", "vec").limit(SLICE + 1).collect()
-    if len(few) > SLICE:
-        raise ValueError(f"{SLICE} query tokens at most")
-    table = F.array(*[F.struct(F.lit(r[0]).cast("long").alias("query_id"), F.lit(r[1]).alias("token"), F.array(*[F.lit(float(x)) for x in r[2]]).alias("q")) for r in few])
-    each = patches.select("page_ord", "vec", F.explode(table).alias("x")).select("page_ord", F.col("x.query_id").alias("query_id"), F.col("x.token").alias("token"), dot(F.col("vec"), F.col("x.q")).alias("s"))
-    best = each.groupBy("query_id", "page_ord", "token").agg(F.max("s").alias("s"))
-    return best.groupBy("query_id", "page_ord").agg(F.sum("s").alias("score"))
+    """(query_id, page_ord, score): for each token of a query the greatest inner product with a page's patches, summed. patches: page_ord, vec; tokens: query_id, token, vec.
+
+    Tokens are taken in slices of whole queries.
+    """
+    asked = tokens.select("query_id", "token", "vec")
+    empty = patches.sparkSession.createDataFrame([], "page_ord long, query_id long, token int, s double")
+
+    def part(rows: list) -> DataFrame:
+        each = patches.select("page_ord", "vec").mapInArrow(_best([r[0] for r in rows], [r[1] for r in rows], _matrix(rows, 2)), empty.schema)
+        best = each.groupBy("query_id", "page_ord", "token").agg(F.max("s").alias("s"))
+        return best.groupBy("query_id", "page_ord").agg(F.sum("s").alias("score"))
+
+    return _union(map(part, _slices(asked, asked.count())), empty.select("query_id", "page_ord", F.col("s").alias("score")))

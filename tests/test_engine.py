@@ -166,3 +166,18 @@ def test_cli(spark, tmp_path, capsys):
 
     assert cli.main([], spark) == 1
     assert cli.main(["hello", "--data-dir", str(tmp_path / "none")], spark) == 1
+
+
+@pytest.mark.parametrize("size", [7, 4096])
+def test_max_sim_takes_any_number_of_tokens(spark, monkeypatch, size):
+    monkeypatch.setattr(search, "SLICE", size)
+    n = 30 if size == 7 else size + 5
+    patches = spark.createDataFrame([(p, [float(p), float(-i)]) for p in range(3) for i in range(4)], "page_ord long, vec array<float>").repartition(3)
+    tokens = spark.createDataFrame([(q // 10, q % 10, [1.0, float(q % 3 - 1)]) for q in range(n)], "query_id long, token int, vec array<float>")
+    want = {}
+    for q in range(n):
+        for p in range(3):
+            want[q // 10, p] = want.get((q // 10, p), 0.0) + max(p - i * (q % 3 - 1) for i in range(4))
+    rows = search.max_sim(patches, tokens).collect()
+    assert {(r["query_id"], r["page_ord"]): r["score"] for r in rows} == want and len(rows) == len(want)
+    assert search.max_sim(patches, tokens.limit(0)).count() == 0
