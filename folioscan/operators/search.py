@@ -46,12 +46,13 @@ def _products(batch: pa.RecordBatch, matrix: np.ndarray, size: int) -> Iterator[
 
 
 def scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, page_ord, similarity) of every query with every page, for few queries. pages: page_ord, unit_vec; queries: query_id, unit_vec."""
-    few = queries.select("query_id", F.col("unit_vec").alias("__q")).limit(SLICE + 1).collect()
-    if len(few) > SLICE:
-        raise ValueError(f"scores is for {SLICE} queries at most; use top_k")
-    table = F.array(*[F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["__q"])).cast("array<double>").alias("q")) for r in few])
-    return pages.select("page_ord", "unit_vec", F.explode(table).alias("__x")).select(F.col("__x.query_id").alias("query_id"), "page_ord", dot(F.col("unit_vec"), F.col("__x.q")).alias("similarity"))
+    """(query_id, page_ord, similarity) of every query with every page. pages: page_ord, unit_vec; queries: query_id, unit_vec. Queries are taken in slices."""
+    asked = queries.select("query_id", "unit_vec")
+    n = asked.count()
+    if 0 < n <= FEW:
+        return _few(pages, asked)
+    empty = pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
+    return _union((pages.select("page_ord", "unit_vec").mapInArrow(_every([r[0] for r in rows], _matrix(rows, 1)), "query_id long, page_ord long, similarity double") for rows in _slices(asked, n)), empty)
 
 
 def _matrix(rows: list, at: int) -> np.ndarray:
@@ -60,6 +61,26 @@ def _matrix(rows: list, at: int) -> np.ndarray:
     return np.array([r[at] for r in rows], dtype=np.float64)
 
 
+def _few(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """The scores of a few queries as expressions."""
+    few = queries.select("query_id", F.col("unit_vec").alias("__q")).collect()
+    table = F.array(*[F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["__q"])).cast("array<double>").alias("q")) for r in few])
+    return pages.select("page_ord", "unit_vec", F.explode(table).alias("__x")).select(F.col("__x.query_id").alias("query_id"), "page_ord", dot(F.col("unit_vec"), F.col("__x.q")).alias("similarity"))
+
+
+def _every(ids: list, matrix: np.ndarray):
+    """Batches (page_ord, unit_vec) to the scores of all queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(ids, pa.int64())
+        for batch in batches:
+            for pages, first, found in _products(batch, matrix, 64):
+                q, p = np.divmod(np.arange(found.size), found.shape[1])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), pages.cast(pa.int64()).take(pa.array(p)), pa.array(found.ravel())], names=["query_id", "page_ord", "similarity"])
+
+    return run
+
+
 def _best(ids: list, tokens: list, matrix: np.ndarray):
     """Batches (page_ord, vec) to each token's greatest product with the patches of a page in the batch."""
 
@@ -114,7 +135,7 @@ def top_k(pages: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     n = asked.count()
     empty = pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
     if n <= FEW:
-        found = scores(pages, asked) if n else empty
+        found = _few(pages, asked) if n else empty
     else:
         ids = lambda rows: np.array([r[0] for r in rows], dtype=np.int64)
         found = _union((pages.select("page_ord", "unit_vec").mapInArrow(_kernel(ids(rows), np.array([r[1] for r in rows], dtype=np.float64), k), "query_id long, page_ord long, similarity double") for rows in _slices(asked, n)), empty)

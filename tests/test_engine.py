@@ -181,3 +181,14 @@ def test_max_sim_takes_any_number_of_tokens(spark, monkeypatch, size):
     rows = search.max_sim(patches, tokens).collect()
     assert {(r["query_id"], r["page_ord"]): r["score"] for r in rows} == want and len(rows) == len(want)
     assert search.max_sim(patches, tokens.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 4096])
+def test_scores_take_any_number_of_queries(spark, monkeypatch, size):
+    monkeypatch.setattr(search, "SLICE", size)
+    n = 30 if size == 7 else size + 5
+    pages = _pages(spark, [(p, [float(p), 1.0]) for p in range(3)]).repartition(2)
+    asked = _ask(spark, [(q, [1.0, float(q)]) for q in range(n)])
+    got = {(r[0], r[1]): r[2] for r in search.scores(pages, asked).collect()}
+    assert got == {(q, p): float(p + q) for q in range(n) for p in range(3)}
+    assert search.scores(pages, asked.limit(0)).count() == 0
