@@ -27,10 +27,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the least id. Documents without id stay."""
-    groups = minhash_dedup.minhash_components(docs, k=5, percent=80)
-    kept = groups.where("kept").select(F.col("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the least id.
+
+    Of rows that share an id and a set of shingles one stays. Documents without id stay, one of each set of shingles, where no document with id has it.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = minhash_dedup.minhash_components(docs, k=5, percent=80, fingerprint=True)
+    kept = groups.where("kept")
+    twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty() and docs.where("doc_id is null").isEmpty():
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    single = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").join(twice, "doc_id", "left_anti").select(*COLUMNS)
+    several = minhash_dedup.with_fingerprints(docs.join(twice, "doc_id", "left_semi").select(*COLUMNS))
+    several = several.join(kept.select("doc_id", "fp").distinct().withColumnRenamed("doc_id", "id").withColumnRenamed("fp", "own"), (F.col("doc_id") == F.col("id")) & F.col("fp").eqNullSafe(F.col("own")), "left_semi")
+    without = minhash_dedup.with_fingerprints(docs.where("doc_id is null"))
+    without = without.join(groups.where("doc_id is not null and fp is not null").select("fp").distinct(), "fp", "left_anti").select(*COLUMNS, "fp")
+    both = several.select(*COLUMNS, "fp").unionByName(without)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = both.where("fp is not null").groupBy("doc_id", "fp").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[f"row.{c}" for c in rest])
+    return single.unionByName(one.select(*COLUMNS)).unionByName(both.where("fp is null").select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

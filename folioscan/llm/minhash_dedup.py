@@ -67,6 +67,10 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
     return out
 
 
+def _fingerprint(codes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else None
+
+
 def _describe(k: int, bands: int, rows: int):
     """Batches (id, text) to (id, fp, n_shingles, keys)."""
 
@@ -78,7 +82,7 @@ def _describe(k: int, bands: int, rows: int):
                 keys = np.zeros((len(sets), bands), dtype=U64)
                 for j in range(rows):
                     keys = mix64(keys * U64(0x2545F4914F6CDD1D) + coords[:, :, j] + salt)
-                fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                fps = [_fingerprint(s) for s in sets]
                 offsets = pa.array(np.arange(0, len(sets) * bands + 1, bands), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(sets)), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))],
@@ -97,6 +101,21 @@ def _sets(k: int):
     return run
 
 
+def with_fingerprints(docs: DataFrame, k: int = 5, text_col: str = "text") -> DataFrame:
+    """docs with the column fp of minhash_components."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sets in shingle_sets(batch.column(at), k):
+                part = batch.slice(row, len(sets))
+                fps = pa.array([_fingerprint(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, fps], names=[*part.schema.names, "fp"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, fp binary")
+
+
 def _confirm(percent: int):
     """Rows sorted by (centre, part, other nulls first): a centre's set, then the sets to hold against it."""
 
@@ -228,8 +247,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     return streams.mapInArrow(_confirm(percent), "u long, v long"), sets
 
 
-def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row of docs; links are pairs of sets with 100*shared >= percent*union."""
+def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, id_col: str = "doc_id", text_col: str = "text", fingerprint: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) of every row of docs; links are pairs of sets with 100*shared >= percent*union.
+
+    fingerprint: with the column fp, which texts of equal sets share; null for an empty set.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -254,4 +276,4 @@ def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: in
     groups = scratch.table(groups, "groups")
     out = described.select("id", "fp", "n_shingles").join(groups, "fp", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"), *["fp"] * fingerprint)

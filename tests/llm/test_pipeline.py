@@ -92,3 +92,16 @@ def test_passages_equal_brute_force(spark):
                 if strings[data[p : p + 400]] > 1:
                     gone[p : p + 400] = True
             assert cut[i] == bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")
+
+
+def test_repeated_rows_leave_one(spark):
+    """Copies of over 400 bytes that share an id, or have none, through both stages."""
+    r = random.Random(5)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(10**6):06d}" for _ in range(80)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, b), (2, c), (2, c.upper()), (None, d), (None, d), (None, b), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert near.columns == corpus_pipeline.COLUMNS
+    want = [(1, a), (2, b), (2, min(c, c.upper())), (3, ""), (None, d), (None, None)]
+    for out in (near, corpus_pipeline.repeats(spark, near, DATA)):
+        assert sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=repr) == sorted(want, key=repr)
