@@ -15,13 +15,20 @@ U64 = np.uint64
 BROADCAST_ROWS = 500_000
 #: Bytes of an Arrow batch between JVM and Python while a written table is made: several copies of a batch are held on both sides.
 BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Settings while a table is written: small batches, and shuffle files that go with the job which wrote them, as the table takes their place.
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+#: Rows of a written table that a part file should hold, where their number is known beforehand.
+ROWS_A_FILE = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset a temporary one in local mode, as in tests; an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioscan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,25 +43,41 @@ class Scratch:
         self.n = 0
         atexit.register(self.remove)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it back: later steps restart from the files if executors are lost."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes df as Parquet and reads it back: later steps restart from the files if executors are lost.
+
+        rows: how many rows df has at most, if that is known; few rows go to few files, not to one for each shuffle partition.
+        """
         self.n += 1
+        if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < partitions(self.spark):
+            df = df.coalesce(files)
         path = f"{self.root}/{self.n:03d}-{name}"
-        before = self.spark.conf.get(_BATCH, None)
-        self.spark.conf.set(_BATCH, str(BATCH_BYTES))
+        before = {k: self.spark.conf.get(k, None) for k in _WRITING}
+        for k, v in _WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(_BATCH)
-            else:
-                self.spark.conf.set(_BATCH, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes written tables that nothing will read again."""
+        for t in tables:
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                self._delete(path)
+
     def remove(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.root)
+            path = jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # noqa: BLE001  the session is already gone; the folder is left to its owner
             pass
@@ -66,6 +89,22 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_by_degree(rows: DataFrame, table: DataFrame, on: list[str], degree: str, n_rows: int, scratch: Scratch, hot: int = 512) -> DataFrame:
+    """rows inner-joined on `on` with table, which has one row a key; table's column `degree` is the number of rows with that key and goes.
+
+    Keys of over `most` rows, n_rows / most of them at most, are broadcast: that number is bounded by BROADCAST_ROWS, and none of their rows moves. No other
+    key has more than `most` rows for its task.
+    """
+    most = max(hot, -(-n_rows // BROADCAST_ROWS))
+    if n_rows <= most:
+        return rows.join(table.drop(degree), on)
+    busy = scratch.table(table.where(F.col(degree) > most).drop(degree), "hot", n_rows)
+    rest = table.where(F.col(degree) <= most).drop(degree)
+    if busy.isEmpty():
+        return rows.join(rest, on)
+    return rows.join(F.broadcast(busy), on).unionByName(rows.join(F.broadcast(busy.select(*on)), on, "left_anti").join(rest, on))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,14 +5,15 @@ coordinates nominate candidates; candidates are confirmed on full shingle sets;
 
 Copies never meet in pairs: documents with equal sets form a class through its fingerprint, and one representative goes
 on. Within a bucket of a band, first every member is tried against the bucket's least member. What is then still in
-different components is tried across those components, so that no nominated link between different texts is left out,
-while members that are already connected are not paired again.
+different components is tried across those components, bucket by bucket: brief sketches travel first, full sets only of the members whose sketches come near
+enough to another component's. So no nominated link between different texts is left out, while members that are already connected are not paired again,
+and no pairs travel.
 
 With `bands` of `rows` coordinates, a pair of similarity s is nominated with probability 1 - (1 - s**rows)**bands: for
 the defaults, at s = 0.8, all but 5 in 10 million.
 
 Nulls, empty texts and texts without words: an empty set, linked with nothing. Repeated rows and rows that share an id stay
-rows of the result and count as one vertex of the graph. A null id is kept with a null component and is linked with nothing. Empty table: empty
+rows of the result and count as one vertex of the graph, whose links are those of all its texts. A null id is kept with a null component and is linked with nothing. Empty table: empty
 result. Columns of the input other than id and text are not read.
 """
 
@@ -26,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import U64, Scratch, maybe_broadcast, mix64, partitions
+from folioscan.llm.common import U64, Scratch, join_by_degree, maybe_broadcast, mix64, partitions
 from folioscan.llm.components import connected_components
 from folioscan.llm.textcodes import shingle_sets
 
 #: Most pairs one confirming task group reads against one centre.
 PAIRS_A_GROUP = 512
-#: Members of a group of buckets that one task holds while others are tried against them.
-MEMBERS = 512
+#: Members of a bucket that one task holds while others are tried against them, and bytes of full sets that it holds.
+MEMBERS, HOME_BYTES = 512, 64 << 20
 #: Coordinates of the brief sketches that members of different components are compared by, and the standard deviations by which one may
 #: fall short of the similarity before a pair is passed over (chance 3 in a million).
-BRIEF, SHORT = 512, 4.5
+BRIEF, SHORT = 256, 4.5
 
 
 def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -116,24 +117,41 @@ def with_fingerprints(docs: DataFrame, k: int = 5, text_col: str = "text") -> Da
     return docs.mapInArrow(run, f"{schema}, fp binary")
 
 
+def _shared(own: np.ndarray, other: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if not len(own):
+        return 0
+    at = np.searchsorted(own, other)
+    at[at == len(own)] = 0
+    return int(np.count_nonzero(own[at] == other))
+
+
+def _alike(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    x, y = min(len(own), len(other)), max(len(own), len(other))
+    if not x or 100 * x < percent * y:
+        return False
+    both = _shared(own, other)
+    return 100 * both >= percent * (x + y - both)
+
+
 def _confirm(percent: int):
-    """Rows sorted by (centre, part, other nulls first): a centre's set, then the sets to hold against it."""
+    """Rows sorted by (centre, part, other nulls first): a centre's sets, then the sets to hold against them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, np.zeros(0, dtype=U64)
+        centre, own, over = None, [], True
         for batch in batches:
             us, vs = [], []
             for a, b, codes in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 codes = np.frombuffer(codes.as_buffer(), dtype=U64)
                 if b is None:
-                    centre, own = a, codes.copy()
+                    if over or a != centre:
+                        centre, own, over = a, [], False
+                    own.append(codes.copy())
                     continue
+                over = True
                 if a != centre:
                     raise RuntimeError("a pair came without its centre")
-                at = np.searchsorted(own, codes)
-                at[at == len(own)] = 0
-                both = int(np.count_nonzero(own[at] == codes)) if len(own) else 0
-                if both and 100 * both >= percent * (len(own) + len(codes) - both):
+                if any(_alike(o, codes, percent) for o in own):
                     us.append(a)
                     vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -142,108 +160,128 @@ def _confirm(percent: int):
 
 
 def _compact(t: int):
-    """Batches (id, codes) to (id, brief, codes): the sketch of each set, one byte per coordinate."""
+    """Batches (id, codes) to (id, size, brief): the sketch of each set, one byte per coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                brief = sketch([np.frombuffer(c.as_buffer(), dtype=U64) for c in part.column(1)], t)
-                brief = (mix64(brief) >> U64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in brief], pa.binary()), part.column(1)], names=["id", "brief", "codes"])
+                sets = [np.frombuffer(c.as_buffer(), dtype=U64) for c in part.column(1)]
+                brief = (mix64(sketch(sets, t)) >> U64(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([b.tobytes() for b in brief], pa.binary())], names=["id", "size", "brief"])
 
     return run
 
 
-def _across(percent: int, t: int):
-    """Streams members sorted by (group, block, probe last) to links (u, v) of different components: one for each probe and component that it links with."""
+def _near(percent: int, t: int):
+    """Streams (key, block, probe, id, component, outer, size, brief) sorted by (key, block, probe last) to (key, block, probe, id) of the members that may be alike one of another component there."""
     least = percent / 100
     agree = t * (least + (1 - least) / 256) - SHORT * np.sqrt(t * least * (1 - least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, home, arrays = None, [], None
-        us, vs = [], []
-
-        def hold(i: int, c: int, brief: bytes, codes: bytes) -> None:
-            own = np.frombuffer(codes, dtype=U64)
-            ids, component, sizes, outer, briefs = arrays
-            fits = (component != c) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))) & (~outer | (ids > i))
-            rows = np.flatnonzero(fits)
-            if not len(rows):
-                return
-            same = np.count_nonzero(briefs[rows] == np.frombuffer(brief, dtype=np.uint8), axis=1)
-            rows, same = rows[same >= agree], same[same >= agree]
-            done = set()
-            for r in rows[np.argsort(-same, kind="stable")].tolist():
-                if component[r] in done:
-                    continue
-                other = np.frombuffer(home[r][4], dtype=U64)
-                at = np.searchsorted(own, other)
-                at[at == len(own)] = 0
-                both = int(np.count_nonzero(own[at] == other))
-                if both and 100 * both >= percent * (len(own) + len(other) - both):
-                    done.add(component[r])
-                    us.append(i)
-                    vs.append(int(ids[r]))
-
+        task, home, arrays, told = None, [], None, set()
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for group, block, probe, i, component, outer, brief, codes in zip(*columns, strict=True):
-                if (group, block) != task:
-                    task, home, arrays = (group, block), [], None
+            out = []
+            for key, block, probe, i, component, outer, size, brief in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if (key, block) != task:
+                    task, home, arrays, told = (key, block), [], None, set()
                 if not probe:
-                    home.append((i, component, outer, brief, codes))
-                    continue
-                if not home:
+                    home.append((i, component, outer, size, brief))
                     continue
                 if arrays is None:
-                    arrays = (
-                        np.array([h[0] for h in home]), np.array([h[1] for h in home]), np.array([len(h[4]) // 8 for h in home]), np.array([h[2] for h in home]),
-                        np.frombuffer(b"".join(h[3] for h in home), dtype=np.uint8).reshape(len(home), t),
-                    )
-                hold(i, component, brief, codes)
+                    arrays = (*(np.array([h[c] for h in home]) for c in range(4)), np.frombuffer(b"".join(h[4] for h in home), dtype=np.uint8).reshape(len(home), t))
+                ids, components, outers, sizes, briefs = arrays
+                rows = np.flatnonzero((components != component) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (~outers | (ids > i)))
+                rows = rows[np.count_nonzero(briefs[rows] == np.frombuffer(brief, dtype=np.uint8), axis=1) >= agree]
+                if not len(rows):
+                    continue
+                out.append((key, block, True, i))
+                for r in rows.tolist():
+                    if r not in told:
+                        told.add(r)
+                        out.append((key, block, False, home[r][0]))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int64())], names=["key", "block", "probe", "id"])
+
+    return run
+
+
+def _across(percent: int):
+    """Streams (key, block, part, probe, id, component, outer, codes) sorted by (key, block, part, probe first) to links (u, v): one for each probe and component that it links with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, probes, done = None, [], set()
+        for batch in batches:
+            us, vs = [], []
+            for key, block, part, probe, i, component, outer, codes in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if (key, block, part) != task:
+                    task, probes, done = (key, block, part), [], set()
+                own = np.frombuffer(codes, dtype=U64)
+                if probe:
+                    probes.append((i, component, own))
+                    continue
+                for j, other, theirs in probes:
+                    if component != other and (not outer or i > j) and (j, component) not in done and _alike(own, theirs, percent):
+                        done.add((j, component))
+                        us.append(j)
+                        vs.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-            us.clear()
-            vs.clear()
 
     return run
 
 
-def _apart(placed: DataFrame, sets: DataFrame, percent: int, t: int, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between members (key, a, id, component_id) of buckets that lie in different components.
+def _apart(placed: DataFrame, sets: DataFrame, percent: int, t: int, scratch: Scratch) -> DataFrame | None:
+    """Links (u, v) between members (key, id, component_id) of buckets that lie in different components; None if there are no such buckets.
 
-    Buckets that share members form a group, so that each member's set travels once, not once for each bucket. A group's members are dealt to blocks;
-    those outside its largest component go to each block and are held against its members. Members of the largest component, most of a hot
-    group, never meet one another. Pairs are weighed by brief sketches, then confirmed on full sets where they are; only links are emitted.
+    A bucket's members are dealt to blocks; those outside its largest component go to each block and are held against its members. Members of the largest
+    component, most of a hot bucket, never meet one another. First brief sketches tell which members may be alike at all; the full sets of those are then held
+    against one another where they are. Only links are emitted.
     """
     spark = placed.sparkSession
-    mixed = placed.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
-    members = scratch.table(placed.join(mixed, "key", "left_semi").select("a", "id", "component_id").distinct(), "apart")
-    groups = connected_components(members.select(F.col("a").alias("u"), F.col("id").alias("v")), scratch).withColumnRenamed("component_id", "group")
-    grouped = scratch.table(members.select("id", "component_id").distinct().join(groups, "id"), "groups")
-    sizes = grouped.groupBy("group", "component_id").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component_id")).alias("top"))
-    sizes = sizes.select("group", (F.floor((F.col("all") - 1) / MEMBERS) + 1).cast("int").alias("blocks"), F.col("top.component_id").alias("top"))
-    placed_ = grouped.join(sizes, "group").withColumn("outer", F.col("component_id") != F.col("top"))
-    briefs = sets.join(grouped.select("id"), "id", "left_semi").mapInArrow(_compact(t), "id long, brief binary, codes binary")
-    full = scratch.table(placed_.join(briefs, "id"), "members")
-    columns = ["id", "component_id", "outer", "brief", "codes"]
-    home = full.select("group", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), *columns)
-    probes = full.where("outer").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
-    ordered = home.unionByName(probes).repartition(partitions(spark), "group", "block").sortWithinPartitions("group", "block", "probe", "id")
-    return ordered.mapInArrow(_across(percent, t), "u long, v long")
+    count = F.count("*").alias("n")
+    mixed = placed.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), count).where("x <> y and n > 2").select("key", "n")
+    members = scratch.table(join_by_degree(placed, mixed, ["key"], "n", placed.count(), scratch).distinct(), "apart")
+    n_members = members.count()
+    if not n_members:
+        return None
+    sizes = members.groupBy("key", "component_id").agg(count).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component_id")).alias("top"))
+    sizes = sizes.select("key", "all", (F.floor((F.col("all") - 1) / MEMBERS) + 1).cast("int").alias("blocks"), F.col("top.component_id").alias("top"))
+    dealt = scratch.table(join_by_degree(members, sizes, ["key"], "all", n_members, scratch).select("key", "id", "component_id", "blocks", (F.col("component_id") != F.col("top")).alias("outer")), "dealt")
+    everyone = members.select("id").distinct()
+    briefs = scratch.table(sets.join(maybe_broadcast(everyone), "id", "left_semi").mapInArrow(_compact(t), "id long, size long, brief binary"), "briefs")
+
+    def streamed(rows: DataFrame, columns: list[str]) -> DataFrame:
+        home = rows.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), *columns)
+        probes = rows.where("outer").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *columns)
+        return home.unionByName(probes)
+
+    columns = ["id", "component_id", "outer", "size", "brief"]
+    ordered = streamed(dealt.join(briefs, "id"), columns).repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block", "probe", "id")
+    near = scratch.table(ordered.mapInArrow(_near(percent, t), "key long, block int, probe boolean, id long"), "near")
+    if near.isEmpty():
+        return None
+    # Probes are dealt once more so that those which a task holds have some HOME_BYTES of codes; the home members come to each part.
+    weights = near.where("probe").join(briefs.groupBy("id").agg(F.sum("size").alias("size")), "id").groupBy("key", "block").agg((F.floor(F.sum("size") * 8 / HOME_BYTES) + 1).cast("int").alias("parts"))
+    facts = dealt.select("key", "id", "component_id", "outer").distinct()
+    near = near.join(weights, ["key", "block"]).join(facts, ["key", "id"])
+    probes = near.where("probe").select("key", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "probe", "id", "component_id", "outer")
+    home = near.where("not probe").select("key", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "probe", "id", "component_id", "outer")
+    full = probes.unionByName(home).join(sets, "id").select("key", "block", "part", "probe", "id", "component_id", "outer", "codes")
+    ordered = full.repartition(partitions(spark), "key", "block", "part").sortWithinPartitions("key", "block", "part", F.col("probe").desc(), "id")
+    return ordered.mapInArrow(_across(percent), "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) whose full sets are similar enough, as links (u, v), and the sets. A centre with many partners is dealt to parts."""
     spark = docs.sparkSession
     ids = scratch.table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = scratch.table(docs.join(maybe_broadcast(ids), "id", "left_semi").mapInArrow(_sets(k), "id long, codes binary"), "sets")
-    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", (F.floor((F.col("n") - 1) / PAIRS_A_GROUP) + 1).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    sets = scratch.table(docs.join(maybe_broadcast(ids), "id", "left_semi").mapInArrow(_sets(k), "id long, codes binary").where(F.length("codes") > 0).distinct(), "sets")
+    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", "n", (F.floor((F.col("n") - 1) / PAIRS_A_GROUP) + 1).cast("int").alias("parts"))
+    dealt = join_by_degree(pairs, parts, ["a"], "n", pairs.count(), scratch).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     left = centres.join(sets, F.col("a") == sets["id"]).select("a", "part", "b", "codes")
     right = dealt.join(sets, F.col("b") == sets["id"]).select("a", "part", "b", "codes")
-    streams = left.unionByName(right).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first(), "codes")
+    streams = left.unionByName(right).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return streams.mapInArrow(_confirm(percent), "u long, v long"), sets
 
 
@@ -256,21 +294,26 @@ def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: in
     scratch = Scratch(spark, "minhash")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = scratch.table(plain.mapInArrow(_describe(k, bands, rows), "id long, fp binary, n_shingles long, keys array<long>"), "sketches")
-    classes = scratch.table(described.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    chosen = scratch.table(described.join(classes.withColumnRenamed("rep", "id"), ["id", "fp"], "left_semi").select("id", "n_shingles", "keys"), "chosen")
-    buckets = chosen.select("id", "n_shingles", F.explode("keys").alias("key"))
+    whole = described.where("fp is not null and id is not null")
+    classes = scratch.table(whole.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    # An id with several texts ties their classes.
+    several = scratch.table(whole.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id"), "several")
+    ties = None if several.isEmpty() else whole.select("id", "fp").join(several, "id").distinct().join(classes, "fp").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    chosen = described.join(classes.withColumnRenamed("rep", "id"), ["id", "fp"], "left_semi").select("id", "keys").distinct()
+    buckets = scratch.table(chosen, "chosen").select("id", F.explode("keys").alias("key"))
     least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    shared = scratch.table(buckets.join(least, "key").select("key", "a", "id", "n_shingles"), "buckets")
+    shared = scratch.table(buckets.join(least, "key").select("key", "a", "id"), "buckets")
     tried = scratch.table(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
     tested, sets = _verified(tried, plain, k, percent, scratch)
-    links = scratch.table(tested, "links")
+    links = scratch.table(tested if ties is None else tested.unionByName(ties), "links")
     merged = connected_components(links, scratch)
 
     # What the stars left apart: members of a bucket that lie in different components.
-    placed = shared.select("key", "a", "id").join(merged, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    more = scratch.table(_apart(scratch.table(placed, "placed"), sets, percent, BRIEF, scratch), "more")
-    if not more.isEmpty():
-        merged = connected_components(links.unionByName(more), scratch)
+    placed = scratch.table(shared.select("key", "id").join(merged, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "placed")
+    more = _apart(placed, sets, percent, BRIEF, scratch)
+    if more is not None and not (more := scratch.table(more, "more")).isEmpty():
+        # The components so far stand for the links that made them.
+        merged = connected_components(merged.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more), scratch)
 
     groups = classes.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     groups = scratch.table(groups, "groups")

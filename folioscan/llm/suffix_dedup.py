@@ -4,19 +4,22 @@ Every string of `length` bytes holds a sampled suffix at the same place in each
 minimiser). So instead of all suffixes, one in some `length / 2` is sorted, and what a sampled suffix needs is its context, the
 `length` bytes to its right and as many less a gram to its left.
 
-1. Sampled suffixes are written as (gram, hash of the context, place). Equal contexts collapse by a map-side combined count; each
-   string in a context that occurs twice repeats.
+1. Sampled suffixes are written as (hash of the gram, hash of the context, place), of a text that occurs often in a task twice at most. Contexts that are equal,
+   in both hashes of 64 bits, collapse by a map-side combined count; each string in a context that occurs twice repeats.
 2. Where several contexts share a gram, their bytes are fetched and grouped by gram. A group is sorted into a suffix array with common
    prefixes; a stack scan gives the common-prefix intervals, and the left contexts of an interval's members, sorted, tell how far each
    pair extends to the left (where they differ at once, the interval is left-diverse). Common prefix and left extension of `length` bytes
-   together make a repeat; an interval holds all occurrences, not only neighbours.
+   together make a repeat; an interval holds all occurrences, not only neighbours. Groups of two, which have one interval, are scanned together.
 3. Groups over GROUP contexts (a passage that very many documents share) aren't gathered: the strings around their suffixes are compared by hash
    in bands that narrow from level to level, down to single strings, each level a map-side combined count. This is exact as well.
 4. Repeated strings join into spans for each distinct text, and texts are cut where they are.
 
-Passages of so many words are found alike, in texts of `CODE` bytes a word: a passage of n words repeats where the n * CODE bytes of its
+Passages of so many words are found alike, in the same passes, in texts of `CODE` bytes a word: a passage of n words repeats where the n * CODE bytes of its
 words' codes do. Words are what ASCII white space parts, case and all; the white space between them doesn't count.
 
+Where they are, texts are read again for contexts and for cutting; only those of which something is asked move, and for cutting none where the spans are
+counted to be few enough to be broadcast.
+
 Texts are UTF-8 bytes; null is empty. Texts under `length` bytes never change. Strings are judged on the input. Repeated rows are occurrences
 of their own. Ids may be null or repeat. Empty table: no rows.
 """
@@ -28,92 +31,117 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import U64, Scratch, mix64, partitions
-from folioscan.llm.textcodes import _SPACE, _power
+from folioscan.llm.common import U64, Scratch, join_by_degree, maybe_broadcast, mix64, partitions
+from folioscan.llm.textcodes import bounds, hashes, pieces
 
 GRAM = 32
 #: Bytes of a word's code: different words share one with probability 2**-48.
 CODE = 6
 #: Contexts of one gram that one task sorts at most.
 GROUP = 512
-#: Bytes of a text sampled at once.
-PIECE = 1 << 20
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x8CB92BA72F3D8DD7))
-_PLACE = 21
-
-
-def sample(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the sampled suffixes of one text, with the hashes of their grams and contexts."""
-    n, reach = len(data), length - gram
-    places, grams, contexts = [], [], []
-    last = -1
-    for first in range(0, max(0, n - length + 1), PIECE):
-        starts = min(PIECE, n - length + 1 - first)
-        low = max(0, first - reach)
-        high = min(n, first + starts + 2 * length)
-        buf = data[low:high]
-        power, inverse = _power(len(buf))
-        sums = np.zeros(len(buf) + 1, dtype=U64)
-        np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-        at = first - low
-        size = starts + reach
-        g = mix64((sums[at + gram : at + gram + size] - sums[at : at + size]) * inverse[at : at + size])
-        m = (g >> U64(_PLACE) << U64(_PLACE)) | np.arange(size, dtype=U64)
-        span = 1
-        while 2 * span <= reach + 1:
-            m = np.minimum(m[:-span], m[span:])
-            span *= 2
-        m = np.minimum(m[: len(m) - (reach + 1 - span)], m[reach + 1 - span :]) if span <= reach else m
-        own = (m & U64((1 << _PLACE) - 1)).astype(np.int64)
-        own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-        if own[0] + first == last:
-            own = own[1:]
-        if not len(own):
+#: Bytes sampled at once: a long text in pieces, short texts together.
+PIECE = 1 << 18
+#: Texts of a task whose keys are held to pass over further copies; beyond that the memory of them starts anew.
+SEEN = 100_000
+#: Spans that may be broadcast for cutting, 16 bytes each.
+SPAN_ROWS = 1_000_000
+_PLACE = 20
+_LANES = [U64(x) for x in (0x8CB92BA72F3D8DD7, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_KEY, _CTX = ["k1", "k2"], ["gram", "ctx"]
+
+
+def _grams(buf: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the GRAM bytes from each place on."""
+    lanes = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=np.ascontiguousarray(buf), strides=(1,)).copy()
+    n = len(buf) - GRAM + 1
+    out = lanes[:n] * _LANES[0]
+    for i in (1, 2, 3):
+        out += lanes[8 * i : 8 * i + n] * _LANES[i]
+    return mix64(out + U64(salt))
+
+
+def sample(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in buf, gram) of the sampled suffixes of the texts starts:stops of buf, which has under 2**20 bytes and holds GRAM at least."""
+    reach = length - GRAM
+    counts = np.maximum(stops - starts - length + 1, 0)
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    g = _grams(buf, salt)
+    m = (g >> U64(_PLACE) << U64(_PLACE)) | np.arange(len(g), dtype=U64)
+    span = 1
+    while 2 * span <= reach + 1:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    if span <= reach:
+        m = np.minimum(m[: span - reach - 1], m[reach + 1 - span :])
+    text = np.repeat(np.arange(len(counts)), counts)
+    first = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
+    own = (m[first] & U64((1 << _PLACE) - 1)).astype(np.int64)
+    new = np.concatenate(([True], own[1:] != own[:-1]))
+    return text[new], own[new], g[own[new]]
+
+
+def _contexts_of(data: memoryview, places: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the contexts of places in data; low, high: where the text of each begins and ends."""
+    left, right = np.maximum(places - (length - GRAM), low), np.minimum(places + length, high)
+    found = [xxhash.xxh3_64_intdigest(data[a:b], p - a) for p, a, b in zip(places.tolist(), left.tolist(), right.tolist(), strict=True)]
+    return np.array(found, dtype=U64)
+
+
+def anchors(texts: list[memoryview], length: int, salt: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place in it, gram, context) of the sampled suffixes of texts, for runs of texts or pieces of one text."""
+    run: list[int] = []
+    size = 0
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data = b"".join(texts[i] for i in run)
+        sizes = np.array([len(texts[i]) for i in run], dtype=np.int64)
+        stops = np.cumsum(sizes)
+        text, place, gram = sample(np.frombuffer(data, dtype=np.uint8), stops - sizes, stops, length, salt)
+        ctx = _contexts_of(memoryview(data), place, (stops - sizes)[text], stops[text], length)
+        return np.array(run)[text], place - (stops - sizes)[text], gram, ctx
+
+    for i, t in enumerate(texts):
+        if len(t) < length:
             continue
-        last = int(own[-1]) + first
-        place = own + first
-        left, right = np.maximum(place - reach, 0), np.minimum(place + length, n)
-        h = mix64((sums[right - low] - sums[left - low]) * inverse[left - low])
-        contexts.append(mix64(h + (place - left).astype(U64) * U64(0xA0761D6478BD642F) + (right - place).astype(U64)))
-        places.append(place)
-        grams.append(g[own])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
-    return np.concatenate(places), np.concatenate(grams), np.concatenate(contexts)
+        if len(t) > PIECE:
+            last = -1
+            for first in range(0, len(t) - length + 1, PIECE):
+                buf = np.frombuffer(t[first : min(len(t), first + PIECE + length - 1)], dtype=np.uint8)
+                _, place, gram = sample(buf, np.zeros(1, np.int64), np.array([len(buf)]), length, salt)
+                place = place + first
+                new = place > last
+                place, gram = place[new], gram[new]
+                if len(place):
+                    last = int(place[-1])
+                    yield np.full(len(place), i), place, gram, _contexts_of(t, place, np.zeros(len(place), np.int64), np.full(len(place), len(t)), length)
+            continue
+        if size + len(t) > PIECE:
+            yield together()
+            run, size = [], 0
+        run.append(i)
+        size += len(t)
+    if run:
+        yield together()
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of one text begin and end, and their codes."""
-    begins, ends, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    at = 0
-    while at < len(data):
-        to = min(at + PIECE, len(data))
-        while to < len(data) and not _SPACE[data[to]]:
-            more = np.flatnonzero(_SPACE[data[to : to + PIECE]])
-            to = to + int(more[0]) if len(more) else min(to + PIECE, len(data))
-        buf = data[at:to]
-        edge = np.diff(np.concatenate(([False], ~_SPACE[buf], [False])).astype(np.int8))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        power, inverse = _power(len(buf))
-        sums = np.zeros(len(buf) + 1, dtype=U64)
-        np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-        codes.append(mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U64) * U64(0xA0761D6478BD642F)))
-        begins.append(begin + at)
-        ends.append(end + at)
-        at = to
-    return np.concatenate(begins), np.concatenate(ends), np.concatenate(codes)
-
-
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (doc, key, text) to (doc, key, codes of the text's words)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            codes = [words(np.frombuffer(t.as_buffer(), dtype=np.uint8))[2].view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes() for t in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary())], names=["doc", "key", "codes"])
+    """Where the words of one text begin and end, and their hashes."""
+    out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
+    for at, to in pieces(data):
+        begin, end = bounds(data[at:to], np.zeros(1, np.int64))
+        out.append((begin + at, end + at, hashes(data[at:to], begin, end)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))  # type: ignore[return-value]
+
+
+def coded(data: memoryview) -> memoryview:
+    """The codes of a text's words, CODE bytes each."""
+    return memoryview(words(np.frombuffer(data, dtype=np.uint8))[2].view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
 
 
 def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -162,129 +190,142 @@ def repeat_groups(right: np.ndarray, right_sizes: np.ndarray, left: np.ndarray,
             yield common, members, extension
 
 
-def _anchors(length: int):
-    """Batches (doc, key, text) to (doc, key, size, place, gram, ctx)."""
+def _anchors(lengths: tuple[int, ...]):
+    """Batches (doc, k1, k2, text) to (doc, k1, k2, view, place, gram, ctx); lengths: of the strings in each view, bytes and words' codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "key", "size", "place", "gram", "ctx"]
+        names = ["doc", "k1", "k2", "view", "place", *_CTX]
+        seen: dict[int, int] = {}
         for batch in batches:
-            row, size, place, gram, ctx = [], [], [], [], []
-            kept = 0
-
-            def flush() -> pa.RecordBatch:
-                rows = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
-                cat = lambda x, t: pa.array((np.concatenate(x) if x else np.zeros(0, np.uint64)).astype(np.uint64).view(np.int64), pa.int64()).cast(t)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), cat(size, pa.int64()), cat(place, pa.int64()), cat(gram, pa.int64()), cat(ctx, pa.int64())], names=names)
-
-            for i, text in enumerate(batch.column(2)):
-                buf = text.as_buffer()
-                if buf is None or len(buf) < length:
-                    continue
-                p, g, c = sample(np.frombuffer(buf, dtype=np.uint8), length)
-                row.append(np.full(len(p), i))
-                size.append(np.full(len(p), len(buf)))
-                place.append(p)
-                gram.append(g)
-                ctx.append(c)
-                kept += len(p)
-                if kept > 100_000:
-                    yield flush()
-                    row, size, place, gram, ctx, kept = [], [], [], [], [], 0
-            yield flush()
+            once = []
+            for i, (k1, k2) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                # A third copy tells nothing more than a second one: its strings repeat.
+                times = seen.get(key := k1 << 64 | k2 & (1 << 64) - 1, 0)
+                if times < 2:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[key] = times + 1
+                    once.append(i)
+            for at in range(0, len(once), 256):
+                rows = once[at : at + 256]
+                texts = [memoryview(batch.column(3)[i].as_buffer()) for i in rows]
+                for view, length in enumerate(lengths):
+                    if not length:
+                        continue
+                    if view:
+                        texts = [coded(t) for t in texts]
+                    for text, place, gram, ctx in anchors(texts, length, view):
+                        own = pa.array(np.array(rows)[text])
+                        columns = [batch.column(i).take(own) for i in range(3)]
+                        columns += [pa.array(np.full(len(text), view, np.int8)), pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _contexts(length: int):
-    """Batches (places, text), places: array of (place, gram, ctx, n, big), to the contexts' bytes."""
-    reach = length - GRAM
+_CONTEXT = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("view", pa.int8()), ("n", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+
+
+def _contexts(lengths: tuple[int, ...]):
+    """Batches (places, text) to the bytes around the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "ctx", "n", "big", "before", "after"]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            size = 0
+            out: list[tuple] = []
             for places, text in zip(batch.column(0), batch.column(1), strict=True):
-                data = text.as_buffer()
-                for x in places.as_py():
-                    p = x["place"]
-                    for column, value in zip(out, (x["gram"], x["ctx"], x["n"], x["big"], data[max(0, p - reach) : p].to_pybytes(), data[p : p + length].to_pybytes()), strict=True):
-                        column.append(value)
-                size += len(out[0])
-                if len(out[0]) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], names=names)
-                    out = [[], [], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], names=names)
+                found = places.as_py()
+                plain = memoryview(text.as_buffer())
+                views = [plain, coded(plain) if any(x["view"] for x in found) else plain]
+                for x in found:
+                    p, length, data = x["place"], lengths[x["view"]], views[x["view"]]
+                    out.append((x["gram"], x["ctx"], x["view"], x["n"], bytes(data[max(0, p - length + GRAM) : p]), bytes(data[p : p + length])))
+                    if len(out) >= 4096:
+                        yield _batch(out, _CONTEXT)
+                        out = []
+            yield _batch(out, _CONTEXT)
 
     return run
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), dtype=np.uint8).reshape(len(parts), width), sizes
 
 
-def _resolve(length: int):
-    """Streams contexts sorted by gram to (gram, ctx, low, high): the offsets before the suffix at which repeated strings start."""
+_RANGE = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+
+
+def _settle(members: list[list[tuple]], length: int) -> list[tuple]:
+    """(gram, ctx, low, high) of the groups' members that hold repeated strings: the offsets before the suffix at which these start."""
     reach = length - GRAM
+    out: list[tuple] = []
+    if pairs := [m for own in members if len(own) == 2 for m in own]:
+        left, left_sizes = _matrix([m[4][::-1] for m in pairs], reach)
+        right, right_sizes = _matrix([m[5] for m in pairs], length)
+        x = np.arange(0, len(pairs), 2)
+        back, ahead = _common(left, left_sizes, x, x + 1), _common(right, right_sizes, x, x + 1)
+        for i in np.flatnonzero(back + ahead >= length).tolist():
+            out += [(*m[:2], length - int(ahead[i]), int(back[i])) for m in pairs[2 * i : 2 * i + 2] if m[3] == 1]
+    for own in members:
+        if len(own) < 3:
+            continue
+        left, left_sizes = _matrix([m[4][::-1] for m in own], reach)
+        right, right_sizes = _matrix([m[5] for m in own], length)
+        low, high = np.full(len(own), length), np.full(len(own), -1)
+        for common, held, extension in repeat_groups(right, right_sizes, left, left_sizes, length):
+            fits = common + extension >= length
+            held, extension = held[fits], extension[fits]
+            low[held] = np.minimum(low[held], length - common)
+            high[held] = np.maximum(high[held], extension)
+        out += [(*m[:2], int(a), int(b)) for m, a, b in zip(own, low, high, strict=True) if b >= 0 and m[3] == 1]
+    return out
 
-    def settle(pairs: list, groups: list) -> pa.RecordBatch:
-        out: list[tuple[int, int, int, int]] = []
-        if pairs:
-            left, left_sizes = _matrix([m[2][::-1] for m in pairs], reach)
-            right, right_sizes = _matrix([m[3] for m in pairs], length)
-            x = np.arange(0, len(pairs), 2)
-            back, ahead = _common(left, left_sizes, x, x + 1), _common(right, right_sizes, x, x + 1)
-            for i in np.flatnonzero(back + ahead >= length).tolist():
-                for m in pairs[2 * i : 2 * i + 2]:
-                    out.append((m[0], m[1], length - int(ahead[i]), int(back[i])))
-        for members in groups:
-            left, left_sizes = _matrix([m[2][::-1] for m in members], reach)
-            right, right_sizes = _matrix([m[3] for m in members], length)
-            low, high = np.full(len(members), length), np.full(len(members), -1)
-            for common, own, extension in repeat_groups(right, right_sizes, left, left_sizes, length):
-                fits = common + extension >= length
-                own, extension = own[fits], extension[fits]
-                low[own] = np.minimum(low[own], length - common)
-                high[own] = np.maximum(high[own], extension)
-            out += [(m[0], m[1], int(a), int(b)) for m, a, b in zip(members, low, high, strict=True) if b >= 0]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["gram", "ctx", "low", "high"])
+
+def _resolve(lengths: tuple[int, ...]):
+    """Streams contexts (gram, ctx, view, n, before, after) sorted by gram to the offsets of repeated strings; contexts that occur twice repeat as a whole, and stay out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list = []
-        groups: list = []
+        groups: list[list[list[tuple]]] = [[] for _ in lengths]
         own: dict[int, tuple] = {}
-        gram = None
+        gram, held = None, 0
 
         def close() -> None:
-            if len(own) == 2:
-                pairs.extend(own.values())
-            elif len(own) > 2:
-                groups.append(list(own.values()))
+            nonlocal held
+            if len(own) > 1:
+                groups[next(iter(own.values()))[2]].append(list(own.values()))
+                held += len(own)
+
+        def settle() -> pa.RecordBatch:
+            return _batch([x for view, length in enumerate(lengths) for x in _settle(groups[view], length)], _RANGE)
 
         for batch in batches:
-            for m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for m in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if m[0] != gram:
                     close()
                     own, gram = {}, m[0]
-                    if len(pairs) + sum(map(len, groups)) > 4096:
-                        yield settle(pairs, groups)
-                        pairs, groups = [], []
+                    if held > 4096:
+                        yield settle()
+                        groups, held = [[] for _ in lengths], 0
                 own[m[1]] = m
         close()
-        yield settle(pairs, groups)
+        yield settle()
 
     return run
 
 
+_BAND = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("outer", pa.binary()), ("inner", pa.binary())])
+
+
 def _bands(length: int, width: int):
     """Batches (gram, ctx, n, before, after, first, last) to a row for each band of width offsets: hashes of what all its strings span and share."""
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "ctx", "n", "first", "last", "outer", "inner"]
-        digest = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
         for batch in batches:
             out: list[tuple] = []
             for gram, ctx, n, before, after, low, high in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -295,10 +336,11 @@ def _bands(length: int, width: int):
                     if a < 0 or b > len(text):
                         continue
                     whole = at - last >= 0 and at - first + length <= len(text)
-                    inner = digest(b"%d," % first + text[a:b])
-                    out.append((gram, ctx, n, first, last, digest(b"%d;" % first + text[at - last : at - first + length]) if whole else None, inner))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
+                    out.append((gram, ctx, n, first, last, xxhash.xxh3_128_digest(text[at - last : at - first + length]) if whole else None, xxhash.xxh3_128_digest(text[a:b])))
+                if len(out) >= 16_384:
+                    yield _batch(out, _BAND)
+                    out = []
+            yield _batch(out, _BAND)
 
     return run
 
@@ -306,77 +348,85 @@ def _bands(length: int, width: int):
 def _by_hash(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(gram, ctx, low, high) of groups too large to sort, by narrowing bands of offsets."""
     reach = length - GRAM
-    bytes_ = contexts.select("gram", "ctx", "n", "before", "after")
+    bytes_ = contexts.select(*_CTX, "n", "before", "after")
     open_ = bytes_.select("*", F.lit(0).alias("first"), F.lit(reach).alias("last"))
     found = None
     width = reach + 1
     while width > 1:
         width = max(1, -(-width // 8))
-        bands = scratch.table(open_.mapInArrow(_bands(length, width), "gram long, ctx long, n long, first int, last int, outer long, inner long"), "bands")
+        bands = scratch.table(open_.mapInArrow(_bands(length, width), "gram long, ctx long, n long, first int, last int, outer binary, inner binary"), "bands")
         twice = lambda c: bands.where(F.col(c).isNotNull()).groupBy("gram", "first", c).agg(F.sum("n").alias("all")).where("all > 1").drop("all").withColumn(f"{c}_twice", F.lit(True))
-        judged = scratch.table(bands.join(twice("inner"), ["gram", "first", "inner"]).join(twice("outer"), ["gram", "first", "outer"], "left").select("gram", "ctx", "n", "first", "last", "outer", "outer_twice"), "judged")
-        done = judged.where("outer_twice").select("gram", "ctx", F.col("first").alias("low"), F.col("last").alias("high"))
+        judged = scratch.table(bands.join(twice("inner"), ["gram", "first", "inner"]).join(twice("outer"), ["gram", "first", "outer"], "left").select(*_CTX, "n", "first", "last", "outer", "outer_twice"), "judged")
+        done = judged.where("outer_twice").select(*_CTX, "n", F.col("first").alias("low"), F.col("last").alias("high"))
         found = done if found is None else found.unionByName(done)
         # Settled bands stay as partners of the open ones: one context for each distinct string, counted as two.
         partners = judged.where("outer_twice").groupBy("gram", "first", "last", "outer").agg(F.min("ctx").alias("ctx")).select("gram", "ctx", F.lit(2).cast("long").alias("n"), "first", "last")
-        open_ = judged.where("outer_twice is null").select("gram", "ctx", "n", "first", "last").unionByName(partners)
-        open_ = open_.join(bytes_.drop("n"), ["gram", "ctx"]).select("gram", "ctx", "n", "before", "after", "first", "last")
-    return found.groupBy("gram", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        open_ = judged.where("outer_twice is null").select(*_CTX, "n", "first", "last").unionByName(partners)
+        open_ = open_.join(bytes_.drop("n"), _CTX).select(*_CTX, "n", "before", "after", "first", "last")
+    return found.groupBy(*_CTX).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("n").alias("n")).where("n = 1").drop("n")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(docs with a column __key__, spans): spans has, for each text key with repeats, its array of (low, high) byte ranges, which may overlap.
+def _keys(text) -> tuple:
+    """What tells texts apart: their MD5 as two numbers."""
+    digest = F.md5(text)
+    return tuple(F.conv(F.substring(digest, i, 16), 16, -10).cast("long").alias(k) for i, k in zip((1, 17), _KEY, strict=True))
 
-    key: what tells texts apart; their MD5 by default.
+
+def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, n_words: int | None = None) -> DataFrame:
+    """(k1, k2, view, low, high): byte ranges of each text that hold repeated strings of length bytes (view 0), or of the codes of n_words words (view 1); they may overlap.
+
+    A text's key k1, k2 is that of `_keys`. A range may end beyond the text, which ends it. The table stays until the driver ends.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    reach = length - GRAM
-    if reach < GRAM:
-        raise ValueError(f"length has to be {2 * GRAM} at least")
-    key = F.unhex(F.md5(F.col(text_col).cast("binary"))) if key is None else key
-    keyed = docs.withColumn("__key__", key)
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), key.alias("key"), F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= length)
-    found = scratch.table(plain.mapInArrow(_anchors(length), "doc long, key binary, size long, place long, gram long, ctx long"), "suffixes")
-    classes = scratch.table(found.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("at")), "classes")
-    grams = classes.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("gram", (F.col("contexts") > group).alias("big"))
-    shared = classes.join(grams, "gram").select(F.col("at.doc").alias("doc"), F.col("at.key").alias("key"), F.struct(F.col("at.place").alias("place"), "gram", "ctx", "n", "big").alias("x"))
-    wanted = shared.groupBy("doc", "key").agg(F.collect_list("x").alias("places"))
-    contexts = scratch.table(plain.join(wanted, ["doc", "key"]).select("places", "text").mapInArrow(_contexts(length), "gram long, ctx long, n long, big boolean, before binary, after binary"), "contexts")
-    small = contexts.where("not big").select("gram", "ctx", "before", "after").repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-    resolved = scratch.table(small.mapInArrow(_resolve(length), "gram long, ctx long, low int, high int"), "resolved")
-    big = contexts.where("big").dropDuplicates(["gram", "ctx"])
-    if not contexts.where("big").isEmpty():
-        resolved = resolved.unionByName(scratch.table(_by_hash(scratch.table(big, "big"), length, scratch), "by-hash"))
-    whole = classes.where("n > 1").select("gram", "ctx", F.lit(0).alias("low"), F.lit(reach).alias("high"))
-    every = resolved.join(whole.select("gram", "ctx"), ["gram", "ctx"], "left_anti").unionByName(whole)
-    at = found.join(every, ["gram", "ctx"])
-    low = F.greatest(F.lit(0), F.col("place") - F.col("high"))
-    high = F.least(F.col("size"), F.col("place") - F.col("low") + length)
-    ranges = at.select("key", low.alias("low"), high.alias("high")).where(F.col("high") - F.col("low") >= length).distinct()
-    spans = ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    kept = Scratch(spark, "spans").table(spans, "spans")
-    scratch.remove()
-    return keyed, kept
-
-
-def _passages(docs: DataFrame, n_words: int, id_col: str, text_col: str, group: int) -> DataFrame:
-    """(key, spans) as of repeated_spans, for passages of n_words words; ranges are bytes of the words' codes."""
-    if n_words * CODE < 2 * GRAM:
-        raise ValueError(f"passages have to be of {-(-2 * GRAM // CODE)} words at least")
+    lengths = (length, (n_words or 0) * CODE)
+    if min(n for n in lengths if n) < 2 * GRAM:
+        raise ValueError(f"length has to be {2 * GRAM} at least, and passages of {-(-2 * GRAM // CODE)} words")
     # So many words and the white space between them have that many bytes at least.
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("key"), F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= 2 * n_words - 1)
-    scratch = Scratch(docs.sparkSession, "words")
-    coded = scratch.table(plain.mapInArrow(_coded, "doc long, key binary, codes binary"), "codes")
-    spans = repeated_spans(coded, n_words * CODE, "doc", "codes", group, F.col("key"))[1]
+    least = min(length, 2 * n_words - 1) if n_words else length
+    text = F.col(text_col).cast("binary")
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), *_keys(text), text.alias("text")).where(F.length("text") >= least)
+    found = scratch.table(plain.mapInArrow(_anchors(lengths), "doc long, k1 long, k2 long, view tinyint, place int, gram long, ctx long"), "suffixes")
+    classes = scratch.table(found.groupBy(*_CTX).agg(F.count("*").alias("n")), "classes")
+    grams = classes.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("gram", "contexts", (F.col("contexts") > group).alias("big"))
+    shared = scratch.table(join_by_degree(classes, grams, ["gram"], "contexts", classes.count(), scratch), "shared")
+    # What is left after this: suffixes whose context repeats, and those that share their gram with another context; big is null where only the former holds.
+    alone = classes.where("n > 1").join(shared.where("n > 1").select(*_CTX), _CTX, "left_anti").withColumn("big", F.lit(None).cast("boolean"))
+    hits = scratch.table(join_by_degree(found, shared.unionByName(alone).withColumn("degree", F.col("n")), _CTX, "degree", found.count(), scratch), "hits")
+    scratch.drop(found, classes, shared)
+    places = hits.where("big is not null")
+    firsts = [F.first(c).alias(c) for c in ("doc", *_KEY, "view", "place", "n", "big")]
+    single = places.where("n = 1").unionByName(places.where("n > 1").groupBy(*_CTX).agg(*firsts))
+    wanted = scratch.table(single.groupBy("doc", *_KEY, "big").agg(F.collect_list(F.struct("place", "view", *_CTX, "n")).alias("places")), "wanted")
+
+    def contexts(big: bool, view: int | None = None) -> DataFrame:
+        of = wanted.where(F.col("big") == big).drop("big")
+        of = of if view is None else of.withColumn("places", F.filter("places", lambda x: x["view"] == view)).where(F.size("places") > 0)
+        asked = plain.join(maybe_broadcast(of.select("doc", *_KEY)), ["doc", *_KEY], "left_semi").join(of, ["doc", *_KEY])
+        return asked.select("places", "text").mapInArrow(_contexts(lengths), "gram long, ctx long, view tinyint, n long, before binary, after binary")
+
+    small = contexts(False).repartition(partitions(spark), "gram").sortWithinPartitions("gram")
+    resolved = scratch.table(small.mapInArrow(_resolve(lengths), "gram long, ctx long, low int, high int"), "resolved")
+    for view in [r["view"] for r in places.where("big").select("view").distinct().collect()]:
+        big = scratch.table(contexts(True, view).dropDuplicates(_CTX).drop("view"), "big")
+        resolved = resolved.unionByName(scratch.table(_by_hash(big, lengths[view], scratch), "by-hash"))
+    own_length = F.when(F.col("view") == 0, F.lit(lengths[0])).otherwise(F.lit(lengths[1]))
+    whole = hits.where("n > 1").select(*_KEY, "view", "place", F.lit(0).alias("low"), (own_length - GRAM).alias("high"))
+    parts = hits.where("n = 1").join(resolved, _CTX).select(*_KEY, "view", "place", "low", "high")
+    at = whole.unionByName(parts)
+    low = F.greatest(F.lit(0), F.col("place") - F.col("high"))
+    ranges = at.select(*_KEY, "view", low.alias("low"), (F.col("place") - F.col("low") + own_length).alias("high")).distinct()
+    kept = Scratch(spark, "spans").table(ranges, "spans")
     scratch.remove()
-    return spans
+    return kept
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of the ranges; ranges that touch are one run."""
+def merged(spans: list[tuple[int, int]], length: int, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of the ranges that have length at least before size; ranges that touch are one run."""
     out: list[list[int]] = []
-    for low, high in sorted((s["low"], s["high"]) for s in spans or ()):
+    for low, high in sorted((low, min(high, size)) for low, high in spans):
+        if high - low < length:
+            continue
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -384,59 +434,74 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _places(spans: list[dict], data: memoryview, least: int) -> list[dict]:
+def _places(spans: list[tuple[int, int]], data: memoryview, least: int) -> list[tuple[int, int]]:
     """Ranges of the text for those of its words' codes."""
     begins, ends, _ = words(np.frombuffer(data, dtype=np.uint8))
-    whole = [(-(-s["low"] // CODE), s["high"] // CODE) for s in spans]
-    return [{"low": int(begins[a]), "high": int(ends[b - 1])} for a, b in whole if b - a >= least]
+    whole = [(-(-low // CODE), min(high // CODE, len(begins))) for low, high in spans]
+    return [(int(begins[a]), int(ends[b - 1])) for a, b in whole if b - a >= least]
 
 
-def _cut(keep: int, digest: bool, least: int = 0):
-    """Batches (kept columns..., text, spans, spans of words) to kept columns with the digest or the remaining text."""
+def _cut(keep: int, digest: bool, length: int, least: int):
+    """Batches (kept columns..., text, spans) to kept columns with the digest or the remaining text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, gone, runs, kept = [], [], [], []
-            for text, spans, passages in zip(batch.column(keep), batch.column(keep + 1), batch.column(keep + 2), strict=True):
-                data = text.as_buffer()
-                data = memoryview(data) if data is not None else memoryview(b"")
-                cuts = merged((spans.as_py() or []) + (_places(passages.as_py(), data, least) if passages.is_valid else []))
-                size.append(len(data))
-                gone.append(sum(b - a for a, b in cuts))
-                runs.append(len(cuts))
-                ends = [0, *(x for c in cuts for x in c), len(data)]
-                parts = [data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
-                if digest:
-                    h = hashlib.sha256()
-                    for p in parts:
-                        h.update(p)
-                    kept.append(h.hexdigest())
-                else:
-                    kept.append(None if text.as_py() is None else b"".join(parts).decode("utf-8", "ignore"))
-            last = "kept_sha256" if digest else "kept_text"
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[:keep], "n_bytes", "n_removed", "n_spans", last])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                size, gone, runs, kept = [], [], [], []
+                for text, spans in zip(batch.column(keep), batch.column(keep + 1), strict=True):
+                    data = text.as_buffer()
+                    data = memoryview(data) if data is not None else memoryview(b"")
+                    found = spans.as_py() or []
+                    cuts = merged([(s["low"], s["high"]) for s in found if not s["view"]], length, len(data))
+                    if passages := [(s["low"], s["high"]) for s in found if s["view"]]:
+                        cuts = merged(cuts + _places(passages, data, least), 1, len(data))
+                    size.append(len(data))
+                    gone.append(sum(b - a for a, b in cuts))
+                    runs.append(len(cuts))
+                    ends = [0, *(x for c in cuts for x in c), len(data)]
+                    parts = [data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+                    if digest:
+                        h = hashlib.sha256()
+                        for p in parts:
+                            h.update(p)
+                        kept.append(h.hexdigest())
+                    else:
+                        kept.append(None if not text.is_valid else b"".join(parts).decode("utf-8", "ignore"))
+                last = "kept_sha256" if digest else "kept_text"
+                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[:keep], "n_bytes", "n_removed", "n_spans", last])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False, group: int = GROUP, n_words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False, group: int = GROUP, n_words: int | None = None, span_rows: int = SPAN_ROWS) -> DataFrame:
     """The columns keep (default: the id) of each row with n_bytes, n_removed, n_spans and kept_text, or kept_sha256 if digest.
 
-    n_words: passages of so many words that repeat are cut as well, however few bytes they have.
+    n_words: passages of so many words that repeat are cut as well, however few bytes they have. span_rows: ranges that may be broadcast.
 
     kept_text is null for a null text; a character that a cut splits is left out of it. kept_sha256 is of the remaining bytes themselves.
     Kept columns of the result's names are replaced.
     """
     new = {"n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256"}
     keep = [c for c in (keep or [id_col]) if c.lower() not in new]
-    keyed, spans = repeated_spans(docs, length, id_col, text_col, group)
-    rows = keyed.select(*keep, F.col(text_col).cast("binary").alias("__text__"), "__key__")
-    joined = rows.join(spans.withColumnRenamed("key", "__key__").withColumnRenamed("spans", "__spans__"), "__key__", "left")
-    if n_words:
-        passages = _passages(docs, n_words, id_col, text_col, group)
-        joined = joined.join(passages.withColumnRenamed("key", "__key__").withColumnRenamed("spans", "__passages__"), "__key__", "left")
+    ranges = repeated_spans(docs, length, id_col, text_col, group, n_words)
+    spans = ranges.groupBy(*_KEY).agg(F.collect_list(F.struct("view", "low", "high")).alias("__spans__")).withColumnsRenamed({"k1": "__k1__", "k2": "__k2__"})
+    text = F.col(text_col).cast("binary")
+    k1, k2 = _keys(text)
+    rows = docs.select(*keep, text.alias("__text__"), k1.alias("__k1__"), k2.alias("__k2__"))
+    on = ["__k1__", "__k2__"]
+    columns = [*keep, "__text__", "__spans__"]
+    if ranges.count() <= span_rows:
+        joined = rows.join(F.broadcast(spans), on, "left").select(*columns)
     else:
-        joined = joined.withColumn("__passages__", F.lit(None).cast("array<struct<low:int,high:bigint>>"))
-    joined = joined.select(*keep, "__text__", "__spans__", "__passages__")
+        # Texts without a range stay where they are, where the others are counted to be few; copies of one text don't meet in one task.
+        scratch = Scratch(docs.sparkSession, "cut")
+        degrees = rows.groupBy(*on).agg(F.count("*").alias("n"))
+        table = scratch.table(spans.join(degrees, on), "spans")
+        n_rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        keys = maybe_broadcast(table.select(*on))
+        hit = join_by_degree(rows.join(keys, on, "left_semi"), table, on, "n", n_rows, scratch)
+        miss = rows.where(F.col("__k1__").isNull()).unionByName(rows.join(keys, on, "left_anti").where(F.col("__k1__").isNotNull()))
+        joined = hit.select(*columns).unionByName(miss.withColumn("__spans__", F.lit(None).cast(spans.schema["__spans__"].dataType)).select(*columns))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return joined.mapInArrow(_cut(len(keep), digest, n_words or 0), f"{schema}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept_text'} string")
+    return joined.mapInArrow(_cut(len(keep), digest, length, n_words or 0), f"{schema}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept_text'} string")

@@ -1,4 +1,8 @@
-"""Vectorised word and shingle codes over Arrow text buffers."""
+"""Vectorised word and shingle codes over Arrow text buffers.
+
+Words are hashed from their bytes to 64 bits, mixed after each lane of 8 bytes; a shingle's code mixes its words' hashes in order. No code is a plain polynomial, which
+self-similar strings could make equal; different shingles share a code with a chance of 2**-64.
+"""
 
 from __future__ import annotations
 
@@ -6,50 +10,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from folioscan.llm.common import U64, mix64
 
 #: Bytes coded at once; a longer text is cut at white space, so that memory stays bounded.
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
+#: Bytes of a word that are hashed in lanes of 8 for all words together; longer ones are hashed one by one.
+LANES = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_CODE = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_CODE = _CODE[_LOWER]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of them."""
-    size = max(CHUNK, 1 << (n - 1).bit_length()) + 1
-    if size not in _powers:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, dtype=U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
-        _powers.clear()
-        _powers[size] = (out[0], out[1])
-    return _powers[size]
+def hashes(buf: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range at:to of buf. Ranges of up to 8 bytes have different hashes where their bytes or lengths differ, but for the length's share in them."""
+    lanes = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    n = to - at
+    h = mix64((mix64(n.astype(U64) * U64(0xA0761D6478BD642F))) ^ (lanes[at] & _MASK[np.minimum(n, 8)]))
+    rows = np.flatnonzero((n > 8) & (n <= LANES))
+    for first in range(8, LANES, 8):
+        if not len(rows):
+            break
+        h[rows] = mix64(h[rows] ^ (lanes[at[rows] + first] & _MASK[np.minimum(n[rows] - first, 8)]))
+        rows = rows[n[rows] > first + 8]
+    for i in np.flatnonzero(n > LANES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[at[i] : to[i]].tobytes())
+    return h
 
 
-def _words(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words of buf and the index of the text each lies in; starts: where texts begin."""
-    solid = ~_SPACE[buf]
+def bounds(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of buf begin and end; starts: where texts begin, which words don't cross."""
+    solid = ~SPACE[buf]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
     inner = starts[(starts > 0) & (starts < len(buf))]
     first[inner] = solid[inner]
     last[inner - 1] = solid[inner - 1]
-    at, to = np.flatnonzero(first), np.flatnonzero(last)
-    power, inverse = _power(len(buf))
-    sums = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(_CODE[buf] * power[: len(buf)], out=sums[1:])
-    codes = (sums[to + 1] - sums[at]) * inverse[at] + (to - at).astype(U64) * U64(0xA0761D6478BD642F)
-    return mix64(codes), np.searchsorted(starts, at, side="right") - 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _words(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of buf and the index of the text each lies in; starts: where texts begin."""
+    at, to = bounds(buf, starts)
+    return hashes(_LOWER[buf], at, to), np.searchsorted(starts, at, side="right") - 1
+
+
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of one text of some CHUNK bytes that end where a word does."""
+    at, stop = 0, len(data)
+    while at < stop:
+        to = min(at + CHUNK, stop)
+        while to < stop and not SPACE[data[to]]:
+            more = np.flatnonzero(SPACE[data[to : min(to + CHUNK, stop)]])
+            to = to + int(more[0]) if len(more) else min(to + CHUNK, stop)
+        yield at, to
+        at = to
 
 
 def word_codes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,14 +95,8 @@ def word_codes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
                     buf[offsets[r] - offsets[row] : offsets[r + 1] - offsets[row]] = 0x20
             codes, doc = _words(buf, offsets[row:end] - offsets[row]) if len(buf) else (np.zeros(0, U64), np.zeros(0, np.int64))
         else:
-            parts, at, stop = [], int(offsets[row]), int(offsets[row + 1])
-            while at < stop:
-                to = min(at + CHUNK, stop)
-                while to < stop and not _SPACE[data[to]]:
-                    more = np.flatnonzero(_SPACE[data[to : min(to + CHUNK, stop)]])
-                    to = to + int(more[0]) if len(more) else min(to + CHUNK, stop)
-                parts.append(_words(data[at:to], np.zeros(1, np.int64))[0])
-                at = to
+            own = data[offsets[row] : offsets[row + 1]]
+            parts = [_words(own[at:to], np.zeros(1, np.int64))[0] for at, to in pieces(own)]
             codes = np.concatenate(parts)
             doc = np.zeros(len(codes), np.int64)
         yield row, end, codes, doc

@@ -32,16 +32,24 @@ def near_duplicates(rows, k, percent=80):
     return {i: len(s) for i, s in sets.items()}, components(ids, links)
 
 
-def repeats(texts, length):
-    """For each text: (bytes removed, runs, remaining bytes)."""
+def repeats(texts, length, n_words=0):
+    """For each text: (bytes removed, runs, remaining bytes). n_words: passages of so many words go as well."""
     data = [(t or "").encode() for t in texts]
     at = defaultdict(int)
     for d in data:
         for p in range(len(d) - length + 1):
             at[d[p : p + length]] += 1
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] if n_words else [] for d in data]
+    passages = defaultdict(int)
+    held = [[tuple(d[a:b] for a, b in w[i : i + n_words]) for i in range(len(w) - n_words + 1)] if n_words else [] for d, w in zip(data, found, strict=True)]
+    for p in (p for own in held for p in own):
+        passages[p] += 1
     out = []
-    for d in data:
+    for d, w, own in zip(data, found, held, strict=True):
         gone = [False] * len(d)
+        for i, p in enumerate(own):
+            if passages[p] > 1:
+                gone[w[i][0] : w[i + n_words - 1][1]] = [True] * (w[i + n_words - 1][1] - w[i][0])
         for p in range(len(d) - length + 1):
             if at[d[p : p + length]] > 1:
                 gone[p : p + length] = [True] * length

@@ -118,12 +118,49 @@ def test_minhash(spark, k):
 
 def test_minhash_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "MEMBERS", 4)
+    monkeypatch.setattr(minhash_dedup, "HOME_BYTES", 1000)
     monkeypatch.setattr(minhash_dedup, "PAIRS_A_GROUP", 3)
     texts = _prose(5, 120, 60)
     got = minhash_dedup.minhash_components(_docs(spark, texts), k=2).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == near_duplicates(list(enumerate(texts)), 2)[1]
 
 
+def test_minhash_tells_self_similar_words_apart(spark):
+    """Thue-Morse words and their complements, whose polynomial hashes modulo 2**64 are equal, and documents of two such words."""
+    word = "a"
+    texts = []
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 512:
+            other = word.translate(str.maketrans("ab", "ba"))
+            texts += [word, other, f"{word} {other}", f"{other} {word}", f"{word} {word}", word]
+    got = minhash_dedup.minhash_components(_docs(spark, texts), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == near_duplicates(list(enumerate(texts)), 2)[1]
+    cut = suffix_dedup.remove_repeats(_docs(spark, [x * 2 for x in texts]), length=400, digest=True).orderBy("doc_id").collect()
+    assert [r["kept_sha256"] for r in cut] == [sha(w[2]) for w in repeats([x * 2 for x in texts], 400)]
+
+
+def test_minhash_ids_with_several_texts(spark):
+    r = random.Random(6)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (11, c), (12, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["doc_id"], x["component_id"]) for x in minhash_dedup.minhash_components(docs, k=2).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (12, 11)}
+
+
+def test_hot_vertices(spark, monkeypatch):
+    from folioscan.llm import common, components as cc
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    r = random.Random(12)
+    links = [(0, i) for i in range(1, 900)] + [(1000 + i // 3, 2000 + i) for i in range(900)] + [(r.randrange(5000, 6000), r.randrange(5000, 6000)) for _ in range(700)] + [(4, 4)]
+    scratch = common.Scratch(spark, "test")
+    got = {x["id"]: x["component_id"] for x in cc.connected_components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
+    want = components({x for p in links for x in p}, links)
+    assert got == {i: want[i] for i in got} and {i for i, c in want.items() if i != c} <= set(got)
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(2)
     a = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
@@ -152,9 +189,21 @@ def test_repeats(spark, group):
     assert [(r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == [(a, b, sha(c)) for a, b, c in want]
     kept = suffix_dedup.remove_repeats(_docs(spark, texts), length=64, group=group).orderBy("doc_id").collect()
     assert [r["kept_text"] for r in kept] == [None if t is None else w[2].decode("utf-8", "ignore") for t, w in zip(texts, want, strict=True)]
+    odd = _docs(spark, texts).select(F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.floor(F.col("doc_id") / 2)).alias("doc_id"), F.col("doc_id").alias("row"), "text")
+    moved = suffix_dedup.remove_repeats(odd, length=64, keep=["row"], group=group, span_rows=0).orderBy("row").collect()
+    assert [r["kept_text"] for r in moved] == [r["kept_text"] for r in kept]
     assert suffix_dedup.remove_repeats(_docs(spark, texts).limit(0), length=64).count() == 0
 
 
+def test_long_texts_are_sampled_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 500)
+    r = random.Random(14)
+    texts = ["".join(r.choice("ab ") for _ in range(3000)) for _ in range(3)]
+    texts += [texts[0][700:1900] + texts[1][:90], "ab" * 1500, texts[2][:499], texts[2][:501]]
+    got = suffix_dedup.remove_repeats(_docs(spark, texts), length=64, digest=True).orderBy("doc_id").collect()
+    assert [r["kept_sha256"] for r in got] == [sha(w[2]) for w in repeats(texts, 64)]
+
+
 def test_intervals():
     text = b"mississippi"
     order = sorted(range(len(text)), key=lambda i: text[i:])

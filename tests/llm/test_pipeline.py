@@ -1,7 +1,6 @@
 """Each stage of the pipeline on what the one before kept, against plain versions."""
 
 import random
-from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -31,7 +30,7 @@ def test_stages(spark, tmp_path):
     groups = near_duplicates([(r["doc_id"], r["text"]) for r in language], 5)[1]
     assert {r["doc_id"] for r in near} == set(groups.values())
     rows = sorted((r["doc_id"], r["text"]) for r in near)
-    want = repeats([t for _, t in rows], 400)
+    want = repeats([t for _, t in rows], 400, 51)
     assert {r["doc_id"]: r["text"] for r in cut} == {i: w[2].decode("utf-8", "ignore") for (i, _), w in zip(rows, want, strict=True)}
     assert all(r["n_chars"] == len(r["text"]) for r in cut)
     bpe = byte_bpe.loaded(public_tokenizers.path("byte_bpe_50k.json"))
@@ -72,26 +71,13 @@ def test_passages_of_over_50_words_go_however_short(spark):
 
 def test_passages_equal_brute_force(spark):
     rows = sorted((x["doc_id"], x["text"]) for x in spark.read.parquet(f"{DATA}/documents.parquet").collect())
-    plain = {i: suffix_dedup.words(np.frombuffer(t.encode(), dtype=np.uint8)) for i, t in rows}
-    times, strings = Counter(), defaultdict(int)
-    split = {i: [t.encode()[a:b] for a, b in zip(*plain[i][:2], strict=True)] for i, t in rows}
     for i, t in rows:
-        assert split[i] == t.encode().split()
-        times.update(tuple(split[i][j : j + 51]) for j in range(len(split[i]) - 50))
-        for p in range(len(t.encode()) - 399):
-            strings[t.encode()[p : p + 400]] += 1
-    for group in (512, 8):
-        docs = spark.createDataFrame(rows, "doc_id long, text string")
-        cut = {x["doc_id"]: x["kept_text"] for x in suffix_dedup.remove_repeats(docs, length=400, n_words=51, group=group).collect()}
-        for i, t in rows:
-            data, gone = t.encode(), np.zeros(len(t.encode()), bool)
-            for j in range(len(split[i]) - 50):
-                if times[tuple(split[i][j : j + 51])] > 1:
-                    gone[plain[i][0][j] : plain[i][1][j + 50]] = True
-            for p in range(len(data) - 399):
-                if strings[data[p : p + 400]] > 1:
-                    gone[p : p + 400] = True
-            assert cut[i] == bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")
+        begins, ends, _ = suffix_dedup.words(np.frombuffer(t.encode(), dtype=np.uint8))
+        assert [t.encode()[a:b] for a, b in zip(begins, ends, strict=True)] == t.encode().split()
+    want = {i: w[2].decode("utf-8", "ignore") for (i, _), w in zip(rows, repeats([t for _, t in rows], 400, 51), strict=True)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for group, span_rows in ((512, 10**6), (8, 0)):
+        assert {x["doc_id"]: x["kept_text"] for x in suffix_dedup.remove_repeats(docs, length=400, n_words=51, group=group, span_rows=span_rows).collect()} == want
 
 
 def test_repeated_rows_leave_one(spark):
