@@ -5,8 +5,8 @@ A text is lower-cased, everything but letters becomes one space, and its 1- to 4
 centroids; a text takes the language of the centroid with the greatest cosine. A text is rejected whose cosine falls below a limit for
 its language and length, between what training texts and pieces of that length reach and what random letters do.
 
-The classifier is fitted on at most about `sample` labelled rows per language, picked by a hash of id: a documented, bounded sample;
-everything else covers all rows and whole texts. Null text or text without a letter: `und`, score 0, rejected.
+The classifier is fitted on at most `sample` different labelled rows (id and text) of each of the `languages` most frequent languages, picked by the rank of a hash: a documented,
+bounded sample; everything else covers all rows and whole texts. Null text or text without a letter: `und`, score 0, rejected.
 Ties between languages go to the lesser name. Without any labelled row every text is `und`. Repeated rows are predicted each. Empty table: no rows.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import U64, mix64
@@ -176,19 +176,26 @@ def _limits(scores: np.ndarray, sizes: np.ndarray, noise, reject_share: float) -
     return limits[np.abs(np.arange(BANDS)[:, None] - np.array(known)[None, :]).argmin(axis=1)]
 
 
-def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4, reject_share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from rows where training holds and lang isn't null. sample: expected labelled rows per language at most.
+def training_rows(docs: DataFrame, training: Column, sample: int, languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of at most `sample` different rows for each of the most frequent languages: those of the least hashes of id and text."""
+    labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language sample")).alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    if not sizes:
+        return labelled.limit(0).select("lang", "text")
+    # The least hashes, with room: some two samples' worth of the different rows, so the ranking is over few.
+    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * sample / r["n"]))])
+    near = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 30)).distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "text")
+
+
+def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4, reject_share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = 64) -> LanguageModel:
+    """A model from rows where training holds and lang isn't null. sample: labelled rows per language, languages: how many are learned, at most.
 
     reject_share: a text is rejected below a limit for its length and language, that share of the way from the cosines of random letters
     up to the least that the sample's texts, and pieces of them, reach at that length, a hundredth left out.
     """
-    labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return _NOTHING
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) < F.element_at(rate, F.col(lang_col)) * (1 << 30))
-    rows = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_features, "lang string, letters string, bins binary, counts binary").collect()
+    rows = training_rows(docs, training, sample, languages, id_col, text_col, lang_col).mapInArrow(_features, "lang string, letters string, bins binary, counts binary").collect()
     rows = sorted(((r["lang"], r["letters"] is None, bytes(r["bins"]), bytes(r["counts"]), r["letters"]) for r in rows), key=lambda r: r[:4])
     if not rows:
         return _NOTHING

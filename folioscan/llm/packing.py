@@ -4,8 +4,8 @@ Each input partition packs its own documents as they stream by, so nothing is sh
 document, whole lengths become sequences of their own; the rest waits in a group of bounded size. A group's pieces go
 in descending order to the sequence of lowest estimated attention cost (linear plus quadratic in the piece's length)
 that still has room; a piece that fits nowhere is cut to fill what room is left. Under one sequence of tokens is
-carried to the next group, and at a partition's end it is cut into sequences whose lengths are powers of two (which need no
-padding) down to `least`, so a partition is padded by under `least` tokens.
+carried to the next group, and at a partition's end it is cut into sequences whose lengths are powers of two, which need no
+padding: log2(size) sequences a partition at most, and no padding at all.
 
 Null and empty texts: the closing id alone. Repeated rows are packed once each. A null id stays null. An empty table
 gives no rows. Columns of the input other than id and text are not read.
@@ -58,7 +58,7 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> tupl
     return bins, left
 
 
-def _rows(path: str, size: int, end_id: int, group: int, linear: float, quadratic: float, least: int):
+def _rows(path: str, size: int, end_id: int, group: int, linear: float, quadratic: float):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,6 @@ def _rows(path: str, size: int, end_id: int, group: int, linear: float, quadrati
         queue = [(w, 0, len(w[2]) // 4) for w in waiting]
         while rest:
             length = 1 << (rest.bit_length() - 1)
-            length = rest if length < least else length
             rest -= length
             pieces = []
             while length:
@@ -119,14 +118,14 @@ def _rows(path: str, size: int, end_id: int, group: int, linear: float, quadrati
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, group: int = 1024, linear: float = 1.0, quadratic: float = 1.0 / 2048, least: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, group: int = 1024, linear: float = 1.0, quadratic: float = 1.0 / 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     size: tokens of a sequence, a power of two; end_id closes each document; group: documents whose rests wait together; linear and
-    quadratic: weights of the cost; least: below that length the last rest of a partition isn't cut further.
+    quadratic: weights of the cost.
     """
     if size & (size - 1) or size < 1:
         raise ValueError("size has to be a power of two")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = plain.mapInArrow(_rows(tokenizer_path, size, end_id, group, linear, quadratic, least), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = plain.mapInArrow(_rows(tokenizer_path, size, end_id, group, linear, quadratic), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return rows.withColumnRenamed("doc_id", id_col)
