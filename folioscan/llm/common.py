@@ -3,26 +3,45 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: A join side is broadcast only when a count has shown it to hold at most so many narrow rows.
 BROADCAST_ROWS = 500_000
-#: Bytes of an Arrow batch between JVM and Python while a written table is made: several copies of a batch are held on both sides.
-BATCH_BYTES = 8 << 20
-#: Settings while a table is written: small batches, and shuffle files that go with the job which wrote them, as the table takes their place.
-_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-
-
+#: What operators set on a session that doesn't set it itself: small Arrow batches, as several copies of one are held on both sides, and shuffle files that
+#: go with the query which wrote them, as a written table takes their place.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Rows of a written table that a part file should hold, where their number is known beforehand.
 ROWS_A_FILE = 200_000
 
 
+def _lean() -> None:
+    """Lets freed arrays of some MB go back to the system at once: workers are reused from stage to stage."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_lean()
+
+
+def configured(df: DataFrame) -> SparkSession:
+    """The session of df, with SETTINGS where it has none of its own."""
+    spark = df.sparkSession
+    for k, v in SETTINGS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where that is unset a temporary one in local mode, as in tests; an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,17 +71,8 @@ class Scratch:
         if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < partitions(self.spark):
             df = df.coalesce(files)
         path = f"{self.root}/{self.n:03d}-{name}"
-        before = {k: self.spark.conf.get(k, None) for k in _WRITING}
-        for k, v in _WRITING.items():
-            self.spark.conf.set(k, v)
-        try:
-            df.write.parquet(path)
-        finally:
-            for k, v in before.items():
-                if v is None:
-                    self.spark.conf.unset(k)
-                else:
-                    self.spark.conf.set(k, v)
+        configured(df)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import U64, mix64
+from folioscan.llm.common import U64, configured, mix64
 
 DIM = 1 << 18
 _SHIFT = U64(64 - 18)
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4
     reject_share: a text is rejected below a limit for its length and language, that share of the way from the cosines of random letters
     up to the least that the sample's texts, and pieces of them, reach at that length, a hundredth left out.
     """
+    configured(docs)
     rows = training_rows(docs, training, sample, languages, id_col, text_col, lang_col).mapInArrow(_features, "lang string, letters string, bins binary, counts binary").collect()
     rows = sorted(((r["lang"], r["letters"] is None, bytes(r["bins"]), bytes(r["counts"]), r["letters"]) for r in rows), key=lambda r: r[:4])
     if not rows:
@@ -237,6 +238,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: st
     """The columns keep of every row, with lang_pred, score and rejected. Kept columns of those names are replaced."""
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected")]
     # A kept text travels once.
+    configured(docs)
     plain = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text__"))
     at = keep.index(text_col) if text_col in keep else len(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import U64, Scratch, join_by_degree, maybe_broadcast, mix64, partitions
+from folioscan.llm.common import U64, Scratch, configured, join_by_degree, maybe_broadcast, mix64, partitions
 from folioscan.llm.components import connected_components
 from folioscan.llm.textcodes import shingle_sets
 
@@ -290,8 +290,7 @@ def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: in
 
     fingerprint: with the column fp, which texts of equal sets share; null for an empty set.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(configured(docs), "minhash")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = scratch.table(plain.mapInArrow(_describe(k, bands, rows), "id long, fp binary, n_shingles long, keys array<long>"), "sketches")
     whole = described.where("fp is not null and id is not null")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm import byte_bpe
+from folioscan.llm.common import configured
 
 
 def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
@@ -126,6 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_i
     """
     if size & (size - 1) or size < 1:
         raise ValueError("size has to be a power of two")
+    configured(docs)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = plain.mapInArrow(_rows(tokenizer_path, size, end_id, group, linear, quadratic), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return rows.withColumnRenamed("doc_id", id_col)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import configured
+
 MARK = "▁"
 #: Words kept with their ids in one Python worker; pairs of pieces kept with the verdict on them.
 CACHE_WORDS, CACHE_PAIRS = 800_000, 500_000
@@ -252,6 +254,7 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
     """(id_col, ids, n_ids) of each row, and restored if check: whether decoding the ids gives the text back exactly."""
+    configured(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encode(model_path, check), "id long, ids array<int>, n_ids long" + ", restored boolean" * check).withColumnRenamed("id", id_col)
 

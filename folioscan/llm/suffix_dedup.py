@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import U64, Scratch, join_by_degree, maybe_broadcast, mix64, partitions
+from folioscan.llm.common import U64, Scratch, configured, join_by_degree, maybe_broadcast, mix64, partitions
 from folioscan.llm.textcodes import bounds, hashes, pieces
 
 GRAM = 32
@@ -318,25 +318,24 @@ def _resolve(lengths: tuple[int, ...]):
     return run
 
 
-_BAND = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("outer", pa.binary()), ("inner", pa.binary())])
+_BAND = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("view", pa.int8()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("outer", pa.binary()), ("inner", pa.binary())])
 
 
-def _bands(length: int, width: int):
-    """Batches (gram, ctx, n, before, after, first, last) to a row for each band of width offsets: hashes of what all its strings span and share."""
-    reach = length - GRAM
+def _bands(lengths: tuple[int, ...], widths: tuple[int, ...]):
+    """Batches (gram, ctx, view, n, before, after, first, last) to a row for each band of its view's width of offsets: hashes of what all its strings span and share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for gram, ctx, n, before, after, low, high in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                text, at = before + after, len(before)
+            for gram, ctx, view, n, before, after, low, high in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                text, at, length, width = before + after, len(before), lengths[view], widths[view]
                 for first in range(low, high + 1, width):
-                    last = min(first + width - 1, high, reach)
+                    last = min(first + width - 1, high, length - GRAM)
                     a, b = at - first, at - last + length
                     if a < 0 or b > len(text):
                         continue
                     whole = at - last >= 0 and at - first + length <= len(text)
-                    out.append((gram, ctx, n, first, last, xxhash.xxh3_128_digest(text[at - last : at - first + length]) if whole else None, xxhash.xxh3_128_digest(text[a:b])))
+                    out.append((gram, ctx, view, n, first, last, xxhash.xxh3_128_digest(text[at - last : at - first + length]) if whole else None, xxhash.xxh3_128_digest(text[a:b])))
                 if len(out) >= 16_384:
                     yield _batch(out, _BAND)
                     out = []
@@ -345,24 +344,26 @@ def _bands(length: int, width: int):
     return run
 
 
-def _by_hash(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def _by_hash(contexts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataFrame:
     """(gram, ctx, low, high) of groups too large to sort, by narrowing bands of offsets."""
-    reach = length - GRAM
-    bytes_ = contexts.select(*_CTX, "n", "before", "after")
-    open_ = bytes_.select("*", F.lit(0).alias("first"), F.lit(reach).alias("last"))
+    bytes_ = contexts.select(*_CTX, "view", "n", "before", "after")
+    whole = F.element_at(F.array(*(F.lit(n - GRAM) for n in lengths)), F.col("view") + 1)
+    open_ = bytes_.select("*", F.lit(0).alias("first"), whole.alias("last"))
     found = None
-    width = reach + 1
-    while width > 1:
-        width = max(1, -(-width // 8))
-        bands = scratch.table(open_.mapInArrow(_bands(length, width), "gram long, ctx long, n long, first int, last int, outer binary, inner binary"), "bands")
+    widths = tuple(max(1, n - GRAM + 1) for n in lengths)
+    while max(widths) > 1:
+        widths = tuple(max(1, -(-w // 8)) for w in widths)
+        bands = scratch.table(open_.mapInArrow(_bands(lengths, widths), "gram long, ctx long, view tinyint, n long, first int, last int, outer binary, inner binary"), "bands")
         twice = lambda c: bands.where(F.col(c).isNotNull()).groupBy("gram", "first", c).agg(F.sum("n").alias("all")).where("all > 1").drop("all").withColumn(f"{c}_twice", F.lit(True))
-        judged = scratch.table(bands.join(twice("inner"), ["gram", "first", "inner"]).join(twice("outer"), ["gram", "first", "outer"], "left").select(*_CTX, "n", "first", "last", "outer", "outer_twice"), "judged")
-        done = judged.where("outer_twice").select(*_CTX, "n", F.col("first").alias("low"), F.col("last").alias("high"))
+        judged = scratch.table(bands.join(twice("inner"), ["gram", "first", "inner"]).join(twice("outer"), ["gram", "first", "outer"], "left").select(*_CTX, "view", "n", "first", "last", "outer", "outer_twice"), "judged")
+        scratch.drop(bands)
+        done = scratch.table(judged.where("outer_twice").groupBy(*_CTX).agg(F.min("first").alias("low"), F.max("last").alias("high"), F.min("n").alias("n")), "done")
         found = done if found is None else found.unionByName(done)
-        # Settled bands stay as partners of the open ones: one context for each distinct string, counted as two.
-        partners = judged.where("outer_twice").groupBy("gram", "first", "last", "outer").agg(F.min("ctx").alias("ctx")).select("gram", "ctx", F.lit(2).cast("long").alias("n"), "first", "last")
-        open_ = judged.where("outer_twice is null").select(*_CTX, "n", "first", "last").unionByName(partners)
-        open_ = open_.join(bytes_.drop("n"), _CTX).select(*_CTX, "n", "before", "after", "first", "last")
+        if max(widths) > 1:
+            # Settled bands stay as partners of the open ones: one context for each distinct string, counted as two.
+            partners = judged.where("outer_twice").groupBy("gram", "first", "last", "outer").agg(F.min("ctx").alias("ctx")).select("gram", "ctx", F.lit(2).cast("long").alias("n"), "first", "last")
+            rows = judged.where("outer_twice is null").select(*_CTX, "n", "first", "last").unionByName(partners)
+            open_ = rows.join(bytes_.drop("n"), _CTX).select(*_CTX, "view", "n", "before", "after", "first", "last")
     return found.groupBy(*_CTX).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("n").alias("n")).where("n = 1").drop("n")
 
 
@@ -377,7 +378,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     A text's key k1, k2 is that of `_keys`. A range may end beyond the text, which ends it. The table stays until the driver ends.
     """
-    spark = docs.sparkSession
+    spark = configured(docs)
     scratch = Scratch(spark, "repeats")
     lengths = (length, (n_words or 0) * CODE)
     if min(n for n in lengths if n) < 2 * GRAM:
@@ -399,17 +400,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     single = places.where("n = 1").unionByName(places.where("n > 1").groupBy(*_CTX).agg(*firsts))
     wanted = scratch.table(single.groupBy("doc", *_KEY, "big").agg(F.collect_list(F.struct("place", "view", *_CTX, "n")).alias("places")), "wanted")
 
-    def contexts(big: bool, view: int | None = None) -> DataFrame:
+    def contexts(big: bool) -> DataFrame:
         of = wanted.where(F.col("big") == big).drop("big")
-        of = of if view is None else of.withColumn("places", F.filter("places", lambda x: x["view"] == view)).where(F.size("places") > 0)
         asked = plain.join(maybe_broadcast(of.select("doc", *_KEY)), ["doc", *_KEY], "left_semi").join(of, ["doc", *_KEY])
         return asked.select("places", "text").mapInArrow(_contexts(lengths), "gram long, ctx long, view tinyint, n long, before binary, after binary")
 
     small = contexts(False).repartition(partitions(spark), "gram").sortWithinPartitions("gram")
     resolved = scratch.table(small.mapInArrow(_resolve(lengths), "gram long, ctx long, low int, high int"), "resolved")
-    for view in [r["view"] for r in places.where("big").select("view").distinct().collect()]:
-        big = scratch.table(contexts(True, view).dropDuplicates(_CTX).drop("view"), "big")
-        resolved = resolved.unionByName(scratch.table(_by_hash(big, lengths[view], scratch), "by-hash"))
+    if not wanted.where("big").isEmpty():
+        big = scratch.table(contexts(True).dropDuplicates(_CTX), "big")
+        resolved = resolved.unionByName(scratch.table(_by_hash(big, lengths, scratch), "by-hash"))
     own_length = F.when(F.col("view") == 0, F.lit(lengths[0])).otherwise(F.lit(lengths[1]))
     whole = hits.where("n > 1").select(*_KEY, "view", "place", F.lit(0).alias("low"), (own_length - GRAM).alias("high"))
     parts = hits.where("n = 1").join(resolved, _CTX).select(*_KEY, "view", "place", "low", "high")
