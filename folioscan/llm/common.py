@@ -99,20 +99,20 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def join_by_degree(rows: DataFrame, table: DataFrame, on: list[str], degree: str, n_rows: int, scratch: Scratch, hot: int = 512) -> DataFrame:
-    """rows inner-joined on `on` with table, which has one row a key; table's column `degree` is the number of rows with that key and goes.
+def join_by_degree(rows: DataFrame, table: DataFrame, on: list[str], degree: str, n_rows: int, scratch: Scratch, hot: int = 512, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) on `on` with table, which has one row a key; table's column `degree` is the number of rows with that key and goes.
 
     Keys of over `most` rows, n_rows / most of them at most, are broadcast: that number is bounded by BROADCAST_ROWS, and none of their rows moves. No other
     key has more than `most` rows for its task.
     """
     most = max(hot, -(-n_rows // BROADCAST_ROWS))
     if n_rows <= most:
-        return rows.join(table.drop(degree), on)
+        return rows.join(table.drop(degree), on, how)
     busy = scratch.table(table.where(F.col(degree) > most).drop(degree), "hot", n_rows)
     rest = table.where(F.col(degree) <= most).drop(degree)
     if busy.isEmpty():
-        return rows.join(rest, on)
-    return rows.join(F.broadcast(busy), on).unionByName(rows.join(F.broadcast(busy.select(*on)), on, "left_anti").join(rest, on))
+        return rows.join(rest, on, how)
+    return rows.join(F.broadcast(busy), on).unionByName(rows.join(F.broadcast(busy.select(*on)), on, "left_anti").join(rest, on, how))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -41,8 +41,8 @@ from folioscan.llm.textcodes import bounds, hashes, pieces
 GRAM = 32
 #: Bytes of a word's code: different words share one with probability 2**-48.
 CODE = 6
-#: Contexts of one gram that one task sorts at most.
-GROUP = 512
+#: Contexts of one gram that one task sorts at most, some 10 MB. A context moves once to be sorted, and some ten times as many bytes to be compared in bands.
+GROUP = 8192
 #: Bytes sampled at once: a long text in pieces, short texts together.
 PIECE = 1 << 18
 #: Texts of a task whose keys are held to pass over further copies; beyond that the memory of them starts anew.
@@ -318,7 +318,7 @@ def _resolve(lengths: tuple[int, ...]):
     return run
 
 
-_BAND = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("view", pa.int8()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("outer", pa.binary()), ("inner", pa.binary())])
+_BAND = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("view", pa.int8()), ("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("outer", pa.int64()), ("inner", pa.int64())])
 
 
 def _bands(lengths: tuple[int, ...], widths: tuple[int, ...]):
@@ -335,7 +335,9 @@ def _bands(lengths: tuple[int, ...], widths: tuple[int, ...]):
                     if a < 0 or b > len(text):
                         continue
                     whole = at - last >= 0 and at - first + length <= len(text)
-                    out.append((gram, ctx, view, n, first, last, xxhash.xxh3_128_digest(text[at - last : at - first + length]) if whole else None, xxhash.xxh3_128_digest(text[a:b])))
+                    # Hashes meet within their gram and offsets only.
+                    outer = xxhash.xxh3_64_intdigest(text[at - last : at - first + length], 2 * first) - (1 << 63) if whole else None
+                    out.append((gram, ctx, view, n, first, last, outer, xxhash.xxh3_64_intdigest(text[a:b], 2 * first + 1) - (1 << 63)))
                 if len(out) >= 16_384:
                     yield _batch(out, _BAND)
                     out = []
@@ -353,9 +355,12 @@ def _by_hash(contexts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) ->
     widths = tuple(max(1, n - GRAM + 1) for n in lengths)
     while max(widths) > 1:
         widths = tuple(max(1, -(-w // 8)) for w in widths)
-        bands = scratch.table(open_.mapInArrow(_bands(lengths, widths), "gram long, ctx long, view tinyint, n long, first int, last int, outer binary, inner binary"), "bands")
-        twice = lambda c: bands.where(F.col(c).isNotNull()).groupBy("gram", "first", c).agg(F.sum("n").alias("all")).where("all > 1").drop("all").withColumn(f"{c}_twice", F.lit(True))
-        judged = scratch.table(bands.join(twice("inner"), ["gram", "first", "inner"]).join(twice("outer"), ["gram", "first", "outer"], "left").select(*_CTX, "view", "n", "first", "last", "outer", "outer_twice"), "judged")
+        bands = scratch.table(open_.mapInArrow(_bands(lengths, widths), "gram long, ctx long, view tinyint, n long, first int, last int, outer long, inner long"), "bands")
+        twice = lambda t, c: t.groupBy("gram", c).agg(F.sum("n").alias("all")).where("all > 1")
+        kept = scratch.table(join_by_degree(bands, twice(bands, "inner"), ["gram", "inner"], "all", bands.count(), scratch).drop("inner"), "kept")
+        known = kept.where("outer is not null")
+        flagged = join_by_degree(known, twice(known, "outer").withColumn("outer_twice", F.lit(True)), ["gram", "outer"], "all", kept.count(), scratch, how="left")
+        judged = scratch.table(flagged.unionByName(kept.where("outer is null"), allowMissingColumns=True), "judged")
         scratch.drop(bands)
         done = scratch.table(judged.where("outer_twice").groupBy(*_CTX).agg(F.min("first").alias("low"), F.max("last").alias("high"), F.min("n").alias("n")), "done")
         found = done if found is None else found.unionByName(done)
