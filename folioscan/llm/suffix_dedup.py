@@ -17,8 +17,7 @@ minimiser). So instead of all suffixes, one in some `length / 2` is sorted, and
 Passages of so many words are found alike, in the same passes, in texts of `CODE` bytes a word: a passage of n words repeats where the n * CODE bytes of its
 words' codes do. Words are what ASCII white space parts, case and all; the white space between them doesn't count.
 
-Where they are, texts are read again for contexts and for cutting; only those of which something is asked move, and for cutting none where the spans are
-counted to be few enough to be broadcast.
+Texts are read again for contexts and for cutting; those of which nothing is asked stay where they are, as long as the keys of the others can be broadcast.
 
 Texts are UTF-8 bytes; null is empty. Texts under `length` bytes never change. Strings are judged on the input. Repeated rows are occurrences
 of their own. Ids may be null or repeat. Empty table: no rows.
@@ -41,14 +40,12 @@ from folioscan.llm.textcodes import bounds, hashes, pieces
 GRAM = 32
 #: Bytes of a word's code: different words share one with probability 2**-48.
 CODE = 6
-#: Contexts of one gram that one task sorts at most, some 10 MB. A context moves once to be sorted, and some ten times as many bytes to be compared in bands.
-GROUP = 8192
+#: Contexts of one gram that one task sorts at most, some 20 MB. A context moves once to be sorted, and some ten times as many bytes to be compared in bands.
+GROUP = 16_384
 #: Bytes sampled at once: a long text in pieces, short texts together.
 PIECE = 1 << 18
 #: Texts of a task whose keys are held to pass over further copies; beyond that the memory of them starts anew.
 SEEN = 100_000
-#: Spans that may be broadcast for cutting, 16 bytes each.
-SPAN_ROWS = 1_000_000
 _PLACE = 20
 _LANES = [U64(x) for x in (0x8CB92BA72F3D8DD7, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _KEY, _CTX = ["k1", "k2"], ["gram", "ctx"]
@@ -479,10 +476,10 @@ def _cut(keep: int, digest: bool, length: int, least: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False, group: int = GROUP, n_words: int | None = None, span_rows: int = SPAN_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, digest: bool = False, group: int = GROUP, n_words: int | None = None) -> DataFrame:
     """The columns keep (default: the id) of each row with n_bytes, n_removed, n_spans and kept_text, or kept_sha256 if digest.
 
-    n_words: passages of so many words that repeat are cut as well, however few bytes they have. span_rows: ranges that may be broadcast.
+    n_words: passages of so many words that repeat are cut as well, however few bytes they have.
 
     kept_text is null for a null text; a character that a cut splits is left out of it. kept_sha256 is of the remaining bytes themselves.
     Kept columns of the result's names are replaced.
@@ -496,17 +493,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     rows = docs.select(*keep, text.alias("__text__"), k1.alias("__k1__"), k2.alias("__k2__"))
     on = ["__k1__", "__k2__"]
     columns = [*keep, "__text__", "__spans__"]
-    if ranges.count() <= span_rows:
-        joined = rows.join(F.broadcast(spans), on, "left").select(*columns)
-    else:
-        # Texts without a range stay where they are, where the others are counted to be few; copies of one text don't meet in one task.
-        scratch = Scratch(docs.sparkSession, "cut")
-        degrees = rows.groupBy(*on).agg(F.count("*").alias("n"))
-        table = scratch.table(spans.join(degrees, on), "spans")
-        n_rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        keys = maybe_broadcast(table.select(*on))
-        hit = join_by_degree(rows.join(keys, on, "left_semi"), table, on, "n", n_rows, scratch)
-        miss = rows.where(F.col("__k1__").isNull()).unionByName(rows.join(keys, on, "left_anti").where(F.col("__k1__").isNotNull()))
-        joined = hit.select(*columns).unionByName(miss.withColumn("__spans__", F.lit(None).cast(spans.schema["__spans__"].dataType)).select(*columns))
+    # Copies of one text don't meet in one task.
+    scratch = Scratch(docs.sparkSession, "cut")
+    table = scratch.table(spans.join(rows.groupBy(*on).agg(F.count("*").alias("n")), on), "spans")
+    n_rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys = maybe_broadcast(table.select(*on))
+    hit = join_by_degree(rows.join(keys, on, "left_semi"), table, on, "n", n_rows, scratch)
+    miss = rows.where(F.col("__k1__").isNull()).unionByName(rows.where(F.col("__k1__").isNotNull()).join(keys, on, "left_anti"))
+    joined = hit.select(*columns).unionByName(miss.withColumn("__spans__", F.lit(None).cast(spans.schema["__spans__"].dataType)).select(*columns))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return joined.mapInArrow(_cut(len(keep), digest, length, n_words or 0), f"{schema}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept_text'} string")

@@ -190,7 +190,7 @@ def test_repeats(spark, group):
     kept = suffix_dedup.remove_repeats(_docs(spark, texts), length=64, group=group).orderBy("doc_id").collect()
     assert [r["kept_text"] for r in kept] == [None if t is None else w[2].decode("utf-8", "ignore") for t, w in zip(texts, want, strict=True)]
     odd = _docs(spark, texts).select(F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.floor(F.col("doc_id") / 2)).alias("doc_id"), F.col("doc_id").alias("row"), "text")
-    moved = suffix_dedup.remove_repeats(odd, length=64, keep=["row"], group=group, span_rows=0).orderBy("row").collect()
+    moved = suffix_dedup.remove_repeats(odd, length=64, keep=["row"], group=group).orderBy("row").collect()
     assert [r["kept_text"] for r in moved] == [r["kept_text"] for r in kept]
     assert suffix_dedup.remove_repeats(_docs(spark, texts).limit(0), length=64).count() == 0
 

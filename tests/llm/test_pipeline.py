@@ -76,8 +76,8 @@ def test_passages_equal_brute_force(spark):
         assert [t.encode()[a:b] for a, b in zip(begins, ends, strict=True)] == t.encode().split()
     want = {i: w[2].decode("utf-8", "ignore") for (i, _), w in zip(rows, repeats([t for _, t in rows], 400, 51), strict=True)}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for group, span_rows in ((512, 10**6), (8, 0)):
-        assert {x["doc_id"]: x["kept_text"] for x in suffix_dedup.remove_repeats(docs, length=400, n_words=51, group=group, span_rows=span_rows).collect()} == want
+    for group in (512, 8):
+        assert {x["doc_id"]: x["kept_text"] for x in suffix_dedup.remove_repeats(docs, length=400, n_words=51, group=group).collect()} == want
 
 
 def test_repeated_rows_leave_one(spark):
