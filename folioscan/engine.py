@@ -9,17 +9,17 @@ from folioscan.encoders import AnswerGenerator, CitationGenerator, Encoder
 from folioscan.functions.names import prompt
 from folioscan.functions.vectors import unit
 from folioscan.operators import search
-from folioscan.sources.readers import require
+from folioscan.sources.readers import open_images, read_store, require
 
 
 class RetrievalEngine:
     """Lazy: tables are read when queries need them. Validates that page_vectors, page_meta and, if given, the image folder are there."""
 
     def __init__(self, spark: SparkSession, store: str, encoder: Encoder | None = None, generator: AnswerGenerator | None = None, images: str | None = None):
-        self.spark, self.store, self.encoder, self.generator = spark, store, encoder, generator
+        self.spark, self.store, self.encoder, self.generator, self.images = spark, store, encoder, generator, images
         require(spark, [f"{store}/page_vectors", f"{store}/page_meta", *([images] if images else [])])
-        self.vectors = spark.read.parquet(f"{store}/page_vectors")
-        self.metadata = spark.read.parquet(f"{store}/page_meta")
+        self.vectors = read_store(spark, store, "page_vectors")
+        self.metadata = read_store(spark, store, "page_meta")
 
     @property
     def page_count(self) -> int:
@@ -62,12 +62,19 @@ class RetrievalEngine:
         return [{f: r[f] for f in fields} for r in self.retrieve(queries, top_k).orderBy("rank").collect()]
 
     def answer(self, queries: DataFrame, k: int = 3, available: DataFrame | None = None) -> DataFrame:
-        """(query_id, answer, status, error, n_images). available: image_path of stored images; hits without one don't reach the generator."""
+        """(query_id, answer, status, error, n_images). The generator gets a hit's image, from the engine's folder of images or from available
+        (image_path, and content if it has that); hits without one don't reach it. With neither, hits count as there and have no image."""
         generator = self.generator or CitationGenerator()
         hits = self.retrieve(queries, k)
+        nothing = F.lit(None).cast("binary")
         if available is not None:
-            hits = hits.join(available.select("image_path").distinct(), "image_path", "left_semi")
-        pages = F.array_sort(F.collect_list(F.struct("rank", "source", "page")))
+            content = F.col("content") if "content" in available.columns else nothing
+            hits = hits.join(available.select("image_path", content.alias("image")).dropDuplicates(["image_path"]), "image_path")
+        elif self.images:
+            hits = open_images(hits, self.images).where("image is not null")
+        else:
+            hits = hits.withColumn("image", nothing)
+        pages = F.array_sort(F.collect_list(F.struct("rank", "source", "page", "image")))
         grouped = hits.groupBy("query_id").agg(pages.alias("pages"))
         text = F.col("query") if "query" in queries.columns else F.lit("")
         listed = F.array_join(F.transform("pages", lambda p: F.concat(p["source"], F.lit(" p. "), p["page"].cast("string"))), ", ")
@@ -93,5 +100,5 @@ class RetrievalEngine:
         return asked.mapInPandas(run, "query_id long, answer string, status string, error string, n_images int")
 
 
-def create_engine(spark: SparkSession, store: str, encoder: Encoder | None = None, generator: AnswerGenerator | None = None) -> RetrievalEngine:
-    return RetrievalEngine(spark, store, encoder, generator)
+def create_engine(spark: SparkSession, store: str, encoder: Encoder | None = None, generator: AnswerGenerator | None = None, images: str | None = None) -> RetrievalEngine:
+    return RetrievalEngine(spark, store, encoder, generator, images)

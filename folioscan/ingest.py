@@ -1,15 +1,19 @@
-"""Ingest: corpus ordinals, alignment, pooling once, appending."""
+"""Ingest: corpus ordinals, alignment, pooling once, appending, documents to a store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions.names import image_path
+from folioscan.encoders import Encoder
+from folioscan.functions.names import file_name, image_path
 from folioscan.functions.vectors import is_sound, mean_pool, unit
 from folioscan.operators.ordinals import running_sum
-from folioscan.sources.readers import exists
-from folioscan.sources.sinks import write_table
+from folioscan.sources.readers import commits, list_documents, read_store, render, requested
+from folioscan.sources.sinks import mark_commit, remove, write_images, write_table
 
 
 def document_offsets(documents: DataFrame) -> DataFrame:
@@ -37,29 +41,101 @@ def page_vectors(patches: DataFrame) -> DataFrame:
     return mean_pool(checked, "page_ord").select("page_ord", unit(F.col("vec")).alias("unit_vec"))
 
 
-def store(patches: DataFrame, meta: DataFrame, path: str) -> None:
-    """Writes a new store: patches, page_meta and page_vectors. Raises if the two tables don't align."""
-    bad = alignment(patches.select("page_ord").distinct(), meta).take(1)
-    if bad:
+def _commit(patches: DataFrame, meta: DataFrame, path: str, number: int) -> None:
+    """Writes the tables of one commit and marks it last: a write that stops before is not part of the store, and the next one replaces its folders."""
+    spark = patches.sparkSession
+    write_table(meta, f"{path}/page_meta/commit={number}")
+    meta = spark.read.parquet(f"{path}/page_meta/commit={number}")
+    if meta.isEmpty():
+        raise ValueError("there are no pages to store")
+    write_table(patches, f"{path}/patches/commit={number}")
+    patches = spark.read.parquet(f"{path}/patches/commit={number}")
+    if bad := alignment(patches.select("page_ord").distinct(), meta).take(1):
         raise ValueError(f"page {bad[0]['page_ord']}: {bad[0]['problem']}")
-    write_table(patches, f"{path}/patches")
-    write_table(meta, f"{path}/page_meta")
-    write_table(page_vectors(patches.sparkSession.read.parquet(f"{path}/patches")), f"{path}/page_vectors")
+    write_table(page_vectors(patches), f"{path}/page_vectors/commit={number}")
+    mark_commit(spark, path, number)
+
+
+def _next(spark: SparkSession, path: str) -> tuple[int, int, DataFrame | None]:
+    """(number of the next commit, ordinal of its first page, metadata so far or None)."""
+    numbers = commits(spark, path)
+    if not numbers:
+        return 0, 0, None
+    old = read_store(spark, path, "page_meta")
+    return numbers[-1] + 1, (old.agg(F.max("page_ord")).first()[0] if not old.isEmpty() else -1) + 1, old
+
+
+def store(patches: DataFrame, meta: DataFrame, path: str) -> None:
+    """Writes a store anew: patches, page_meta and page_vectors. Raises if the two tables don't align or there are no pages; an older store stays then."""
+    spark = patches.sparkSession
+    old = commits(spark, path)
+    _commit(patches, meta, path, max(old, default=-1) + 1)
+    for n in old:
+        remove(spark, f"{path}/commits/{n}")
+    for n in old:
+        for table in ("patches", "page_meta", "page_vectors", "images", "documents"):
+            remove(spark, f"{path}/{table}/commit={n}")
 
 
 def append(patches: DataFrame, documents: DataFrame, path: str) -> int:
-    """Adds documents that the store doesn't hold yet; patches: source, page, patch, vec. Returns the number of pages added."""
+    """Adds documents that the store doesn't hold yet; patches: source, page, patch, vec. Returns the number of pages added.
+
+    Safe to run again after a stop at any point; one writer at a time.
+    """
     spark = patches.sparkSession
-    if not exists(spark, f"{path}/page_meta"):
+    number, start, old = _next(spark, path)
+    if old is None:
         raise FileNotFoundError(path)
-    old = spark.read.parquet(f"{path}/page_meta")
-    new = documents.join(old.select("source").distinct(), "source", "left_anti")
-    start = (old.agg(F.max("page_ord")).first()[0] if not old.isEmpty() else -1) + 1
-    meta = page_meta(new, start=start)
+    meta = page_meta(documents.join(old.select("source").distinct(), "source", "left_anti"), start=start)
     added = meta.count()
     if added:
-        rows = patches.join(meta.select("source", "page", "page_ord"), ["source", "page"]).select("page_ord", "patch", "vec")
-        write_table(page_vectors(rows), f"{path}/page_vectors", append=True)
-        write_table(rows, f"{path}/patches", append=True)
-        write_table(meta, f"{path}/page_meta", append=True)
+        _commit(patches.join(meta.select("source", "page", "page_ord"), ["source", "page"]).select("page_ord", "patch", "vec"), meta, path, number)
     return added
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """What an ingest added: documents with pages, pages, image files written, and names that weren't found."""
+
+    documents: int
+    pages: int
+    images: int
+    missing: list[str]
+
+
+def ingest_documents(
+    spark: SparkSession, folder: str, path: str, renderer: Callable[[bytes, int], Sequence[bytes]], encoder: Encoder, names: Sequence[str] | None = None, dpi: int = 150, image_folder: str | None = None
+) -> Ingested:
+    """Documents of folder (those named, in that order, or all by name) to a store: rendered once, encoded, pooled, committed.
+
+    Adds to a store that is there; documents that it holds are passed over. Page images go to the store's table `images`, and to files
+    of image_folder if that is given. Missing names are reported; no document at all, or no page at all in a new store, raises.
+    """
+    available = list_documents(spark, folder)
+    if names is None:
+        there, missing = available.withColumn("doc_ord", F.monotonically_increasing_id()), []
+    else:
+        there, gone = requested(spark, names, available)
+        missing = [r["name"] for r in gone.collect()]
+    number, start, old = _next(spark, path)
+    write_table(there.select("doc_ord", F.col("name").alias("source")), f"{path}/documents/commit={number}")
+    documents = spark.read.parquet(f"{path}/documents/commit={number}")
+    if documents.isEmpty():
+        raise ValueError(f"{folder} holds none of the documents" if names is not None else f"{folder} holds no documents")
+    if old is not None:
+        documents = documents.join(old.select("source").distinct(), "source", "left_anti")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select(file_name(F.col("path")).alias("name"), "content")
+    rendered = render(files.join(documents.select(F.col("source").alias("name")), "name", "left_semi"), renderer, dpi)
+    write_table(rendered.withColumn("image_path", image_path("page_images", F.col("source"), F.col("page"))), f"{path}/images/commit={number}")
+    images = spark.read.parquet(f"{path}/images/commit={number}")
+    if twice := images.groupBy("image_path").agg(F.count("*").alias("n"), F.min("source").alias("a"), F.max("source").alias("b")).where("n > 1").take(1):
+        raise ValueError(f"{twice[0]['a']} and {twice[0]['b']} have the same image names")
+    counts = images.where("page = 1").select("source", F.col("total_pages").cast("long").alias("total_pages"))
+    documents = documents.join(counts, "source")
+    n_documents = documents.count()
+    if not n_documents and old is not None:
+        return Ingested(0, 0, 0, missing)
+    meta = page_meta(documents, start=start)
+    patches = encoder.encode_images(images.select("source", "page", "image")).join(meta.select("source", "page", "page_ord"), ["source", "page"]).select("page_ord", "patch", "vec")
+    _commit(patches, meta, path, number)
+    return Ingested(n_documents, images.count(), write_images(images, image_folder) if image_folder else 0, missing)

@@ -131,6 +131,14 @@ def j4_hits_with_images(spark, d):
     return hits.join(available, "page_ord", "left_semi").select("query_id", "rank", "page_ord")
 
 
+def j4_images_by_path(spark, d):
+    """Hits whose image is stored, by path: the stored images are those of the pages that labels names."""
+    meta = _meta(spark, d)
+    stored = meta.join(_read(spark, d, "labels").select(F.col("doc_id").alias("page_ord")), "page_ord", "left_semi").select("image_path")
+    hits = search.with_metadata(search.top_k(_pages(spark, d), _asked(spark, d), 3), meta)
+    return hits.join(stored, "image_path", "left_semi").select("query_id", "rank", "page_ord", "image_path")
+
+
 def j5_missing_docs(spark, d):
     return _named(spark, d).select("source").distinct().join(_read(spark, d, "nation").select(F.concat(F.lit("Src "), F.col("n_nationkey"), F.lit(".pdf")).alias("source")), "source", "left_anti").unionByName(
         _read(spark, d, "nation").select(F.concat(F.lit("Src "), F.col("n_nationkey"), F.lit(".pdf")).alias("source")).join(_named(spark, d), "source", "left_anti")
@@ -240,6 +248,7 @@ SQL: dict[str, str] = {
     "j1_hits_with_metadata": f"{_SCORED}, {_META} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, source, page, total_pages, 'page_images/' || {_NAME} AS image_path, round(s, 6) AS similarity FROM top JOIN meta USING (page_ord) WHERE r <= 3",
     "j2_alignment_check": "SELECT vec_id AS page_ord, 'no metadata' AS problem FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'no vector' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "j4_hits_with_images": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord FROM top WHERE r <= 3 AND page_ord IN (SELECT doc_id FROM labels)",
+    "j4_images_by_path": f"{_SCORED}, {_META}, paths AS (SELECT page_ord, 'page_images/' || {_NAME} AS image_path FROM meta) SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, image_path FROM top JOIN paths USING (page_ord) WHERE r <= 3 AND image_path IN (SELECT image_path FROM paths SEMI JOIN labels ON page_ord = doc_id)",
     "j5_missing_docs": f"WITH {_NAMED}, a AS (SELECT DISTINCT source FROM named), b AS (SELECT 'Src ' || n_nationkey || '.pdf' AS source FROM nation) SELECT source FROM a WHERE source NOT IN (SELECT source FROM b) UNION ALL SELECT source FROM b WHERE source NOT IN (SELECT source FROM a)",
     "k5_display_rows": f"{_SCORED}, {_META} SELECT query_id, CAST(r AS INTEGER) AS rank, r || '. ' || source || ' page ' || page || '/' || total_pages || ' ' || printf('%.4f', round(s, 6)) AS line FROM top JOIN meta USING (page_ord) WHERE r <= 3",
     "u1_corpus_ordinals": f"{_ORD} SELECT * FROM ords",

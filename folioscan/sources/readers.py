@@ -7,15 +7,42 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioscan import schema
 from folioscan.functions.names import file_name, mebibytes
+from folioscan.sources.files import read_file
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers open it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether path is there, on any file system that Spark reads."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    system, found = file_system(spark, path)
+    return system.exists(found)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    system, found = file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(found)] if system.exists(found) else []
+
+
+def commits(spark: SparkSession, store: str) -> list[int]:
+    """The numbers of a store's finished writes."""
+    return sorted(int(n) for n in _names(spark, f"{store}/commits") if n.isdigit())
+
+
+def read_store(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """A table of a store: its finished commits, or the plain table of a store written by other means."""
+    if numbers := commits(spark, store):
+        return spark.read.parquet(*[f"{store}/{table}/commit={n}" for n in numbers])
+    if any(n.startswith("commit=") for n in _names(spark, f"{store}/{table}")):
+        raise FileNotFoundError(f"{store}/commits")
+    return spark.read.parquet(f"{store}/{table}")
 
 
 def require(spark: SparkSession, paths: Sequence[str]) -> None:
@@ -26,7 +53,10 @@ def require(spark: SparkSession, paths: Sequence[str]) -> None:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(page_ord, source, page, total_pages) of a JSON array; page_ord is the place in it."""
+    """(page_ord, source, page, total_pages) of a JSON array, where page_ord is the place in it, or of a folder of exported JSON lines."""
+    system, found = file_system(spark, path)
+    if system.getFileStatus(found).isDirectory():
+        return spark.read.schema("page_ord long, source string, page int, total_pages int").json(path)
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", schema.METADATA_JSON)).alias("page_ord", "m")).select(F.col("page_ord").cast("long").alias("page_ord"), "m.source", "m.page", "m.total_pages")
 
@@ -68,9 +98,21 @@ def inventory(spark: SparkSession, folder: str, names: Sequence[str], count_page
     return asked.join(sized, "name", "left").select("name", F.col("size").isNotNull().alias("found"), "pages", mebibytes(F.col("size")).alias("megabytes"))
 
 
-def page_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(image_path, content) of stored page images."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(F.col("path").alias("image_path"), "content")
+def page_images(spark: SparkSession, folder: str, prefix: str = "page_images") -> DataFrame:
+    """(image_path, content) of stored page images; image_path as in page_meta, below prefix."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder)
+    return files.select(F.concat(F.lit(prefix.rstrip("/") + "/"), file_name(F.col("path"))).alias("image_path"), "content")
+
+
+def open_images(rows: DataFrame, folder: str) -> DataFrame:
+    """rows with image: the content of the file of folder that image_path names, null where there is none. Only files that rows name are opened."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["image"] = [None if p is None else read_file(folder, p.rsplit("/", 1)[-1]) for p in b["image_path"]]
+            yield b
+
+    return rows.mapInPandas(load, StructType([*rows.schema.fields, StructField("image", BinaryType())]))
 
 
 def render(documents: DataFrame, renderer: Callable[[bytes, int], Sequence[bytes]], dpi: int = 150) -> DataFrame:

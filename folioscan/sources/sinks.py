@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.functions.names import file_name
+from folioscan.sources.files import write_file
+from folioscan.sources.readers import file_system
+
 
 def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
+def mark_commit(spark: SparkSession, store: str, number: int) -> None:
+    """Makes the folders of a commit part of the store; the last step of a write."""
+    system, path = file_system(spark, f"{store}/commits/{number}")
+    system.create(path, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, found = file_system(spark, path)
+    system.delete(found, True)
+
+
 def export_metadata(meta: DataFrame, path: str) -> None:
-    """JSON lines in page order beside the Parquet table, which stays authoritative."""
-    meta.orderBy("page_ord").select("source", "page", "total_pages").write.mode("overwrite").json(path)
+    """JSON lines beside the Parquet table, which stays authoritative; `read_metadata` reads them back."""
+    meta.select("page_ord", "source", "page", "total_pages").write.mode("overwrite").json(path)
+
+
+def write_images(pages: DataFrame, folder: str) -> int:
+    """Writes image (bytes) of each row to the file of folder that image_path names. Returns the number of files; writing again replaces them."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, image in zip(b["name"], b["image"], strict=True):
+                write_file(folder, name, image)
+            yield b[["name"]]
+
+    return pages.select(file_name(F.col("image_path")).alias("name"), "image").where("name is not null and image is not null").mapInPandas(put, "name string").count()
 
 
 def summary(patches: DataFrame, element_bytes: int = 4) -> DataFrame:

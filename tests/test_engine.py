@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan import RetrievalEngine, ingest
-from folioscan.encoders import HashingTextEncoder, generator, generators
+from folioscan import RetrievalEngine, encoders, ingest
+from folioscan.encoders import HashingTextEncoder, generator, generators, text_pages
 from folioscan.functions import names
 from folioscan.functions.vectors import dot, mean_pool, unit
 from folioscan.operators import ordinals, search
-from folioscan.sources import readers
+from folioscan.sources import readers, sinks
 
 
 def _pages(spark, rows):
@@ -192,3 +192,125 @@ def test_scores_take_any_number_of_queries(spark, monkeypatch, size):
     got = {(r[0], r[1]): r[2] for r in search.scores(pages, asked).collect()}
     assert got == {(q, p): float(p + q) for q in range(n) for p in range(3)}
     assert search.scores(pages, asked.limit(0)).count() == 0
+
+
+DOCS = {"A 1.pdf": b"apples and pears\n\nfruit in autumn\frivers and lakes", "b.pdf": b"stars over mountains", "c.pdf": b"copper wires"}
+
+
+def _folder(tmp_path, names=tuple(DOCS)):
+    folder = tmp_path / "docs"
+    folder.mkdir(exist_ok=True)
+    for n in names:
+        (folder / n).write_bytes(DOCS[n])
+    return str(folder)
+
+
+def test_documents_to_answers(spark, tmp_path):
+    class Attached:
+        def generate(self, prompt, pages):
+            return "|".join(bytes(p["image"]).decode() for p in pages)
+
+    folder, path, images = _folder(tmp_path, ["A 1.pdf", "b.pdf"]), str(tmp_path / "s"), str(tmp_path / "s" / "page_images")
+    encoder = HashingTextEncoder()
+    done = ingest.ingest_documents(spark, folder, path, text_pages, encoder, image_folder=images)
+    assert (done.documents, done.pages, done.images, done.missing) == (2, 3, 3, [])
+    assert sorted(p.name for p in (tmp_path / "s" / "page_images").glob("*.png")) == ["a_1__page_0001.png", "a_1__page_0002.png", "b__page_0001.png"]
+    engine = RetrievalEngine(spark, path, encoder, Attached(), images)
+    assert [tuple(r) for r in engine.metadata.orderBy("page_ord").select("page_ord", "source", "page", "total_pages").collect()] == [(0, "A 1.pdf", 1, 2), (1, "A 1.pdf", 2, 2), (2, "b.pdf", 1, 1)]
+    asked = spark.createDataFrame([(7, "rivers and lakes")], "query_id long, query string")
+    row = engine.answer(asked, 1).first()
+    assert row["status"] == "ok" and row["answer"] == "rivers and lakes" and row["n_images"] == 1
+    assert RetrievalEngine(spark, path, encoder, Attached()).answer(asked, 1, readers.page_images(spark, images)).first()["answer"] == "rivers and lakes"
+    (tmp_path / "s" / "page_images" / "a_1__page_0002.png").unlink()
+    row = engine.answer(asked, 2).first()
+    assert row["n_images"] == 1 and "rivers" not in row["answer"]
+    assert engine.answer(asked, 1).first()["status"] == "no_images"
+    _folder(tmp_path)
+    done = ingest.ingest_documents(spark, folder, path, text_pages, encoder, names=["c.pdf", "none.pdf", "b.pdf"])
+    assert (done.documents, done.pages, done.images, done.missing) == (1, 1, 0, ["none.pdf"])
+    assert RetrievalEngine(spark, path, encoder).retrieve_one("copper wires")[0]["source"] == "c.pdf"
+    assert ingest.ingest_documents(spark, folder, path, text_pages, encoder).pages == 0
+
+
+def test_nothing_to_ingest(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    with pytest.raises(ValueError, match="no documents"):
+        ingest.ingest_documents(spark, str(tmp_path / "docs"), str(tmp_path / "s"), text_pages, HashingTextEncoder())
+    folder = _folder(tmp_path)
+    with pytest.raises(ValueError, match="none of"):
+        ingest.ingest_documents(spark, folder, str(tmp_path / "s"), text_pages, HashingTextEncoder(), names=["x.pdf"])
+    with pytest.raises(ValueError, match="no pages"):
+        ingest.ingest_documents(spark, folder, str(tmp_path / "s"), lambda content, dpi: [], HashingTextEncoder())
+    with pytest.raises(FileNotFoundError):
+        RetrievalEngine(spark, str(tmp_path / "s"))
+    (tmp_path / "docs" / "a_1.pdf").write_bytes(b"x")
+    with pytest.raises(ValueError, match="same image names"):
+        ingest.ingest_documents(spark, folder, str(tmp_path / "s"), text_pages, HashingTextEncoder())
+
+
+@pytest.mark.parametrize("stop", ["page_meta", "patches", "page_vectors", "commits"])
+def test_stopped_append_runs_again(spark, tmp_path, monkeypatch, stop):
+    path = str(tmp_path / "s")
+    _store(spark, path)
+    new = spark.createDataFrame([(0, "c.pdf", 1)], "doc_ord long, source string, total_pages long")
+    patches = spark.createDataFrame([("c.pdf", 1, 0, [2.0, 0.0])], "source string, page int, patch int, vec array<float>")
+    with monkeypatch.context() as m:
+        write, mark = ingest.write_table, ingest.mark_commit
+
+        def failing(df, to):
+            write(df, to)
+            if f"/{stop}/" in to:
+                raise OSError("stopped")
+
+        def unmarked(*args):
+            raise OSError("stopped")
+
+        m.setattr(ingest, "write_table", failing)
+        m.setattr(ingest, "mark_commit", unmarked if stop == "commits" else mark)
+        with pytest.raises(OSError, match="stopped"):
+            ingest.append(patches, new, path)
+    engine = RetrievalEngine(spark, path)
+    assert engine.page_count == 3 and engine.metadata.count() == 3
+    assert ingest.append(patches, new, path) == 1 and ingest.append(patches, new, path) == 0
+    engine = RetrievalEngine(spark, path)
+    assert engine.page_count == 4 and sorted(r[0] for r in engine.vectors.select("page_ord").collect()) == [0, 1, 2, 3]
+
+
+def test_store_anew_and_export(spark, tmp_path):
+    path = str(tmp_path / "s")
+    _store(spark, path)
+    assert _store(spark, path).page_count == 3 and readers.commits(spark, path) == [1]
+    sinks.export_metadata(readers.read_store(spark, path, "page_meta"), str(tmp_path / "meta"))
+    back = readers.read_metadata(spark, str(tmp_path / "meta")).orderBy("page_ord").collect()
+    assert [tuple(r) for r in back] == [(0, "A 1.pdf", 1, 2), (1, "A 1.pdf", 2, 2), (2, "b.pdf", 1, 1)]
+    with pytest.raises(ValueError, match="no pages"):
+        ingest.store(spark.createDataFrame([], "page_ord long, patch int, vec array<float>"), readers.read_store(spark, path, "page_meta").limit(0), path)
+    assert RetrievalEngine(spark, path).page_count == 3
+
+
+def test_plug_ins_and_keys(monkeypatch):
+    with pytest.raises(ValueError, match="no encoder"):
+        encoders.encoder("none")
+    assert isinstance(encoders.encoder("folioscan.encoders:HashingTextEncoder"), HashingTextEncoder)
+    assert encoders.renderer("text")(b"a\fb", 150) == [b"a", b"b"]
+    hosted = encoders.HostedGenerator(lambda prompt, pages, key: f"{prompt} {len(pages)} {key}", "A_KEY_OF_A_TEST")
+    with pytest.raises(RuntimeError, match="A_KEY_OF_A_TEST"):
+        hosted.generate("p", [])
+    monkeypatch.setenv("A_KEY_OF_A_TEST", "k")
+    assert hosted.generate("p", []) == "p 0 k"
+
+
+def test_cli_from_documents_to_an_answer(spark, tmp_path, capsys):
+    import cli
+
+    store = str(tmp_path / "s")
+    assert cli.main(["ingest", "--docs-dir", _folder(tmp_path), "--output-dir", store, "--pdfs", "b.pdf", "zz.pdf", "A 1.pdf"], spark) == 0
+    out = capsys.readouterr().out
+    assert "zz.pdf" in out and "2 documents, 3 pages, 3 image files" in out
+    assert cli.main(["stars over mountains", "--data-dir", store, "--images-dir", f"{store}/page_images", "-k", "1"], spark) == 0
+    assert "b.pdf page 1" in capsys.readouterr().out
+    assert cli.main(["-q", "stars", "--data-dir", store, "--retrieve-only"], spark) == 0
+    assert capsys.readouterr().out.startswith("1. b.pdf page 1/1")
+    assert cli.main(["stars", "--data-dir", store, "--encoder", "none"], spark) == 1
+    (tmp_path / "empty").mkdir()
+    assert cli.main(["ingest", "--docs-dir", str(tmp_path / "empty"), "--output-dir", store], spark) == 1
