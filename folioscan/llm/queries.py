@@ -53,14 +53,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the documents' token streams as blocks, scans them, and puts the ids back beside the counts."""
     import public_tokenizers
 
-    end_id = 50256
+    # The vocabulary ends at 50256, which the text of the end marker itself gives.
+    end_id = 50257
     stream = token_counts.token_stream(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id)
     blocks = Scratch(spark, "tokens").table(stream, "blocks")
     counts = token_counts.count_tokens(blocks, end_id)
-    # The n-th document that ends in a block is the n-th that the writer named for it.
-    named = blocks.select("file", "block", F.posexplode("ids").alias("i", "doc_id"))
-    firsts = counts.groupBy("file", "block").agg(F.min("doc_index").alias("first"))
-    named = named.join(firsts, ["file", "block"]).select("file", (F.col("first") + F.col("i")).alias("doc_index"), "doc_id")
+    named = blocks.select("file", "first", F.posexplode("ids").alias("i", "doc_id")).select("file", (F.col("first") + F.col("i")).alias("doc_index"), "doc_id")
     return counts.join(named, ["file", "doc_index"]).select("doc_id", "file", "doc_index", "start", "n_tokens")
 
 

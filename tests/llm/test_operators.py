@@ -408,3 +408,38 @@ def test_cheapest_sequence_comes_first():
     bins, left = packing.pack([90, 60, 50, 10, 40, 50], 100, 1.0, 0.01)
     assert [sum(n for _, _, n in b) for b in bins] == [100, 100, 100] and not left
     assert any((0, 0, 90) in b for b in bins)
+
+
+def test_token_query_against_the_tokenizer(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from folioscan.llm import queries, token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "<|endoftext|>", "a <|endoftext|> b", "word " * 30_000, "été naïve\n\n", "x", "x", "again"]
+    rows = [(None if i == 5 else min(i, 7), t, "extra", b"clash") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, file string, data binary").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(path)
+    want = sorted((-1 if r[0] is None else r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+    got = queries.op7_token_counts(spark, str(tmp_path)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got) == want
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, data binary")
+    for block_tokens in (1, 3, 64):
+        stream = token_counts.token_stream(docs.where("doc_id is distinct from 4").coalesce(1), path, 50257, block_tokens=block_tokens).collect()
+        named = [d for r in sorted(stream, key=lambda r: r["block"]) for d in r["ids"]]
+        assert len(named) == len(rows) - 1 and all(len(r["data"]) <= 2 * block_tokens for r in stream)
+        ids = np.frombuffer(b"".join(bytes(r["data"]) for r in sorted(stream, key=lambda r: r["block"])), dtype="<u2")
+        sizes = np.diff(np.concatenate(([-1], np.flatnonzero(ids == 50257)))) - 1
+        assert sorted(zip((-1 if d is None else d for d in named), sizes.tolist(), strict=True)) == [w for w in want if w[0] != 4]
+
+
+def test_token_files_of_any_size(spark, tmp_path):
+    from folioscan.llm import token_counts
+
+    rng = np.random.default_rng(5)
+    for i, n in enumerate((0, 1, 10, 997, 1000)):
+        (tmp_path / f"f {i}.bin").write_bytes(rng.integers(0, 50, n).astype("<u2").tobytes())
+    read = lambda **k: sorted((r["file"], r["block"], bytes(r["data"])) for r in token_counts.read_token_files(spark, str(tmp_path), block_tokens=10, **k).collect())
+    assert read() == read(whole=0, blocks_at_once=7) == read(whole=50, blocks_at_once=1)
+    assert len(read()) == 0 + 1 + 1 + 100 + 100
