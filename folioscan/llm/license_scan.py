@@ -5,7 +5,8 @@ are a template's, as a share of the template's, are its containment; a match hol
 
 MinHash: a window that holds a template so has a similarity of at least some J to it, by the sizes of both. Bands of one minimum each, as many as make
 (1 - J)**bands at most `miss`, retrieve templates by an equi-join; retrieved templates are verified on their shingles. Windows without any anchor word
-are passed over first: anchors are words of which every match must hold one, as they lie in more shingles than a match may lack.
+are passed over first: anchors are words of which every match must hold one, as they lie in more shingles than a match may lack. Long texts are cut in segments that
+overlap by a window, so only a segment's windows are held at once. Templates' keys and shingles are broadcast in two tables of checked size.
 
 Words are runs of letters and digits, lower-cased. Null and empty texts match nothing; rows that share an id are reported together; a null id is an id
 of its own. Of a template's windows in a text, the one of greatest containment counts, then the first. Empty table: no rows. Other columns aren't read.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,12 @@ from pyspark.sql import functions as F
 _WORD = r"[\p{L}\p{N}]+"
 
 
+#: Bytes of templates' shingles and keys that one reading of the texts broadcasts, and lengths of templates that one plan holds.
+PASS_BYTES, PASS_LENGTHS = 16 << 20, 16
+#: Words of a text whose windows are cut at once.
+SEGMENT = 8192
+
+
 class LicenseTemplate(NamedTuple):
     name: str
     text: str
@@ -73,19 +80,47 @@ def _shingles(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[LicenseTemplate], k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passes(words: dict[str, list[str]], k: int, percent: int, miss: float, most: int, most_lengths: int) -> Iterator[list[str]]:
+    """Names of templates, by length, in runs whose tables hold at most about `most` bytes (or one template) and `most_lengths` lengths."""
+    run: list[str] = []
+    size = 0
+    for name in sorted(words, key=lambda t: (len(words[t]), t)):
+        shingles = {" ".join(words[name][i : i + k]) for i in range(len(words[name]) - k + 1)}
+        own = sum(len(x.encode()) + 24 for x in shingles) + 64 * band_count(len(words[name]), len(shingles), k, percent, miss)
+        if run and (size + own > most or len({len(words[t]) for t in [*run, name]}) > most_lengths):
+            yield run
+            run, size = [], 0
+        run.append(name)
+        size += own
+    if run:
+        yield run
+
+
+def scan_licenses(docs: DataFrame, templates: Sequence[LicenseTemplate], k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", most: int = PASS_BYTES, segment: int = SEGMENT) -> DataFrame:
     """(id_col, template, start_word, n_shared, n_shingles) for each template found in each text.
 
-    templates: distinct names, k words each at least; they are a parameter of bounded size (MAX_TEMPLATES).
+    templates: any number of distinct names, k words each at least. Their tables are broadcast in runs of `most` bytes and PASS_LENGTHS lengths, each with a
+    reading of the texts of its own.
     """
     spark = docs.sparkSession
     words = {t.name: template_words(t.text) for t in templates}
-    if len(words) != len(templates) or any(len(w) < k for w in words.values()) or len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"templates need distinct names and {k} words each, and there may be {MAX_TEMPLATES}")
-    if not words:
+    if len(words) != len(templates) or any(len(w) < k for w in words.values()):
+        raise ValueError(f"templates need distinct names and {k} words each")
+    found = None
+    for names in passes(words, k, percent, miss, most, PASS_LENGTHS):
+        part = _pass(docs, {t: words[t] for t in names}, k, percent, miss, id_col, text_col, segment)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], f"{id_col} long, template string, start_word long, n_shared long, n_shingles long")
-    # Templates of one length form a group; all groups' windows come from one reading of the text.
-    cuts, keys_of, any_key, table = [], None, set(), None
+    best = found.groupBy("id", "template").agg(F.max(F.struct("n_shared", (-F.col("start")).alias("back"), "n_shingles")).alias("b"))
+    return best.select(F.col("id").alias(id_col), "template", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_shared").cast("long").alias("n_shared"), F.col("b.n_shingles").cast("long").alias("n_shingles"))
+
+
+def _pass(docs: DataFrame, words: dict[str, list[str]], k: int, percent: int, miss: float, id_col: str, text_col: str, segment: int) -> DataFrame:
+    """(id, template, start, n_shared, n_shingles) of the windows that hold these templates, from one reading of the texts."""
+    spark = docs.sparkSession
+    # Templates of one length form a group.
+    cuts, keys_of, any_key, shingles, keyed_by = [], None, set(), None, None
     for n in sorted({len(w) for w in words.values()}):
         names = sorted(t for t, w in words.items() if len(w) == n)
         size, step = window(n)
@@ -93,25 +128,25 @@ def scan_licenses(docs: DataFrame, templates: Sequence[LicenseTemplate], k: int
         any_key |= set(keys)
         counts = {t: len({tuple(words[t][i : i + k]) for i in range(n - k + 1)}) for t in names}
         bands = max(band_count(n, counts[t], k, percent, miss) for t in names)
-        part = spark.createDataFrame([(n, t, words[t]) for t in names], "length int, template string, words array<string>")
-        part = part.withColumn("shingles", _shingles(F.col("words"), k)).select("length", "template", "shingles", F.explode(_minima(F.col("shingles"), bands)).alias("key"))
-        table = part if table is None else table.unionByName(part)
+        part = spark.createDataFrame([(n, t, words[t]) for t in names], "length int, template string, words array<string>").withColumn("shingles", _shingles(F.col("words"), k))
+        held, by = part.select("template", "shingles"), part.select("length", "template", F.explode(F.array_distinct(_minima(F.col("shingles"), bands))).alias("key"))
+        shingles, keyed_by = (held, by) if shingles is None else (shingles.unionByName(held), keyed_by.unionByName(by))
         keys_of = (F if keys_of is None else keys_of).when(F.col("length") == n, _minima(F.col("own"), bands))
-        starts = F.when(F.col("text").rlike("|".join(keys)) & (F.size("words") >= k), F.sequence(F.lit(0), F.size("words") - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        cut = F.transform(starts, lambda s: F.struct(F.lit(n).alias("length"), s.alias("start"), F.slice("words", s + 1, size).alias("part")))
+        # A segment's windows are those that start in it.
+        first, last = F.pmod(-F.col("offset"), F.lit(step)), F.least(F.lit(segment - 1), F.size("words") - k)
+        starts = F.when(F.arrays_overlap("words", F.array(*map(F.lit, keys))) & (first <= last), F.sequence(first, F.greatest(first, last), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        cut = F.transform(starts, lambda s: F.struct(F.lit(n).alias("length"), (s + F.col("offset")).alias("start"), F.slice("words", s + 1, size).alias("part")))
         cuts.append(F.filter(cut, lambda w: F.arrays_overlap(w["part"], F.array(*map(F.lit, keys)))))
+    widest = max(window(len(w))[0] for w in words.values())
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where(F.col("text").rlike("|".join(sorted(any_key))))
-    held = rows.select("id", "text", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
-    windows = held.select("id", F.explode(F.flatten(F.array(*cuts))).alias("w")).select("id", F.col("w.length").alias("length"), F.col("w.start").alias("start"), _shingles(F.col("w.part"), k).alias("own"))
+    held = rows.select("id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words")).where(F.size("words") >= k)
+    segments = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(segment)), lambda o: F.struct(o.alias("offset"), F.slice("words", o + 1, segment + widest).alias("words")))
+    parts = held.select("id", F.explode(segments).alias("s")).select("id", "s.offset", "s.words")
+    windows = parts.select("id", F.explode(F.flatten(F.array(*cuts))).alias("w")).select("id", F.col("w.length").alias("length"), F.col("w.start").alias("start"), _shingles(F.col("w.part"), k).alias("own"))
     keyed = windows.select("id", "length", "start", "own", F.explode(F.array_distinct(keys_of)).alias("key"))
-    hits = keyed.join(F.broadcast(table), ["length", "key"])
-    found = hits.select("id", "template", "start", F.size(F.array_intersect("own", "shingles")).alias("n_shared"), F.size("shingles").alias("n_shingles")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
-    best = found.groupBy("id", "template").agg(F.max(F.struct("n_shared", (-F.col("start")).alias("back"), "n_shingles")).alias("b"))
-    return best.select(F.col("id").alias(id_col), "template", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_shared").cast("long").alias("n_shared"), F.col("b.n_shingles").cast("long").alias("n_shingles"))
-
+    hits = keyed.join(F.broadcast(keyed_by), ["length", "key"]).join(F.broadcast(shingles), "template")
+    return hits.select("id", "template", "start", F.size(F.array_intersect("own", "shingles")).alias("n_shared"), F.size("shingles").alias("n_shingles")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
 
-#: The template tables are broadcast; with bands this bounds them to some 50 MB.
-MAX_TEMPLATES = 2000
 
 #: Short license notices, as public licenses word them (fixed values).
 NOTICES = [

@@ -250,6 +250,27 @@ def test_licenses(spark):
         license_scan.scan_licenses(_docs(spark, texts), [license_scan.LicenseTemplate("a", "too short")])
 
 
+def test_licenses_in_segments_and_passes(spark):
+    """Long templates, null and repeated ids; small segments and passes of one template find what one pass over whole texts does."""
+    r = random.Random(6)
+    long_ = [license_scan.LicenseTemplate(f"long{i}", " ".join(f"w{r.randrange(900)}" for _ in range(n))) for i, n in enumerate((300, 300, 700))]
+    templates = [*license_scan.NOTICES[2:4], *long_]
+    filler = lambda n: " ".join(f"f{r.randrange(10**6)}" for _ in range(n))
+    near = long_[2].text.split(" ")
+    for i in r.sample(range(700), 10):
+        near[i] = "changed"
+    texts = [f"{filler(r.randrange(400))} {r.choice(templates).text} {filler(r.randrange(400))} {r.choice(templates).text}" for _ in range(40)] + [" ".join(near), " ".join(long_[1].text.split(" ")[:150]), *EDGE]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(1, long_[0].text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, license_scan.scan_licenses(docs, templates).collect()))
+    assert whole == sorted(map(str, license_scan.scan_licenses(docs, templates, most=1, segment=37).collect()))
+    got = {(x["doc_id"], x["template"]) for x in license_scan.scan_licenses(docs, templates).collect()}
+    words = lambda t: " " + " ".join(license_scan.template_words(t or "")) + " "
+    planted = {(i, x.name) for i, t in rows for x in templates if words(x.text) in words(t)}
+    assert planted | {(40, "long2")} <= got and (41, "long1") not in got
+    assert len(list(license_scan.passes({t.name: license_scan.template_words(t.text) for t in templates}, 5, 80, 1e-6, 1, 16))) == len(templates)
+
+
 # 7
 
 
