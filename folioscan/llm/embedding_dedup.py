@@ -8,7 +8,7 @@ of home vectors run against blocks of all vectors there; a product in single pre
 decides. A task emits counts and one link per vector and local group, never pairs.
 
 Equal vectors are one class with a weight, so copies never meet. Cells that hold many vectors are dealt to a grid of tasks
-(BLOCK home rows by WIDE rows each), so no cell is one task's work. Counting the exact links of n mutually linked distinct vectors takes n**2 products.
+(BLOCK home rows by WIDE rows each) by the vectors that they receive, counted beforehand, so no cell is one task's work. Counting the exact links of n mutually linked distinct vectors takes n**2 products.
 
 Null, empty and zero vectors and those that hold null or non-finite components link with nothing; lists of different length
 never link. Rows that share id and vector are copies that link; where an id has several vectors, its rows share the id's links and component. A null id has a null
@@ -33,6 +33,8 @@ from folioscan.llm.vectors import matrices
 BLOCK, WIDE, HOME_BYTES = 16_384, 32_768, 8 << 20
 #: Vectors a cell should have, and pivots at most (what the driver gathers and every task holds).
 CELL, PIVOTS = 8192, 1024
+#: Bytes of vectors sent to tasks in one batch.
+OUT_BYTES = 4 << 20
 _MARGIN = 1e-4
 
 
@@ -82,6 +84,32 @@ def _place(pivots: dict[int, tuple[int, np.ndarray]]):
     return run
 
 
+def _reached(batch: pa.RecordBatch, pivots, radius: dict[int, float], theta: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cell, rows at home there, rows that can have partners there) of a batch (vector, cell, angle)."""
+    homes, angles = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+    for n, (rows, m) in _bytes_matrix(batch.column(0)).items():
+        first, p = pivots[n]
+        a = np.arccos(np.clip(_unit(m) @ p.T, -1, 1))
+        for c in range(first, first + len(p)):
+            if c in radius:
+                near = (a[:, c - first] <= radius[c] + theta) & (a[:, c - first] <= angles[rows] + 2 * theta)
+                yield c, rows[homes[rows] == c], rows[near]
+
+
+def _received(pivots, radius: dict[int, float], theta: float):
+    """Batches (vector, cell, angle) to (cell, n): how many vectors of the task each cell gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[int, int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                for c, _, near in _reached(whole.slice(at, 1024), pivots, radius, theta):
+                    count[c] = count.get(c, 0) + len(near)
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["cell", "n"])
+
+    return run
+
+
 def _replicate(pivots, radius: dict[int, float], grid: dict[int, tuple[int, int]], theta: float):
     """Batches (id, vector, weight, cell, angle) to rows for each task (cell, h, w), home or not."""
 
@@ -90,34 +118,28 @@ def _replicate(pivots, radius: dict[int, float], grid: dict[int, tuple[int, int]
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                ids, homes, angles = np.asarray(batch.column(0)), np.asarray(batch.column(3)), np.asarray(batch.column(4))
-                deal = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                row, cell, h, w, home = [], [], [], [], []
-
-                def put(rows, c, home_rows):
-                    wide, high = grid[c][1], grid[c][0]
-                    for j in range(wide if home_rows else high):
-                        row.append(rows)
-                        cell.append(np.full(len(rows), c))
-                        h.append(deal[rows] % high if home_rows else np.full(len(rows), j))
-                        w.append(np.full(len(rows), j) if home_rows else deal[rows] % wide)
-                        home.append(np.full(len(rows), home_rows))
-
-                for n, (rows, m) in _bytes_matrix(batch.column(1)).items():
-                    first, p = pivots[n]
-                    a = np.arccos(np.clip(_unit(m) @ p.T, -1, 1))
-                    for c in range(first, first + len(p)):
-                        if c not in radius:
-                            continue
-                        own = rows[homes[rows] == c]
-                        if len(own):
-                            put(own, c, True)
-                        near = rows[(a[:, c - first] <= radius[c] + theta) & (a[:, c - first] <= angles[rows] + 2 * theta)]
-                        if len(near):
-                            put(near, c, False)
-                if row:
-                    rows = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(h).astype(np.int32)), pa.array(np.concatenate(w).astype(np.int32)), pa.array(np.concatenate(home)), batch.column(0).take(rows), batch.column(2).take(rows), batch.column(1).take(rows)], names=names)
+                deal = (np.asarray(batch.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                most = max(1, OUT_BYTES * batch.num_rows // max(1, batch.column(1).nbytes))
+                out: list[tuple] = []
+                size = 0
+
+                def emit() -> pa.RecordBatch:
+                    rows, cell, h, w, home = (np.concatenate(x) for x in zip(*out, strict=True))
+                    taken = pa.array(rows)
+                    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(home), batch.column(0).take(taken), batch.column(2).take(taken), batch.column(1).take(taken)], names=names)
+
+                for c, own, near in _reached(batch.select([1, 3, 4]), pivots, radius, theta):
+                    high, wide = grid[c]
+                    for rows, times, is_home in ((own, wide, True), (near, high, False)):
+                        for j in range(times if len(rows) else 0):
+                            given, dealt = np.full(len(rows), j), deal[rows] % (high if is_home else wide)
+                            out.append((rows, np.full(len(rows), c), dealt if is_home else given, given if is_home else dealt, np.full(len(rows), is_home)))
+                            size += len(rows)
+                            if size >= most:
+                                yield emit()
+                                out, size = [], 0
+                if out:
+                    yield emit()
 
     return run
 
@@ -217,7 +239,6 @@ def range_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     rows = scratch.table(plain.mapInArrow(_classes(), "id long, key binary, vector binary"), "vectors")
     classes = scratch.table(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min("vector").alias("vector")), "classes")
-    total = classes.count()
     pivots: dict[int, tuple[int, np.ndarray]] = {}
     for r in classes.groupBy(F.length("vector").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect():
         few = classes.where(F.length("vector") == r["size"]).orderBy(F.xxhash64("key"), "key").select("vector").limit(min(PIVOTS, -(-r["n"] // cell))).collect()
@@ -226,7 +247,9 @@ def range_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
     radius = {r["cell"]: r["radius"] + 1e-9 for r in cells}
     held = {c: max(1, min(block, HOME_BYTES // (8 * n))) for n, (first, p) in pivots.items() for c in range(first, first + len(p))}
-    grid = {r["cell"]: (-(-r["n"] // held[r["cell"]]), -(-total // wide)) for r in cells}
+    near = placed.select("vector", "cell", "angle").mapInArrow(_received(pivots, radius, theta), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    received = {r["cell"]: r["n"] for r in near}
+    grid = {r["cell"]: (-(-r["n"] // held[r["cell"]]), max(1, -(-received.get(r["cell"], 0) // wide))) for r in cells}
     dealt = placed.mapInArrow(_replicate(pivots, radius, grid, theta), "cell int, h int, w int, home boolean, id long, weight long, vector binary")
     ordered = dealt.repartition(partitions(spark), "cell", "h", "w").sortWithinPartitions("cell", "h", "w", F.col("home").desc())
     found = scratch.table(ordered.mapInArrow(_join(least), "id long, links long, to long"), "links")

@@ -101,6 +101,32 @@ def test_range_links(spark):
     assert embedding_dedup.range_links(_vectors(spark, []), 0.9).count() == 0
 
 
+def test_vectors_go_where_partners_can_be():
+    """Grids follow what a cell receives: apart from their home, vectors of far clusters aren't sent anywhere; batches are bounded."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    centres = np.eye(16)
+    m = np.repeat(centres, 200, axis=0) + r.normal(size=(3200, 16)) * 0.01
+    pivots, theta = {16: (0, centres)}, float(np.arccos(0.9)) + 1e-9
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(3200)), pa.array([x.tobytes() for x in m]), pa.array(np.ones(3200, np.int64))], names=["id", "vector", "weight"])
+    placed = next(embedding_dedup._place(pivots)(iter([rows])))
+    homes, angles = np.asarray(placed.column(3)), np.asarray(placed.column(4))
+    radius = {c: float(angles[homes == c].max()) + 1e-9 for c in range(16)}
+    got = next(embedding_dedup._received(pivots, radius, theta)(iter([placed.select(["vector", "cell", "angle"])])))
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == dict.fromkeys(range(16), 200)
+    for high, wide, most in ((1, 1, 4 << 20), (2, 3, 128 * 50)):
+        embedding_dedup.OUT_BYTES, before = most, embedding_dedup.OUT_BYTES
+        try:
+            sent = list(embedding_dedup._replicate(pivots, radius, dict.fromkeys(radius, (high, wide)), theta)(iter([placed])))
+        finally:
+            embedding_dedup.OUT_BYTES = before
+        assert sum(b.num_rows for b in sent) == 3200 * (high + wide) and max(b.num_rows for b in sent) <= most // 128 + 1024
+        table = pa.Table.from_batches(sent).to_pandas()
+        pairs = table[table.home].merge(table[~table.home], on=["cell", "h", "w"])
+        assert len(pairs) == 16 * 200 * 200 and not pairs.duplicated(["id_x", "id_y"]).any()
+
+
 # 3
 
 
