@@ -87,10 +87,11 @@ def _scan(queries, grid, k: int):
                     rows = rows_n[at : at + ROWS]
                     ids = all_ids[rows]
                     cells = np.frombuffer(b"".join(batch.column(2).take(pa.array(rows)).to_pylist()), dtype=np.uint8).reshape(len(rows), n)
+                    # Components are whole numbers, so a cell's last is step - 1 above its first.
                     floor = low + cells * step
                     for first in range(0, len(q), 1024):
                         own = slice(first, min(first + 1024, len(q)))
-                        bound = up[own] @ (floor + step).T + down[own] @ floor.T
+                        bound = up[own] @ (floor + step - 1).T + down[own] @ floor.T
                         bound[query_ids[own][:, None] == ids[None, :]] = -np.inf
                         for i in np.flatnonzero(bound.max(axis=1) >= sure[n][own]).tolist():
                             at_query = first + i
