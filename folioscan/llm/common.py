@@ -60,6 +60,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/folioscan-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.written: list[tuple[DataFrame, str]] = []
         atexit.register(self.remove)
 
     def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -73,7 +74,16 @@ class Scratch:
         path = f"{self.root}/{self.n:03d}-{name}"
         configured(df)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((table, path))
+        return table
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables written so far but these."""
+        for table, path in self.written:
+            if not any(table is t for t in tables):
+                self._delete(path)
+        self.written = [x for x in self.written if any(x[0] is t for t in tables)]
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes written tables that nothing will read again."""

@@ -316,6 +316,7 @@ def minhash_components(docs: DataFrame, k: int = 5, percent: int = 80, bands: in
 
     groups = classes.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     groups = scratch.table(groups, "groups")
+    scratch.keep(described, groups)
     out = described.select("id", "fp", "n_shingles").join(groups, "fp", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"), *["fp"] * fingerprint)
