@@ -257,6 +257,7 @@ def range_links(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     links = found.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
     judged = classes.select("key", "id", "weight").join(links, "id", "left").join(merged, "id", "left")
     judged = scratch.table(judged.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "judged")
+    scratch.keep(rows, judged)
     component = F.coalesce("component_id", "id")
     out = rows.select("id", "key").join(judged, "key", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
