@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folioscan.llm import embedding_dedup, language_id, license_scan, minhash_dedup, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search, url_filter
+from folioscan.llm import clustered_layout, conversation_repair, embedding_dedup, exact_dedup, language_id, license_scan, minhash_dedup, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search, url_filter
 from folioscan.llm.common import Scratch
 
 
@@ -79,6 +79,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 365).cast("long")
+    length = F.coalesce(F.octet_length("text"), F.lit(-1)).cast("long")
+    dims = [("source", F.col("source"), 0, True), ("lang", F.col("lang"), 0, True), ("length", length, 2), ("date", date, 2)]
+    found = clustered_layout.layout(_read(spark, sf_dir, "documents"), [clustered_layout.Dimension(*d) for d in dims])
+    return found.with_queries().select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_components(_read(spark, sf_dir, "documents"), k=2)
 
@@ -186,6 +203,63 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
+#: crc32 of the column `s`, a byte at a time.
+_CRC32 = """xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT), lambda acc, b:
+  xor(acc >> 8, list_reduce(range(0, 8)::BIGINT[], lambda n, j: CASE WHEN n & 1 = 1 THEN xor(n >> 1, 3988292384) ELSE n >> 1 END, xor(acc, b) & 255)), 4294967295::BIGINT), 4294967295)"""
+
+_OP11 = f"""
+WITH vals AS (SELECT doc_id, encode(source) AS v0, encode(lang) AS v1, CASE WHEN text IS NULL THEN -1 ELSE strlen(text) END AS v2, {_CRC32} % 365 AS v3
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents))
+, c AS (SELECT doc_id, {", ".join(f"16 * (rank() OVER (ORDER BY v{i} NULLS FIRST) - 1) // count(*) OVER () AS c{i}" for i in range(4))} FROM vals)
+, zs AS (SELECT *, {" + ".join(f"((c{i} >> {b}) & 1) * {1 << (4 * b + 3 - i)}" for b in range(4) for i in range(4))} AS z FROM c)
+, p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM zs)
+, f AS (SELECT *, position // 1000 AS file FROM p)
+, bounds AS (SELECT file, {", ".join(f"min(c{i}) AS a{i}, max(c{i}) AS b{i}" for i in range(4))} FROM f GROUP BY file)
+, cells AS (SELECT DISTINCT z, c0, c1, c2, c3 FROM f)
+, held AS (SELECT DISTINCT file, c0, c1, c2, c3 FROM f)
+, touched AS (SELECT z, count(*) AS files_touched FROM cells q JOIN bounds ON q.c0 BETWEEN a0 AND b0 AND q.c1 BETWEEN a1 AND b1 AND q.c2 - 2 <= b2 AND q.c2 + 2 >= a2 AND q.c3 - 2 <= b3 AND q.c3 + 2 >= a3 GROUP BY z)
+, matching AS (SELECT z, count(DISTINCT file) AS files_matching FROM cells q JOIN held h ON q.c0 = h.c0 AND q.c1 = h.c1 AND abs(q.c2 - h.c2) <= 2 AND abs(q.c3 - h.c3) <= 2 GROUP BY z)
+SELECT doc_id, CAST(z AS BIGINT) AS z, CAST(position AS BIGINT) AS position, CAST(file AS BIGINT) AS file, files_touched, files_matching,
+  concat_ws(',', {", ".join(f"a{i}, b{i}" for i in range(4))}) AS file_bounds
+FROM f JOIN bounds USING (file) JOIN touched USING (z) JOIN matching USING (z)
+"""
+
+_OP12 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256 FROM t WINDOW same AS (PARTITION BY text)
+"""
+
+_OP13 = f"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations)
+, kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32} % 20 AS k FROM keyed)
+, hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(0, CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE k <> 0)
+, ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ending FROM hurt)
+, r AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT right(ending, 1) IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM ordered)
+, counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND NOT before || initial IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+, ins(st, nx, e, cost, roles) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']), (3, 2, 'I', 2, ['user:']),
+    (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:']))
+, edits(e, initial, st, nx, cost) AS (VALUES ('D', '*', 0, 0, 3), ('D', '*', 1, 1, 3), ('D', '*', 2, 2, 3), ('D', '*', 3, 3, 3), ('R', '*', 0, 2, 2), ('R', '*', 1, 2, 2), ('R', '*', 2, 3, 2), ('R', '*', 3, 2, 2),
+    ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0))
+, paths(conv_id, i, st, cost, audit, rows) AS (
+    SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL
+    SELECT conv_id, i, nx, cost, audit, rows FROM (
+      SELECT p.conv_id, r.i, d.nx, p.cost + n.cost + d.cost + CASE WHEN d.e <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost, p.audit || n.e || d.e AS audit,
+        p.rows || n.roles || CASE d.e WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text] ELSE [CASE d.nx WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END AS rows,
+        row_number() OVER (PARTITION BY p.conv_id, d.nx ORDER BY p.cost + n.cost + d.cost + CASE WHEN d.e <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END, p.audit || n.e || d.e) AS k
+      FROM paths p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 JOIN ins n ON n.st = p.st JOIN edits d ON d.st = n.nx AND (d.initial = '*' OR d.initial = r.initial)
+        AND (d.e = 'D' OR NOT fault IN ('blank', 'duplicate'))) WHERE k = 1)
+, size AS (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id)
+, done AS (SELECT p.conv_id, p.cost + n.cost AS cost, p.audit || n.e AS audit, p.rows || n.roles AS rows, row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + n.cost, p.audit || n.e) AS k
+    FROM paths p JOIN size z ON z.conv_id IS NOT DISTINCT FROM p.conv_id AND z.n = p.i JOIN ins n ON n.st = p.st AND n.nx IN (0, 3))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(d.cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(rows, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id AND d.k = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding": op2_embedding,
@@ -197,5 +271,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_layout": op11_layout,
+    "op12_exact": op12_exact,
+    "op13_repair": op13_repair,
 }
-SQL: dict[str, str] = {"op1_url_filter": _OP1, "op2_embedding": _OP2, "op3_minhash": _OP3, "op4_suffix": _OP4, "op6_licenses": _OP6, "op8_topk": _OP8}
+SQL: dict[str, str] = {"op1_url_filter": _OP1, "op2_embedding": _OP2, "op3_minhash": _OP3, "op4_suffix": _OP4, "op6_licenses": _OP6, "op8_topk": _OP8, "op11_layout": _OP11, "op12_exact": _OP12, "op13_repair": _OP13}
