@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan import scratch
+from folioscan.scratch import checkpoint_dir  # noqa: F401
+
 U64 = np.uint64
 #: A join side is broadcast only when a count has shown it to hold at most so many narrow rows.
 BROADCAST_ROWS = 500_000
 #: What operators set on a session that doesn't set it itself: small Arrow batches, as several copies of one are held on both sides, and shuffle files that
 #: go with the query which wrote them, as a written table takes their place.
 SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-#: Rows of a written table that a part file should hold, where their number is known beforehand.
-ROWS_A_FILE = 200_000
 
 
 def _lean() -> None:
@@ -42,65 +40,12 @@ def configured(df: DataFrame) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset a temporary one in local mode, as in tests; an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="folioscan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """A folder of written tables below the shared folder, removed when the driver ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{checkpoint_dir(spark)}/folioscan-{name}-{uuid.uuid4().hex}"
-        self.n = 0
-        self.written: list[tuple[DataFrame, str]] = []
-        atexit.register(self.remove)
+class Scratch(scratch.Scratch):
+    """Scratch tables written under SETTINGS."""
 
     def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Writes df as Parquet and reads it back: later steps restart from the files if executors are lost.
-
-        rows: how many rows df has at most, if that is known; few rows go to few files, not to one for each shuffle partition.
-        """
-        self.n += 1
-        if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < partitions(self.spark):
-            df = df.coalesce(files)
-        path = f"{self.root}/{self.n:03d}-{name}"
         configured(df)
-        df.write.parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self.written.append((table, path))
-        return table
-
-    def keep(self, *tables: DataFrame) -> None:
-        """Deletes all tables written so far but these."""
-        for table, path in self.written:
-            if not any(table is t for t in tables):
-                self._delete(path)
-        self.written = [x for x in self.written if any(x[0] is t for t in tables)]
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes written tables that nothing will read again."""
-        for t in tables:
-            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-                self._delete(path)
-
-    def remove(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session is already gone; the folder is left to its owner
-            pass
+        return super().table(df, name, rows)
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -109,7 +54,7 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def join_by_degree(rows: DataFrame, table: DataFrame, on: list[str], degree: str, n_rows: int, scratch: Scratch, hot: int = 512, how: str = "inner") -> DataFrame:
+def join_by_degree(rows: DataFrame, table: DataFrame, on: list[str], degree: str, n_rows: int, written: Scratch, hot: int = 512, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) on `on` with table, which has one row a key; table's column `degree` is the number of rows with that key and goes.
 
     Keys of over `most` rows, n_rows / most of them at most, are broadcast: that number is bounded by BROADCAST_ROWS, and none of their rows moves. No other
@@ -118,7 +63,7 @@ def join_by_degree(rows: DataFrame, table: DataFrame, on: list[str], degree: str
     most = max(hot, -(-n_rows // BROADCAST_ROWS))
     if n_rows <= most:
         return rows.join(table.drop(degree), on, how)
-    busy = scratch.table(table.where(F.col(degree) > most).drop(degree), "hot", n_rows)
+    busy = written.table(table.where(F.col(degree) > most).drop(degree), "hot", n_rows)
     rest = table.where(F.col(degree) <= most).drop(degree)
     if busy.isEmpty():
         return rows.join(rest, on, how)

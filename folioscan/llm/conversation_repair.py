@@ -335,7 +335,8 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None, block: int =
     )
     # THERE first: it has no turn, role or digest, and rows without turn have both of the others
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "digest", "kind", "seq", "part")]
-    both = both.repartition(p, "conv_id").sortWithinPartitions(*order)
+    # by an expression: a repartition by the column itself is left out where all parts of the union seem to be dealt by it, which adaptive joins then undo
+    both = both.repartition(p, F.xxhash64("conv_id")).sortWithinPartitions(*order)
     both = both.select("conv_id", "kind", "role", "text", "walks", "exits", "facts", "low", "high", "cost")
     found = both.mapInArrow(_final(arrow), f"conv_id {'string' if arrow == pa.string() else 'long'}, {', '.join(f'{c} long' for c in RESULT[:6])}, audit string, repaired_sha256 string")
     return found.select(F.col("conv_id").cast(kind).alias("conv_id"), *RESULT)
