@@ -65,6 +65,12 @@ def _next(spark: SparkSession, path: str) -> tuple[int, int, DataFrame | None]:
     return numbers[-1] + 1, (old.agg(F.max("page_ord")).first()[0] if not old.isEmpty() else -1) + 1, old
 
 
+def next_ordinal(meta: DataFrame) -> int:
+    """The ordinal after the greatest of meta, 0 if it has no rows."""
+    last = meta.agg(F.max("page_ord")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def store(patches: DataFrame, meta: DataFrame, path: str) -> None:
     """Writes a store anew: patches, page_meta and page_vectors. Raises if the two tables don't align or there are no pages; an older store stays then."""
     spark = patches.sparkSession

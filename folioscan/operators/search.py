@@ -1,8 +1,13 @@
-"""Exact inner-product search: expressions for a few queries, an Arrow kernel for many."""
+"""Exact inner-product search: expressions for a few queries, an Arrow kernel for many, late interaction.
+
+Queries are a table. As many as BLOCK_BYTES hold travel to the pages, which don't move. More are dealt into blocks of that size, and each block meets each share of the pages in one task
+of a grid: one shuffle sends pages once for each block of queries and queries once for each share; a task holds one block, and pages stream past it. Scores are compared at PLACES
+decimals, so the arithmetic's order doesn't decide ties.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,136 +16,197 @@ from pyspark.sql import functions as F
 
 from folioscan.functions.vectors import dot
 
-#: Queries that travel to the tasks at once; more are searched slice by slice.
-SLICE = 4096
+#: Bytes of query vectors that a task holds at once.
+BLOCK_BYTES = 16 << 20
 #: Up to so many queries the expression form is used.
 FEW = 4
+#: Decimals at which scores are compared.
+PLACES = 12
+#: Rows of a product's two sides.
+QUERIES_AT_ONCE, PAGES_AT_ONCE = 1024, 4096
 
 
-def _slices(asked: DataFrame, n: int) -> Iterator[list]:
-    """The n rows of asked in slices of some SLICE rows, those of a query_id together."""
-    slices = -(-n // SLICE)
-    for s in range(slices):
-        rows = (asked if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)).collect()
-        if rows:
-            yield rows
-
+class _Kernel:
+    """Some queries (names, tokens, matrix) that pages are taken past: take() for each batch (page_ord, vec, token), end() after the last."""
 
-def _union(parts: Iterator[DataFrame], empty: DataFrame) -> DataFrame:
-    found = None
-    for part in parts:
-        found = part if found is None else found.unionByName(part)
-    return empty if found is None else found
+    def __init__(self, names: np.ndarray, tokens: np.ndarray, matrix: np.ndarray):
+        self.names, self.tokens, self.matrix = names, tokens, matrix
 
+    def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
 
-def _products(batch: pa.RecordBatch, matrix: np.ndarray, size: int) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
-    """Batches (page, vector) to (pages, first row of matrix, inner products), size pages and SLICE rows at once."""
-    for at in range(0, batch.num_rows, size):
-        part = batch.slice(at, size)
-        column = part.column(1)
-        if column.null_count or len(column.flatten()) != len(column) * matrix.shape[1] or (np.diff(np.asarray(column.offsets)) != matrix.shape[1]).any():
-            raise ValueError("vectors of different length")
-        vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-        for first in range(0, len(matrix), SLICE):
-            yield part.column(0), first, matrix[first : first + SLICE] @ vectors.T
+    def end(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
-
-def scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, page_ord, similarity) of every query with every page. pages: page_ord, unit_vec; queries: query_id, unit_vec. Queries are taken in slices."""
-    asked = queries.select("query_id", "unit_vec")
-    n = asked.count()
-    if 0 < n <= FEW:
-        return _few(pages, asked)
-    empty = pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
-    return _union((pages.select("page_ord", "unit_vec").mapInArrow(_every([r[0] for r in rows], _matrix(rows, 1)), "query_id long, page_ord long, similarity double") for rows in _slices(asked, n)), empty)
+    def products(self, batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(pages, first row of the matrix, inner products)."""
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            vectors = rectangle(part.column(1), self.matrix.shape[1])
+            for first in range(0, len(self.matrix), QUERIES_AT_ONCE):
+                yield part.column(0).to_numpy(), first, np.round(self.matrix[first : first + QUERIES_AT_ONCE] @ vectors.T, PLACES)
 
 
-def _matrix(rows: list, at: int) -> np.ndarray:
-    if len({len(r[at]) for r in rows}) > 1:
+def rectangle(column: pa.Array, width: int) -> np.ndarray:
+    """An array column as a matrix of doubles; raises for vectors of another length."""
+    flat = column.flatten()
+    if column.null_count or (np.diff(np.asarray(column.offsets)) != width).any():
         raise ValueError("vectors of different length")
-    return np.array([r[at] for r in rows], dtype=np.float64)
-
-
-def _few(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """The scores of a few queries as expressions."""
-    few = queries.select("query_id", F.col("unit_vec").alias("__q")).collect()
-    table = F.array(*[F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["__q"])).cast("array<double>").alias("q")) for r in few])
-    return pages.select("page_ord", "unit_vec", F.explode(table).alias("__x")).select(F.col("__x.query_id").alias("query_id"), "page_ord", dot(F.col("unit_vec"), F.col("__x.q")).alias("similarity"))
-
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class _All(_Kernel):
+    """Every score."""
+
+    def take(self, batch):
+        for pages, first, found in self.products(batch, 64):
+            q, p = np.divmod(np.arange(found.size), found.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(self.names[q + first]), pa.array(pages[p]), pa.array(found.ravel())], names=["query_id", "page_ord", "similarity"])
+
+
+class _TopK(_Kernel):
+    """The k best pages of each query, ties to the lesser page."""
+
+    def __init__(self, k: int, *queries: np.ndarray):
+        super().__init__(*queries)
+        self.k = k
+        self.s, self.p = np.full((len(self.names), k), -np.inf), np.full((len(self.names), k), np.iinfo(np.int64).max)
+
+    def take(self, batch):
+        for pages, first, found in self.products(batch, PAGES_AT_ONCE):
+            self.merge(np.arange(first, first + len(found)), pages, found)
+        return iter(())
+
+    def merge(self, rows: np.ndarray, pages: np.ndarray, found: np.ndarray) -> None:
+        """Takes the scores of pages (columns) for some queries."""
+        near = found >= self.s[rows, -1:]
+        if near.sum() > 4 * found.shape[0] * self.k and found.shape[1] > self.k:
+            near &= found >= np.partition(found, found.shape[1] - self.k, axis=1)[:, -self.k, None]
+        q, j = np.nonzero(near)
+        if not len(q):
+            return
+        q = np.concatenate([q, np.repeat(np.arange(len(found)), self.k)])
+        s, p = np.concatenate([found[near], self.s[rows].ravel()]), np.concatenate([pages[j], self.p[rows].ravel()])
+        order = np.lexsort((p, -s, q))
+        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        order = order[place < self.k]
+        self.s[rows], self.p[rows] = s[order].reshape(-1, self.k), p[order].reshape(-1, self.k)
+
+    def end(self):
+        real = self.s > -np.inf
+        names = np.broadcast_to(self.names[:, None], self.s.shape)[real]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(self.p[real]), pa.array(self.s[real])], names=["query_id", "page_ord", "similarity"])
+
+
+class _TokenMax(_Kernel):
+    """Each token's greatest product with the patches of a page in the batch."""
+
+    def take(self, batch):
+        for pages, first, found in self.products(batch, 256):
+            names, own = np.unique(pages, return_inverse=True)
+            order = np.argsort(own, kind="stable")
+            best = np.maximum.reduceat(found[:, order], np.flatnonzero(np.diff(own[order], prepend=-1)), axis=1)
+            t, p = np.divmod(np.arange(best.size), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names[p]), pa.array(self.names[t + first]), pa.array(self.tokens[t + first], pa.int32()), pa.array(best.ravel())], names=["page_ord", "query_id", "token", "s"])
+
+
+def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len({len(r[2]) for r in rows}) > 1:
+        raise ValueError("vectors of different length")
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
 
-def _every(ids: list, matrix: np.ndarray):
-    """Batches (page_ord, unit_vec) to the scores of all queries."""
 
+def _past(make: Callable[..., _Kernel], queries: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(ids, pa.int64())
+        kernel = make(*queries)
         for batch in batches:
-            for pages, first, found in _products(batch, matrix, 64):
-                q, p = np.divmod(np.arange(found.size), found.shape[1])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), pages.cast(pa.int64()).take(pa.array(p)), pa.array(found.ravel())], names=["query_id", "page_ord", "similarity"])
+            yield from kernel.take(batch)
+        yield from kernel.end()
 
     return run
 
 
-def _best(ids: list, tokens: list, matrix: np.ndarray):
-    """Batches (page_ord, vec) to each token's greatest product with the patches of a page in the batch."""
+def _grid(make: Callable[..., _Kernel]):
+    """Rows (cell, kind, key, token, vec) sorted by cell and kind: the queries (kind 0) of each cell, then the pages that pass them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, places = pa.array(ids, pa.int64()), pa.array(tokens, pa.int32())
+        now, rows, kernel = None, [], None
         for batch in batches:
-            for pages, first, found in _products(batch, matrix, 256):
-                codes = pages.cast(pa.int64()).dictionary_encode("encode")
-                own = codes.indices.to_numpy()
-                order = np.argsort(own, kind="stable")
-                best = np.maximum.reduceat(found[:, order], np.flatnonzero(np.diff(own[order], prepend=-1)), axis=1)
-                t, p = np.divmod(np.arange(best.size), best.shape[1])
-                t = pa.array(t + first)
-                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(p)), queries.take(t), places.take(t), pa.array(best.ravel())], names=["page_ord", "query_id", "token", "s"])
+            cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if cells[a] != now:
+                    if kernel is not None:
+                        yield from kernel.end()
+                    now, rows, kernel = cells[a], [], None
+                if kinds[a] == 0:
+                    rows += zip(part.column("key").to_pylist(), part.column("token").to_pylist(), part.column("vec").to_pylist(), strict=True)
+                elif rows:
+                    kernel = kernel or make(*_matrix(rows))
+                    yield from kernel.take(pa.RecordBatch.from_arrays([part.column(c) for c in ("key", "vec", "token")], names=["page_ord", "vec", "token"]))
+        if kernel is not None:
+            yield from kernel.end()
 
     return run
 
 
-def _kernel(ids: np.ndarray, matrix: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.full((len(ids), k), -np.inf)
-        best_p = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                column = part.column(1)
-                if len(column.flatten()) != len(column) * matrix.shape[1]:
-                    raise ValueError("vectors of different length")
-                pages = np.asarray(part.column(0))
-                found = matrix @ column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1).T
-                take = min(k, found.shape[1])
-                for i in range(len(ids)):
-                    cut = np.partition(found[i], found.shape[1] - take)[found.shape[1] - take]
-                    rows = np.flatnonzero(found[i] >= max(cut, best_s[i, -1]))
-                    s, p = np.concatenate([best_s[i], found[i][rows]]), np.concatenate([best_p[i], pages[rows]])
-                    order = np.lexsort((p, -s))[:k]
-                    best_s[i], best_p[i] = s[order], p[order]
-        real = best_s > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best_s.shape)[real]), pa.array(best_p[real]), pa.array(best_s[real])], names=["query_id", "page_ord", "similarity"])
+def met(pages: DataFrame, asked: DataFrame, make: Callable[..., _Kernel], schema: str) -> DataFrame:
+    """What make's kernel gives for every query (query_id, token, vec) and all pages (page_ord, vec, and token if the kernel takes one). The rows of a query stay together."""
+    spark = pages.sparkSession
+    size = asked.agg(F.sum(F.size("vec").cast("long") * 8).alias("bytes")).first()["bytes"]
+    if not size:
+        return spark.createDataFrame([], schema)
+    blocks = -(-size // BLOCK_BYTES)
+    pages = pages.select(F.col("page_ord").cast("long").alias("page_ord"), "vec", (F.col("token") if "token" in pages.columns else F.lit(0)).cast("int").alias("token"))
+    if blocks == 1:
+        return pages.mapInArrow(_past(make, _matrix(asked.select("query_id", "token", "vec").collect())), schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    shares = max(1, tasks // blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    doubles = F.col("vec").cast("array<double>").alias("vec")
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), every(shares).alias("s"), F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("key"), F.col("token").cast("int").alias("token"), doubles)
+    right = pages.select(every(blocks).alias("b"), F.pmod(F.xxhash64("page_ord"), F.lit(shares)).cast("int").alias("s"), F.lit(1).alias("kind"), F.col("page_ord").alias("key"), "token", doubles)
+    both = left.unionByName(right).select((F.col("b") * shares + F.col("s")).alias("cell"), "kind", "key", "token", "vec")
+    return both.repartition(blocks * shares, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_grid(make), schema)
+
+
+def scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, page_ord, similarity) of every query with every page. pages: page_ord, unit_vec; queries: query_id, unit_vec."""
+    asked = queries.select("query_id", F.lit(0).alias("token"), F.col("unit_vec").alias("vec"))
+    return met(pages.select("page_ord", F.col("unit_vec").alias("vec")), asked, _All, "query_id long, page_ord long, similarity double")
 
-    return run
+
+def _few(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """The scores of a few queries as expressions."""
+    few = queries.select("query_id", F.col("unit_vec").alias("__q")).collect()
+    table = F.array(*[F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.array(*map(F.lit, r["__q"])).cast("array<double>").alias("q")) for r in few])
+    found = pages.select("page_ord", "unit_vec", F.explode(table).alias("__x"))
+    return found.select(F.col("__x.query_id").alias("query_id"), "page_ord", F.round(dot(F.col("unit_vec"), F.col("__x.q")), PLACES).alias("similarity"))
 
 
 def top_k(pages: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, page_ord, similarity): the k pages of greatest inner product for each query, ties to the lesser page_ord.
 
-    Each task keeps k pages per query; only those are shuffled. Queries are taken in slices of bounded size.
+    Each task keeps k pages per query; only those are shuffled.
     """
     if k <= 0:
         raise ValueError("k has to be positive")
     asked = queries.select("query_id", "unit_vec")
-    n = asked.count()
-    empty = pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
-    if n <= FEW:
-        found = _few(pages, asked) if n else empty
+    if len(asked.select("query_id").take(FEW + 1)) <= FEW:
+        found = _few(pages, asked) if not asked.isEmpty() else pages.sparkSession.createDataFrame([], "query_id long, page_ord long, similarity double")
     else:
-        ids = lambda rows: np.array([r[0] for r in rows], dtype=np.int64)
-        found = _union((pages.select("page_ord", "unit_vec").mapInArrow(_kernel(ids(rows), np.array([r[1] for r in rows], dtype=np.float64), k), "query_id long, page_ord long, similarity double") for rows in _slices(asked, n)), empty)
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "page_ord")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "page_ord", "similarity")
+        asked = asked.select("query_id", F.lit(0).alias("token"), F.col("unit_vec").alias("vec"))
+        found = met(pages.select("page_ord", F.col("unit_vec").alias("vec")), asked, lambda *q: _TopK(k, *q), "query_id long, page_ord long, similarity double")
+    return best(found, k)
+
+
+def best(found: DataFrame, k: int, score: str = "similarity") -> DataFrame:
+    """found (query_id, page_ord, score) with rank, up to k, ties to the lesser page_ord."""
+    order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "page_ord")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "page_ord", score)
 
 
 def with_metadata(hits: DataFrame, meta: DataFrame) -> DataFrame:
@@ -149,16 +215,59 @@ def with_metadata(hits: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def max_sim(patches: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, page_ord, score): for each token of a query the greatest inner product with a page's patches, summed. patches: page_ord, vec; tokens: query_id, token, vec.
-
-    Tokens are taken in slices of whole queries.
-    """
-    asked = tokens.select("query_id", "token", "vec")
-    empty = patches.sparkSession.createDataFrame([], "page_ord long, query_id long, token int, s double")
-
-    def part(rows: list) -> DataFrame:
-        each = patches.select("page_ord", "vec").mapInArrow(_best([r[0] for r in rows], [r[1] for r in rows], _matrix(rows, 2)), empty.schema)
-        best = each.groupBy("query_id", "page_ord", "token").agg(F.max("s").alias("s"))
-        return best.groupBy("query_id", "page_ord").agg(F.sum("s").alias("score"))
-
-    return _union(map(part, _slices(asked, asked.count())), empty.select("query_id", "page_ord", F.col("s").alias("score")))
+    """(query_id, page_ord, score): for each token of a query the greatest inner product with a page's patches, summed. patches: page_ord, vec; tokens: query_id, token, vec."""
+    each = met(patches.select("page_ord", "vec"), tokens.select("query_id", "token", "vec"), _TokenMax, "page_ord long, query_id long, token int, s double")
+    top = each.groupBy("query_id", "page_ord", "token").agg(F.max("s").alias("s"))
+    return top.groupBy("query_id", "page_ord").agg(F.sum("s").alias("score"))
+
+
+def _rescored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, page_ord, vec) sorted by the first two; page_ord is null for the query's tokens, which come first. One score for each page."""
+    query, page, tokens, top = None, None, [], None
+    out: list[tuple[int, int, float]] = []
+    for batch in batches:
+        queries, pages = batch.column("query_id").to_numpy(), batch.column("page_ord")
+        real, named = pages.is_valid().to_numpy(zero_copy_only=False), pages.fill_null(0).to_numpy()
+        vectors = batch.column("vec")
+        cuts = [0, *(np.flatnonzero((np.diff(queries) != 0) | (np.diff(named) != 0) | (np.diff(real.astype(np.int8)) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if page is not None and (queries[a] != query or named[a] != page):
+                out.append((query, page, float(top.sum())))
+                page = None
+            if queries[a] != query:
+                query, tokens = queries[a], []
+            if not real[a]:
+                tokens += vectors.slice(a, b - a).to_pylist()
+                continue
+            if not len(tokens):
+                continue
+            matrix = np.array(tokens, np.float64)
+            found = np.round(matrix @ rectangle(vectors.slice(a, b - a), matrix.shape[1]).T, PLACES).max(axis=1)
+            top = found if page is None else np.maximum(top, found)
+            page = named[a]
+        if len(out) > 4096:
+            yield _scored(out)
+            out = []
+    if page is not None:
+        out.append((query, page, float(top.sum())))
+    if out:
+        yield _scored(out)
+
+
+def _scored(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    q, p, s = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "page_ord", "score"])
+
+
+def rescore(patches: DataFrame, tokens: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, page_ord, score): late interaction for candidates (query_id, page_ord) only. A page's patches go to the queries that it is a candidate of, where their tokens are."""
+    wanted = candidates.select("query_id", "page_ord").distinct()
+    doubles = F.col("vec").cast("array<double>").alias("vec")
+    pages = patches.select(F.col("page_ord").cast("long").alias("page_ord"), doubles).join(wanted, "page_ord").select(F.col("query_id").cast("long").alias("query_id"), "page_ord", "vec")
+    asked = tokens.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
+    both = asked.select(F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast("long").alias("page_ord"), doubles).unionByName(pages)
+    # by an expression: a repartition by the column itself is left out where both sides of the union seem to be dealt by it, which adaptive joins then undo
+    both = both.repartition(F.xxhash64("query_id")).sortWithinPartitions("query_id", F.col("page_ord").asc_nulls_first())
+    return both.mapInArrow(_rescored, "query_id long, page_ord long, score double")

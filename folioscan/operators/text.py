@@ -13,34 +13,58 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def hashed_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dim, n): signed counts of hashed tokens, the offline encoder's long form."""
-    each = rows.select(key, F.explode(tokens(F.col(text))).alias("t"))
-    code = F.conv(F.substring(F.md5("t"), 1, 7), 16, 10).cast("long")
-    sign = F.when(F.conv(F.substring(F.md5("t"), 8, 1), 16, 10).cast("long") < 8, 1).otherwise(-1)
-    return each.groupBy(key, (code % DIM).cast("int").alias("dim")).agg(F.sum(sign).alias("n"))
+def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size, t, tf): how often each token occurs in a text of size tokens; a text without tokens is one row without t.
+
+    Rows are dealt by key once, so that later sums by key don't move them again.
+    """
+    each = rows.select(key, tokens(F.col(text)).alias("ts")).repartition(key).select(key, F.size("ts").alias("size"), F.explode_outer("ts").alias("t"))
+    return each.groupBy(key, "size", "t").agg(F.count("*").alias("tf"))
+
+
+def encode_counted(counts: DataFrame, key: str) -> DataFrame:
+    """(key, unit_vec) of counted texts: signed counts of hashed tokens, the offline encoder. A text without tokens gives the zero vector."""
+    code = F.conv(F.substring("h", 1, 7), 16, 10).cast("long")
+    sign = F.when(F.conv(F.substring("h", 8, 1), 16, 10).cast("long") < 8, 1).otherwise(-1)
+    hashed = counts.select(key, "tf", F.md5("t").alias("h")).select(key, (code % DIM).cast("int").alias("dim"), F.coalesce(sign * F.col("tf"), F.lit(0)).alias("n"))
+    found = hashed.groupBy(key, "dim").agg(F.sum("n").cast("double").alias("n")).groupBy(key)
+    found = found.agg(F.map_from_entries(F.filter(F.collect_list(F.struct("dim", "n")), lambda s: s["dim"].isNotNull())).alias("m"))
+    full = found.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return full.select(key, F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("unit_vec"))
 
 
 def encode(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, unit_vec) of every row: the hashing encoder. A text without tokens gives the zero vector."""
-    found = hashed_counts(rows, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("n").cast("double")))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    full = rows.select(key).join(found, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), DIM)).otherwise(vector).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return full.select(key, F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("unit_vec"))
+    """(key, unit_vec) of every row."""
+    return encode_counted(counted(rows, key, text), key)
+
+
+def idf(docs: Column, df: Column) -> Column:
+    return F.log(1 + (docs - df + 0.5) / (df + 0.5))
+
+
+def impact(tf: Column, size: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """A token's share of BM25 before its idf."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+
+
+def facts(counts: DataFrame, key: str) -> DataFrame:
+    """One row: docs, mean size."""
+    each = counts.groupBy(key).agg(F.first("size").alias("size"))
+    return each.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+
+
+def asked_terms(queries: DataFrame, text: str) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
 
 
-def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, query_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score): BM25 of every document that shares a token with the query. Only tokens that queries hold are counted per document."""
-    sized = docs.select(key, tokens(F.col(text)).alias("ts")).select(key, "ts", F.size("ts").alias("size"))
-    facts = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("t"))
-    wanted = asked.select("t").distinct()
-    tf = sized.select(key, "size", F.explode("ts").alias("t")).join(wanted, "t").groupBy(key, "size", "t").agg(F.count("*").alias("tf"))
+def keyword_scores(counts: DataFrame, queries: DataFrame, key: str, query_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score): BM25 of every counted document that shares a token with the query."""
+    asked = asked_terms(queries, query_text)
+    tf = counts.join(asked.select("t").distinct(), "t", "left_semi")
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "t").join(asked, "t").crossJoin(F.broadcast(facts))  # facts is one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    rows = tf.join(asked.join(df, "t"), "t").crossJoin(F.broadcast(facts(counts, key)))  # facts is one row
+    part = idf(F.col("docs"), F.col("df")) * impact(F.col("tf"), F.col("size"), F.col("mean"), k1, b)
     return rows.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
 
 

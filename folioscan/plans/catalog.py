@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from folioscan.functions import names
 from folioscan.functions.vectors import l2_norm, mean_long, unit
 from folioscan.operators import search, text
+from folioscan.operators.codes import CodeIndex
+from folioscan.operators.ivf import IvfIndex
+from folioscan.operators.keyword_index import KeywordIndex
+from folioscan.operators.multivector import MultiVectorIndex
 from folioscan.operators.ordinals import numbered
 from folioscan import ingest
+from folioscan.scratch import Scratch
 from folioscan.sources import sinks
 
 
@@ -158,10 +163,8 @@ def u1_corpus_ordinals(spark, d):
 def u3_append_equals_rebuild(spark, d):
     """Ordinals of a corpus whose second half is appended to its first."""
     docs = _documents(spark, d)
-    first, second = docs.where("doc_ord < 10"), docs.where("doc_ord >= 10")
-    a = ingest.page_meta(first)
-    start = (a.agg(F.max("page_ord")).first()[0] or -1) + 1 if not a.isEmpty() else 0
-    return a.unionByName(ingest.page_meta(second, start=start)).select("page_ord", "source", "page")
+    first = ingest.page_meta(docs.where("doc_ord < 10"))
+    return first.unionByName(ingest.page_meta(docs.where("doc_ord >= 10"), start=ingest.next_ordinal(first))).select("page_ord", "source", "page")
 
 
 def m2_text_query_topk(spark, d):
@@ -184,18 +187,44 @@ def r3_rerank(spark, d):
     pooled = ingest.page_vectors(_patches(spark, d))
     asked = ingest.page_vectors(_tokens(spark, d).select(F.col("query_id").alias("page_ord"), "vec")).withColumnRenamed("page_ord", "query_id")
     first = search.top_k(pooled, asked, 20)
-    again = search.max_sim(_patches(spark, d).join(first.select("page_ord").distinct(), "page_ord", "left_semi"), _tokens(spark, d))
-    return text.ranked(first.select("query_id", "page_ord").join(again, ["query_id", "page_ord"]), "page_ord", "score", 3).select("query_id", "rank", "page_ord", F.round("score", 6).alias("score"))
+    again = search.rescore(_patches(spark, d), _tokens(spark, d), first)
+    return search.best(again, 3, "score").select("query_id", "rank", "page_ord", F.round("score", 6).alias("score"))
 
 
 def r4_hybrid_rrf(spark, d):
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("page_ord"), "text")
     asked = _read(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
-    words = text.ranked(text.keyword_scores(docs, asked, "page_ord", "text", "text"), "page_ord", "score", 20)
-    dense = search.top_k(text.encode(docs, "page_ord", "text"), text.encode(asked, "query_id", "text"), 20)
+    counts = Scratch(spark, "counts").table(text.counted(docs, "page_ord", "text"), "counts")
+    words = text.ranked(text.keyword_scores(counts, asked, "page_ord", "text"), "page_ord", "score", 20)
+    dense = search.top_k(text.encode_counted(counts, "page_ord"), text.encode(asked, "query_id", "text"), 20)
     return text.ranked(text.fuse(dense, words, "page_ord"), "page_ord", "score", 10).select("query_id", "rank", "page_ord", F.round("score", 9).alias("score"))
 
 
+def r2_multivector_topk(spark, d):
+    """The 10 pages of greatest late interaction for each query, through inverted lists of coded patches."""
+    index = MultiVectorIndex.build(_patches(spark, d), Scratch(spark, "r2").path("index"))
+    return index.search(_tokens(spark, d), 10).select("query_id", "rank", "page_ord", F.round("score", 6).alias("score"))
+
+
+def ann_ivf_topk(spark, d):
+    """The store of cells with all of them probed, which is exact; fewer probes are measured in tests."""
+    index = IvfIndex.build(_pages(spark, d), Scratch(spark, "ivf").path("index"))
+    return index.search(_asked(spark, d), 10, probes=4096).select("query_id", "rank", "page_ord", F.round("similarity", 6).alias("similarity"))
+
+
+def pq_topk(spark, d):
+    """Codes first, exact vectors of the candidates second."""
+    index = CodeIndex.build(_pages(spark, d), Scratch(spark, "pq").path("index"))
+    return index.search(_asked(spark, d), 10).select("query_id", "rank", "page_ord", F.round("similarity", 6).alias("similarity"))
+
+
+def r4_keyword_topk(spark, d):
+    """BM25's 20 best documents of each benchmark item, from the stored inverted index."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("page_ord"), "text")
+    index = KeywordIndex.build(docs, Scratch(spark, "keywords").path("index"))
+    return index.search(_read(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text"), 20)
+
+
 def r5_chunks(spark, d):
     return text.chunks(_read(spark, d, "documents"), "doc_id", "text", 200, 150).select("doc_id", "chunk", "n_words", F.md5("chunk_text").alias("chunk_md5"))
 
@@ -226,6 +255,13 @@ def _encoded(name: str, table: str, key: str) -> str:
 
 _ASKED = "items AS (SELECT item_id AS qid, text FROM benchmark WHERE item_id % 100 = 0)"
 _TEXT = f"WITH {_ASKED}, {_encoded('dv', 'documents', 'doc_id')}, {_encoded('qv', 'items', 'qid')}, s AS (SELECT qv.k AS query_id, dv.k AS page_ord, list_inner_product(dv.u, qv.u) AS s FROM dv, qv), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, page_ord) AS r FROM s)"
+_KEYWORDS = """sz AS (SELECT doc_id AS page_ord, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS size FROM documents)
+, fact AS (SELECT count(*) AS docs, avg(size) AS mean FROM sz)
+, tf AS (SELECT k AS page_ord, t, count(*) AS tf FROM dv_t WHERE t IN (SELECT t FROM qv_t) GROUP BY ALL)
+, df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1)
+, kw AS (SELECT q.k AS query_id, tf.page_ord, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 9) AS score
+  FROM (SELECT DISTINCT k, t FROM qv_t) q JOIN tf USING (t) JOIN df USING (t) JOIN sz USING (page_ord), fact GROUP BY ALL)
+, kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_ord) AS r FROM kw)"""
 _PROMPT = "'You answer questions about document pages.' || chr(10) || 'Question: ' || text || chr(10) || 'Pages attached: 3 (none)' || chr(10) || 'Use these pages only. Name the page behind each statement. If they do not hold the answer, say so. Be brief.'"
 
 SQL: dict[str, str] = {
@@ -257,16 +293,14 @@ SQL: dict[str, str] = {
     "r1_maxsim": f"WITH {_MAXSIM} SELECT query_id, page_ord, round(score, 6) AS score FROM late",
     "r3_rerank": f"WITH {_MAXSIM}, p AS {_pooled('patches', 'page_ord', 'vec')}, t AS {_pooled('toks', 'query_id', 'q')}, s AS (SELECT t.k AS query_id, p.k AS page_ord, list_cosine_similarity(p.v, t.v) AS s FROM p, t), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, page_ord) AS r FROM s), g AS (SELECT query_id, page_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_ord) AS rank FROM f JOIN late USING (query_id, page_ord) WHERE r <= 20) SELECT query_id, CAST(rank AS INTEGER) AS rank, page_ord, round(score, 6) AS score FROM g WHERE rank <= 3",
     "r4_hybrid_rrf": f"""{_TEXT}
-, sz AS (SELECT doc_id AS page_ord, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS size FROM documents)
-, fact AS (SELECT count(*) AS docs, avg(size) AS mean FROM sz)
-, tf AS (SELECT k AS page_ord, t, count(*) AS tf FROM dv_t WHERE t IN (SELECT t FROM qv_t) GROUP BY ALL)
-, df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1)
-, kw AS (SELECT q.k AS query_id, tf.page_ord, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 9) AS score
-  FROM (SELECT DISTINCT k, t FROM qv_t) q JOIN tf USING (t) JOIN df USING (t) JOIN sz USING (page_ord), fact GROUP BY ALL)
-, kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_ord) AS r FROM kw)
+, {_KEYWORDS}
 , fused AS (SELECT query_id, page_ord, coalesce(1 / (60 + a.r)::DOUBLE, 0) + coalesce(1 / (60 + b.r)::DOUBLE, 0) AS score FROM (SELECT * FROM top WHERE r <= 20) a FULL JOIN (SELECT * FROM kr WHERE r <= 20) b USING (query_id, page_ord))
 , fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_ord) AS r FROM fused)
 SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(score, 9) AS score FROM fr WHERE r <= 10""",
+    "r2_multivector_topk": f"WITH {_MAXSIM}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_ord) AS r FROM late) SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(score, 6) AS score FROM top WHERE r <= 10",
+    "ann_ivf_topk": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(s, 6) AS similarity FROM top WHERE r <= 10",
+    "pq_topk": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(s, 6) AS similarity FROM top WHERE r <= 10",
+    "r4_keyword_topk": f"{_TEXT}, {_KEYWORDS} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, score FROM kr WHERE r <= 20",
     "r5_chunks": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 200) / 150.0) AS BIGINT) + 1))) AS chunk FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(w[chunk * 150 + 1 : chunk * 150 + 200]) AS INTEGER) AS n_words, md5(array_to_string(w[chunk * 150 + 1 : chunk * 150 + 200], ' ')) AS chunk_md5 FROM c",
 }
 

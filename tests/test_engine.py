@@ -168,10 +168,9 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["hello", "--data-dir", str(tmp_path / "none")], spark) == 1
 
 
-@pytest.mark.parametrize("size", [7, 4096])
-def test_max_sim_takes_any_number_of_tokens(spark, monkeypatch, size):
-    monkeypatch.setattr(search, "SLICE", size)
-    n = 30 if size == 7 else size + 5
+@pytest.mark.parametrize(("size", "n"), [(64, 30), (16 << 20, 4101)])
+def test_max_sim_takes_any_number_of_tokens(spark, monkeypatch, size, n):
+    monkeypatch.setattr(search, "BLOCK_BYTES", size)
     patches = spark.createDataFrame([(p, [float(p), float(-i)]) for p in range(3) for i in range(4)], "page_ord long, vec array<float>").repartition(3)
     tokens = spark.createDataFrame([(q // 10, q % 10, [1.0, float(q % 3 - 1)]) for q in range(n)], "query_id long, token int, vec array<float>")
     want = {}
@@ -183,10 +182,9 @@ def test_max_sim_takes_any_number_of_tokens(spark, monkeypatch, size):
     assert search.max_sim(patches, tokens.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", [7, 4096])
-def test_scores_take_any_number_of_queries(spark, monkeypatch, size):
-    monkeypatch.setattr(search, "SLICE", size)
-    n = 30 if size == 7 else size + 5
+@pytest.mark.parametrize(("size", "n"), [(64, 30), (16 << 20, 4101)])
+def test_scores_take_any_number_of_queries(spark, monkeypatch, size, n):
+    monkeypatch.setattr(search, "BLOCK_BYTES", size)
     pages = _pages(spark, [(p, [float(p), 1.0]) for p in range(3)]).repartition(2)
     asked = _ask(spark, [(q, [1.0, float(q)]) for q in range(n)])
     got = {(r[0], r[1]): r[2] for r in search.scores(pages, asked).collect()}
