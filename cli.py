@@ -26,6 +26,7 @@ def ingest_parser() -> argparse.ArgumentParser:
     p.add_argument("--pdfs", nargs="+", help="names of documents, in the order of their pages; all by name if not given")
     p.add_argument("--batch-size", type=int, default=2)
     p.add_argument("--dpi", type=int, default=150)
+    p.add_argument("--commit-every", type=int, default=0, help="publish a version after so many documents; 0: once")
     p.add_argument("--no-images", action="store_true", help="write no files of page images")
     p.add_argument("--encoder", "-e", default="hashing", help="the encoder: a known name, or module:factory")
     p.add_argument("--renderer", default="text", help="the renderer: a known name, or module:factory")
@@ -36,20 +37,21 @@ def ingest(args: list[str], spark=None) -> int:
     options = ingest_parser().parse_args(args)
     from folioscan import encoders
     from folioscan.ingest import ingest_documents
-    from folioscan.sources.readers import read_store
-    from folioscan.sources.sinks import summary
+    from folioscan.sources.sinks import store_summary
 
     spark = spark or _session()
     try:
         encoder = encoders.encoder(options.encoder, encoders.EncoderConfig(batch_size=options.batch_size))
         images = None if options.no_images else f"{options.output_dir}/page_images"
-        done = ingest_documents(spark, options.docs_dir, options.output_dir, encoders.renderer(options.renderer), encoder, options.pdfs, options.dpi, images)
+        done = ingest_documents(spark, options.docs_dir, options.output_dir, encoders.renderer(options.renderer), encoder, options.pdfs, options.dpi, images, options.commit_every)
     except (FileNotFoundError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1
     for name in done.missing:
         print(f"not found, passed over: {name}")
-    row = summary(read_store(spark, options.output_dir, "patches")).first()
+    if done.empty:
+        print(f"without pages: {done.empty} documents")
+    row = store_summary(spark, options.output_dir).first()
     print(f"added: {done.documents} documents, {done.pages} pages, {done.images} image files")
     print(f"store {options.output_dir}: {row['pages']} pages, {row['patches']} patches a page at most, {row['dim']} dimensions, {row['megabytes']:.1f} MB")
     return 0

@@ -13,13 +13,13 @@ from folioscan.sources.readers import open_images, read_store, require
 
 
 class RetrievalEngine:
-    """Lazy: tables are read when queries need them. Validates that page_vectors, page_meta and, if given, the image folder are there."""
+    """Lazy: tables are read when queries need them, of the store's newest version or the one given. Validates that page_vectors, page_meta and, if given, the image folder are there."""
 
-    def __init__(self, spark: SparkSession, store: str, encoder: Encoder | None = None, generator: AnswerGenerator | None = None, images: str | None = None):
+    def __init__(self, spark: SparkSession, store: str, encoder: Encoder | None = None, generator: AnswerGenerator | None = None, images: str | None = None, version: int | None = None):
         self.spark, self.store, self.encoder, self.generator, self.images = spark, store, encoder, generator, images
         require(spark, [f"{store}/page_vectors", f"{store}/page_meta", *([images] if images else [])])
-        self.vectors = read_store(spark, store, "page_vectors")
-        self.metadata = read_store(spark, store, "page_meta")
+        self.vectors = read_store(spark, store, "page_vectors", version)
+        self.metadata = read_store(spark, store, "page_meta", version)
 
     @property
     def page_count(self) -> int:

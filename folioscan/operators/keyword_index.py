@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscan.operators import text
 from folioscan.scratch import Scratch
 
-ZONE = 64
+ZONE = 16
 BUCKETS = 64
 #: Sums of shares are compared with so much room.
 SLACK = 1e-6

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import fnmatch
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,14 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioscan import schema
 from folioscan.functions.names import file_name, mebibytes
+from folioscan.sources import manifest
 from folioscan.sources.files import read_file
 
 
+#: Bytes of page images that a task holds before it passes them on.
+PAGES_BYTES = 8 << 20
+
+
 def file_system(spark: SparkSession, path: str):
     """(file system, path) as Spark's own readers open it."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -31,18 +37,27 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(found)] if system.exists(found) else []
 
 
-def commits(spark: SparkSession, store: str) -> list[int]:
-    """The numbers of a store's finished writes."""
-    return sorted(int(n) for n in _names(spark, f"{store}/commits") if n.isdigit())
+def read_store(spark: SparkSession, store: str, table: str, version: int | None = None) -> DataFrame:
+    """A table of a store, of its newest version or an older one: live commits without what tombstones take; or the plain table of a store written by other means."""
+    found = manifest.read(spark, store, version)
+    if found is None:
+        if any(n.startswith("commit=") for n in _names(spark, f"{store}/{table}")):
+            raise FileNotFoundError(f"{store}/versions")
+        return spark.read.parquet(f"{store}/{table}")
+    if not found.adds:
+        raise FileNotFoundError(f"{store}/{table}")
+    return live(spark, store, table, found)
 
 
-def read_store(spark: SparkSession, store: str, table: str) -> DataFrame:
-    """A table of a store: its finished commits, or the plain table of a store written by other means."""
-    if numbers := commits(spark, store):
-        return spark.read.parquet(*[f"{store}/{table}/commit={n}" for n in numbers])
-    if any(n.startswith("commit=") for n in _names(spark, f"{store}/{table}")):
-        raise FileNotFoundError(f"{store}/commits")
-    return spark.read.parquet(f"{store}/{table}")
+def live(spark: SparkSession, store: str, table: str, found: manifest.Manifest) -> DataFrame:
+    rows = spark.read.parquet(*[f"{store}/{table}/commit={n}" for n in found.adds])
+    if not found.deletes or table == "summaries":
+        return rows
+    dead = spark.read.parquet(*[f"{store}/tombstones/commit={n}" for n in found.deletes])
+    if table == "documents":
+        return rows.join(dead.select("source", "added").distinct(), ["source", "added"], "left_anti")
+    key = ["source", "page", "added"] if table == "images" else ["page_ord"]
+    return rows.join(dead.where("page_ord is not null").select(*key), key, "left_anti")
 
 
 def require(spark: SparkSession, paths: Sequence[str]) -> None:
@@ -62,11 +77,15 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(name, path, size) of the files of one folder, by name; contents aren't read."""
+    """(name, path, size) of the files of one folder, by name; contents aren't read. Files of no bytes are among them, which Spark's reader leaves out."""
     if not exists(spark, folder):
         raise FileNotFoundError(folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(file_name(F.col("path")).alias("name"), "path", F.col("length").alias("size")).orderBy("name")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(file_name(F.col("path")).alias("name"), "path", F.col("length").alias("size"))
+    system, found = file_system(spark, folder)
+    bare = [(s.getPath().getName(), s.getPath().toString(), 0) for s in system.listStatus(found) if s.isFile() and not s.getLen() and fnmatch.fnmatchcase(s.getPath().getName(), pattern)]
+    if bare:
+        files = files.unionByName(spark.createDataFrame(bare, files.schema))
+    return files.orderBy("name")
 
 
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,13 +134,21 @@ def open_images(rows: DataFrame, folder: str) -> DataFrame:
     return rows.mapInPandas(load, StructType([*rows.schema.fields, StructField("image", BinaryType())]))
 
 
-def render(documents: DataFrame, renderer: Callable[[bytes, int], Sequence[bytes]], dpi: int = 150) -> DataFrame:
-    """(source, page, total_pages, image): one row per page, in order. documents: name, content; renderer(content, dpi) gives a document's page images."""
+def render(documents: DataFrame, renderer: Callable[[bytes, int], Iterable[bytes]], dpi: int = 150) -> DataFrame:
+    """(source, page, image): one row per page, in order. documents: name, content; renderer(content, dpi) gives a document's page images, one after the other if it is a generator:
+    some MB of them are held at once, whatever the document's length."""
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["name"], b["content"], strict=True):
-                images = list(renderer(content, dpi))
-                yield pd.DataFrame({"source": name, "page": range(1, len(images) + 1), "total_pages": len(images), "image": images})
-
-    return documents.select("name", "content").mapInPandas(pages, "source string, page int, total_pages int, image binary")
+                held, size, first = [], 0, 1
+                for image in renderer(content, dpi):
+                    held.append(image)
+                    size += len(image)
+                    if size > PAGES_BYTES:
+                        yield pd.DataFrame({"source": name, "page": range(first, first + len(held)), "image": held})
+                        held, size, first = [], 0, first + len(held)
+                if held:
+                    yield pd.DataFrame({"source": name, "page": range(first, first + len(held)), "image": held})
+
+    return documents.select("name", "content").mapInPandas(pages, "source string, page int, image binary")

@@ -8,7 +8,7 @@ from folioscan.encoders import HashingTextEncoder, generator, generators, text_p
 from folioscan.functions import names
 from folioscan.functions.vectors import dot, mean_pool, unit
 from folioscan.operators import ordinals, search
-from folioscan.sources import readers, sinks
+from folioscan.sources import manifest, readers, sinks
 
 
 def _pages(spark, rows):
@@ -147,7 +147,7 @@ def test_sources(spark, tmp_path):
     assert rows["a.pdf"]["pages"] == 2 and not rows["zz.pdf"]["found"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "a.pdf").load(folder).select(F.lit("a.pdf").alias("name"), "content")
     pages = readers.render(files, lambda content, dpi: [content, content[:1]]).orderBy("page").collect()
-    assert [(r["page"], r["total_pages"], bytes(r["image"])) for r in pages] == [(1, 2, b"pp"), (2, 2, b"p")]
+    assert [(r["page"], bytes(r["image"])) for r in pages] == [(1, b"pp"), (2, b"p")]
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -246,38 +246,10 @@ def test_nothing_to_ingest(spark, tmp_path):
         ingest.ingest_documents(spark, folder, str(tmp_path / "s"), text_pages, HashingTextEncoder())
 
 
-@pytest.mark.parametrize("stop", ["page_meta", "patches", "page_vectors", "commits"])
-def test_stopped_append_runs_again(spark, tmp_path, monkeypatch, stop):
-    path = str(tmp_path / "s")
-    _store(spark, path)
-    new = spark.createDataFrame([(0, "c.pdf", 1)], "doc_ord long, source string, total_pages long")
-    patches = spark.createDataFrame([("c.pdf", 1, 0, [2.0, 0.0])], "source string, page int, patch int, vec array<float>")
-    with monkeypatch.context() as m:
-        write, mark = ingest.write_table, ingest.mark_commit
-
-        def failing(df, to):
-            write(df, to)
-            if f"/{stop}/" in to:
-                raise OSError("stopped")
-
-        def unmarked(*args):
-            raise OSError("stopped")
-
-        m.setattr(ingest, "write_table", failing)
-        m.setattr(ingest, "mark_commit", unmarked if stop == "commits" else mark)
-        with pytest.raises(OSError, match="stopped"):
-            ingest.append(patches, new, path)
-    engine = RetrievalEngine(spark, path)
-    assert engine.page_count == 3 and engine.metadata.count() == 3
-    assert ingest.append(patches, new, path) == 1 and ingest.append(patches, new, path) == 0
-    engine = RetrievalEngine(spark, path)
-    assert engine.page_count == 4 and sorted(r[0] for r in engine.vectors.select("page_ord").collect()) == [0, 1, 2, 3]
-
-
 def test_store_anew_and_export(spark, tmp_path):
     path = str(tmp_path / "s")
     _store(spark, path)
-    assert _store(spark, path).page_count == 3 and readers.commits(spark, path) == [1]
+    assert _store(spark, path).page_count == 3 and manifest.versions(spark, path) == [0, 1]
     sinks.export_metadata(readers.read_store(spark, path, "page_meta"), str(tmp_path / "meta"))
     back = readers.read_metadata(spark, str(tmp_path / "meta")).orderBy("page_ord").collect()
     assert [tuple(r) for r in back] == [(0, "A 1.pdf", 1, 2), (1, "A 1.pdf", 2, 2), (2, "b.pdf", 1, 1)]
