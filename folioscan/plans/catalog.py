@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import names
 from folioscan.functions.vectors import l2_norm, mean_long, unit
-from folioscan.operators import search, text
+from folioscan.operators import search, text, timejoin
 from folioscan.operators.codes import CodeIndex
 from folioscan.operators.ivf import IvfIndex
 from folioscan.operators.keyword_index import KeywordIndex
@@ -225,6 +225,20 @@ def r4_keyword_topk(spark, d):
     return index.search(_read(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text"), 20)
 
 
+def asof_sales_changes(spark, d):
+    """Each sale with the last change of its client up to then."""
+    sales = _read(spark, d, "sales").select("sale_id", "client_id", "sold_at")
+    changes = _read(spark, d, "client_changes").select("client_id", "valid_at", "change_id", "segment")
+    return timejoin.as_of(sales, changes, "client_id", "sold_at", "valid_at", ["change_id", "segment"], "change_id", 6 * 3600 * 1_000_000).select("sale_id", "client_id", "change_id", "segment")
+
+
+def overlap_sales_changes(spark, d):
+    """Sales on their way (from sale to arrival) while their client's data were changed, an hour being given to each change."""
+    sales = _read(spark, d, "sales").select("client_id", "sale_id", "sold_at", "arrived_at")
+    changes = _read(spark, d, "client_changes").select("client_id", "change_id", "valid_at", (F.col("valid_at") + F.expr("interval 1 hour")).alias("until"))
+    return timejoin.overlapping(sales, changes, "client_id", ("sold_at", "arrived_at"), ("valid_at", "until")).select("left.sale_id", "right.change_id")
+
+
 def r5_chunks(spark, d):
     return text.chunks(_read(spark, d, "documents"), "doc_id", "text", 200, 150).select("doc_id", "chunk", "n_words", F.md5("chunk_text").alias("chunk_md5"))
 
@@ -301,6 +315,8 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(score, 9) AS score
     "ann_ivf_topk": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(s, 6) AS similarity FROM top WHERE r <= 10",
     "pq_topk": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(s, 6) AS similarity FROM top WHERE r <= 10",
     "r4_keyword_topk": f"{_TEXT}, {_KEYWORDS} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, score FROM kr WHERE r <= 20",
+    "asof_sales_changes": "WITH c AS (SELECT client_id, valid_at, max(change_id) AS change_id, arg_max(segment, change_id) AS segment FROM (SELECT client_id, valid_at, change_id, struct_pack(s := segment) AS segment FROM client_changes) GROUP BY ALL) SELECT s.sale_id, s.client_id, c.change_id, c.segment.s AS segment FROM sales s ASOF LEFT JOIN c ON s.client_id = c.client_id AND s.sold_at >= c.valid_at",
+    "overlap_sales_changes": "SELECT sale_id, change_id FROM sales s JOIN client_changes c ON s.client_id = c.client_id AND sold_at <= arrived_at AND sold_at <= valid_at + INTERVAL 1 HOUR AND valid_at <= arrived_at",
     "r5_chunks": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 200) / 150.0) AS BIGINT) + 1))) AS chunk FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(w[chunk * 150 + 1 : chunk * 150 + 200]) AS INTEGER) AS n_words, md5(array_to_string(w[chunk * 150 + 1 : chunk * 150 + 200], ' ')) AS chunk_md5 FROM c",
 }
 

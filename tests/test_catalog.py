@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "documents embeddings pages benchmark labels conversations nation".split():
+    for t in "documents embeddings pages benchmark labels conversations nation sales client_changes".split():
         path = f"{DATA}/{t}.parquet"
         c.sql(f"create view {t} as select * from '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     return c
