@@ -33,8 +33,10 @@ class Codebook:
         """(codes, errors)"""
         w = self.width
         codes = np.column_stack([clusters.nearest(vectors[:, i * w : (i + 1) * w], words) for i, words in enumerate(self.words)]).astype(np.uint8)
-        said = np.concatenate([words[codes[:, i]] for i, words in enumerate(self.words)], axis=1)
-        return codes, np.sqrt(((vectors - said) ** 2).sum(axis=1))
+        return codes, np.sqrt(((vectors - self.decode(codes)) ** 2).sum(axis=1))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([words[codes[:, i]] for i, words in enumerate(self.words)], axis=1)
 
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         """For each part the products of every query with every codeword."""
@@ -80,20 +82,19 @@ def bytes_of(column: pa.Array, width: int) -> np.ndarray:
 def _bounded(book: Codebook, names: np.ndarray, matrix: np.ndarray, k: int):
     """Batches (page_ord, code, err) to (query_id, page_ord, low, high) of pages that may be among a query's k best, as far as the task has seen."""
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    tables = book.tables(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(names), k), -np.inf)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 codes, err, pages = bytes_of(part.column(1), len(book.words)), part.column(2).to_numpy(), part.column(0).to_numpy()
                 for first in range(0, len(names), 256):
-                    rows = slice(first, first + 256)
-                    found = book.scores([t[rows] for t in tables], codes)
+                    rows = slice(first, first + 256)  # tables of 256 queries at once, so that they stay some MB
+                    found = book.scores(book.tables(matrix[rows]), codes)
                     room = norms[rows, None] * err
                     low = found - room
-                    best[rows] = np.sort(np.concatenate([best[rows], low], axis=1), axis=1)[:, -k:]
+                    best[rows] = np.sort(np.partition(np.concatenate([best[rows], low], axis=1), -k, axis=1)[:, -k:], axis=1)
                     q, p = np.nonzero(found + room >= best[rows, :1])
                     if len(q):
                         yield pa.RecordBatch.from_arrays([pa.array(names[q + first]), pa.array(pages[p]), pa.array(low[q, p]), pa.array((found + room)[q, p])], names=["query_id", "page_ord", "low", "high"])

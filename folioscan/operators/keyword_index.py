@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from folioscan.operators import text
 from folioscan.scratch import Scratch
 
-ZONE = 16
-BUCKETS = 64
+ZONE = 32
+BUCKETS = 16
 #: Sums of shares are compared with so much room.
 SLACK = 1e-6
 
@@ -29,20 +29,23 @@ class KeywordIndex:
     @staticmethod
     def build(docs: DataFrame, path: str, key: str = "page_ord", column: str = "text", zone: int = ZONE, buckets: int = BUCKETS) -> KeywordIndex:
         """Writes docs' (integer key, text) postings, tokens' document counts and the corpus' facts to path."""
-        counts = Scratch(docs.sparkSession, "postings").table(text.counted(docs.select(F.col(key).cast("long").alias("page_ord"), F.col(column).alias("text")), "page_ord", "text"), "counts")
-        facts = text.facts(counts, "page_ord")
-        facts.withColumn("buckets", F.lit(buckets).cast("long")).write.mode("overwrite").parquet(f"{path}/facts")
+        texts = docs.select(F.col(key).cast("long").alias("page_ord"), F.col(column).alias("text"))
+        facts = texts.agg(F.count("*").alias("docs"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean"), F.lit(zone).cast("long").alias("zone"), F.lit(buckets).cast("long").alias("buckets"))
+        facts.write.mode("overwrite").parquet(f"{path}/facts")
         mean = F.lit(docs.sparkSession.read.parquet(f"{path}/facts").first()["mean"] or 1.0)
-        rows = counts.where("t is not null").withColumn("zone", F.floor(F.col("page_ord") / zone)).withColumn("impact", text.impact(F.col("tf"), F.col("size"), mean))
-        blocks = rows.groupBy("t", "zone").agg(F.sort_array(F.collect_list(F.struct("page_ord", "impact"))).alias("postings"), F.max("impact").alias("most"), F.count("*").alias("n"))
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int"))
-        blocks.repartition("bucket", F.pmod(F.xxhash64("t", "zone"), F.lit(8))).sortWithinPartitions("bucket", "t", "zone").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        # dealt once: by folder and a share of the zones, so that a frequent token's postings aren't one task's
+        rows = text.counted(texts, "page_ord", "text").where("t is not null").withColumn("zone", F.floor(F.col("page_ord") / zone))
+        rows = rows.select("t", "zone", (F.col("page_ord") - F.col("zone") * zone).cast("int").alias("at"), F.col("tf").cast("int").alias("tf"), "size", F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int").alias("bucket"))
+        rows = rows.withColumn("share", F.pmod(F.xxhash64("zone"), F.lit(16))).repartition("bucket", "share")
+        most = F.max(text.impact(F.col("tf"), F.col("size"), mean))
+        blocks = rows.groupBy("bucket", "share", "t", "zone").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "size"))).alias("postings"), most.alias("most"), F.count("*").cast("int").alias("n")).drop("share")
+        blocks.sortWithinPartitions("bucket", "t", "zone").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         index = KeywordIndex(docs.sparkSession, path)
         index.blocks().groupBy("t").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         return index
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("t string, zone long, postings array<struct<page_ord:long,impact:double>>, most double, n long, bucket int").parquet(f"{self.path}/blocks")
+        return self.spark.read.schema("t string, zone long, postings array<struct<at:int,tf:int,size:int>>, most double, n int, bucket int").parquet(f"{self.path}/blocks")
 
     def _asked(self, queries: DataFrame, column: str) -> DataFrame:
         """(query_id, t, idf, bucket)"""
@@ -70,8 +73,10 @@ class KeywordIndex:
 
     def _scores(self, asked: DataFrame, zones: DataFrame) -> DataFrame:
         rows = self._of(asked, self.blocks().select("t", "zone", "postings", "bucket")).join(zones, ["query_id", "zone"], "left_semi")
-        each = rows.select("query_id", "idf", F.explode("postings").alias("p"))
-        return each.groupBy("query_id", F.col("p.page_ord").alias("page_ord")).agg(F.round(F.sum(F.col("idf") * F.col("p.impact")), 9).alias("score"))
+        facts = self.spark.read.parquet(f"{self.path}/facts").select(F.col("mean").alias("mean"), F.col("zone").alias("width"))
+        each = rows.crossJoin(F.broadcast(facts)).select("query_id", "idf", "mean", (F.col("zone") * F.col("width")).alias("start"), F.explode("postings").alias("p"))  # facts is one row
+        part = F.col("idf") * text.impact(F.col("p.tf"), F.col("p.size"), F.col("mean"))
+        return each.groupBy("query_id", (F.col("start") + F.col("p.at")).alias("page_ord")).agg(F.round(F.sum(part), 9).alias("score"))
 
     def search(self, queries: DataFrame, k: int = 10, column: str = "text") -> DataFrame:
         """(query_id, rank, page_ord, score): BM25's k best pages, ties to the lesser page_ord, of queries (query_id, text)."""

@@ -59,7 +59,6 @@ class _Tokens:
 
 def _bounds(tokens: _Tokens, book: codes.Codebook):
     """Batches (page_ord, code, err, cell) to (query_id, page_ord, token, low, high), the greatest of a page in the batch."""
-    tables = book.tables(tokens.matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,13 +68,13 @@ def _bounds(tokens: _Tokens, book: codes.Codebook):
                 rows = np.flatnonzero(cells == cell)
                 for at in range(0, len(rows) if len(asked) else 0, 1024):
                     part = batch.take(pa.array(rows[at : at + 1024]))
-                    made, err = codes.bytes_of(part.column(1), len(book.words)), part.column(2).to_numpy()
+                    said, err = book.decode(codes.bytes_of(part.column(1), len(book.words))).T, part.column(2).to_numpy()
                     names, own = np.unique(part.column(0).to_numpy(), return_inverse=True)
                     order = np.argsort(own, kind="stable")
                     cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
                     for first in range(0, len(asked), 256):
                         some = asked[first : first + 256]
-                        found = book.scores([t[some] for t in tables], made)
+                        found = tokens.matrix[some] @ said
                         room = tokens.norms[some, None] * err
                         low, high = (np.maximum.reduceat(x[:, order], cuts, axis=1) for x in (found - room, found + room))
                         t, p = np.divmod(np.arange(low.size), low.shape[1])

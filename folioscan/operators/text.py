@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 DIM = 64
 
@@ -13,13 +19,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, size, t, tf): how often each token occurs in a text of size tokens; a text without tokens is one row without t.
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, tokens) to (key, size, t, tf)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            size = pc.list_value_length(part.column(1)).to_numpy()
+            rows = pa.table({"i": pc.list_parent_indices(part.column(1)).cast(pa.int64()), "t": pc.list_flatten(part.column(1))}).group_by(["i", "t"]).aggregate([([], "count_all")])
+            bare = np.flatnonzero(size == 0)
+            i = np.concatenate([rows["i"].to_numpy(), bare])
+            t = pa.concat_arrays([rows["t"].combine_chunks(), pa.nulls(len(bare), rows["t"].type)]) if len(rows) else pa.nulls(len(bare), pa.string())
+            tf = np.concatenate([rows["count_all"].to_numpy(), np.ones(len(bare), np.int64)])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(size[i].astype(np.int32)), t.cast(pa.string()), pa.array(tf)], names=[part.schema.names[0], "size", "t", "tf"])
 
-    Rows are dealt by key once, so that later sums by key don't move them again.
-    """
-    each = rows.select(key, tokens(F.col(text)).alias("ts")).repartition(key).select(key, F.size("ts").alias("size"), F.explode_outer("ts").alias("t"))
-    return each.groupBy(key, "size", "t").agg(F.count("*").alias("tf"))
+
+def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size, t, tf): how often each token occurs in a text of size tokens; a text without tokens is one row without t. Texts are counted where they are read."""
+    found = rows.select(key, tokens(F.col(text)).alias("ts"))
+    return found.mapInArrow(_counts, StructType([found.schema[0], StructField("size", IntegerType()), StructField("t", StringType()), StructField("tf", LongType())]))
 
 
 def encode_counted(counts: DataFrame, key: str) -> DataFrame:
