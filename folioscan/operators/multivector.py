@@ -83,6 +83,38 @@ def _bounds(tokens: _Tokens, book: codes.Codebook):
     return run
 
 
+def _page_bounds(tokens: _Tokens, book: codes.Codebook, k: int):
+    """Batches (page_ord, codes) of packed pages to (query_id, page_ord, low, high) of pages that may be among a query's k best, as far as the task has seen."""
+    order = np.argsort(tokens.queries, kind="stable")
+    names, first = np.unique(tokens.queries[order], return_index=True)
+    matrix, norms = tokens.matrix[order], tokens.norms[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, ends = np.full((len(names), k), -np.inf), np.append(first, len(matrix))
+        for batch in batches:
+            pages, lists = batch.column(0).to_numpy(), batch.column(1)
+            begin = np.asarray(lists.offsets)
+            flat = lists.flatten()
+            made, errs, begin = flat.field("code"), flat.field("err").to_numpy(), begin - begin[0]
+            a = 0
+            while a < len(pages):
+                b = max(a + 1, int(np.searchsorted(begin, begin[a] + 4096, "right")) - 1)
+                said, err = book.decode(codes.bytes_of(made.slice(begin[a], begin[b] - begin[a]), len(book.words))).T, errs[begin[a] : begin[b]]
+                cuts, q = begin[a:b] - begin[a], 0
+                while q < len(names):
+                    to = max(q + 1, int(np.searchsorted(ends, ends[q] + 512, "right")) - 1)
+                    t = slice(ends[q], ends[to])
+                    found, room = matrix[t] @ said, norms[t, None] * err
+                    low, high = (np.add.reduceat(np.maximum.reduceat(x, cuts, axis=1), ends[q:to] - ends[q], axis=0) for x in (found - room, found + room))
+                    best[q:to] = np.sort(np.concatenate([best[q:to], low], axis=1), axis=1)[:, -k:]
+                    i, j = np.nonzero(high >= best[q:to, :1] - codes.SLACK)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q + i]), pa.array(pages[a + j]), pa.array(low[i, j]), pa.array(high[i, j])], names=["query_id", "page_ord", "low", "high"])
+                    q = to
+                a = b
+
+    return run
+
+
 @dataclass(frozen=True)
 class MultiVectorIndex:
     spark: SparkSession
@@ -100,6 +132,8 @@ class MultiVectorIndex:
         listed.hint("rebalance", "cell").sortWithinPartitions("cell", "page_ord").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/lists")
         index._lists().groupBy("cell").agg(F.max("far").alias("radius"), F.max("size").alias("size")).write.mode("overwrite").parquet(f"{path}/radii")
         rows.repartitionByRange("page_ord").sortWithinPartitions("page_ord").write.mode("overwrite").parquet(f"{path}/patches")
+        packed = index._lists().groupBy("page_ord").agg(F.collect_list(F.struct("code", "err")).alias("codes"))  # a page's patches are one encoder call's
+        packed.write.mode("overwrite").parquet(f"{path}/pages")
         return index
 
     def centroids(self) -> np.ndarray:
@@ -114,61 +148,70 @@ class MultiVectorIndex:
     def _lists(self) -> DataFrame:
         return self.spark.read.schema("page_ord long, code binary, err double, far double, size double, cell int").parquet(f"{self.path}/lists")
 
-    def bounds(self, tokens: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
-        """(query_id, page_ord, low, high) of pages in the probed lists, and (query_id, unseen): what a page in none of them could score, -infinity if all lists are probed.
-
-        Tokens travel to the lists in blocks of search.BLOCK_BYTES, those of a query together.
-        """
-        centroids, book = self.centroids(), self.codebook()
-        radii = {r["cell"]: (r["radius"], r["size"]) for r in self.spark.read.parquet(f"{self.path}/radii").collect()}  # a row a cell
-        radius = np.array([radii.get(i, (-np.inf, 0.0))[0] for i in range(len(centroids))])
-        longest = max((s for _, s in radii.values()), default=0.0)
+    def _radii(self) -> tuple[np.ndarray, float]:
+        """Each list's radius, and the length of the longest patch."""
+        rows = {r["cell"]: (r["radius"], r["size"]) for r in self.spark.read.parquet(f"{self.path}/radii").collect()}  # a row a cell
+        return np.array([rows.get(i, (-np.inf, 0.0))[0] for i in range(len(self.centroids()))]), max((s for _, s in rows.values()), default=0.0)
+
+    def _blocks(self, tokens: DataFrame, probes: int) -> Iterator[_Tokens]:
+        """Tokens in blocks of search.BLOCK_BYTES, those of a query together."""
+        centroids, (radius, _) = self.centroids(), self._radii()
         asked = tokens.select(F.col("query_id").cast("long").alias("query_id"), F.col("token").cast("int").alias("token"), F.col("vec").cast("array<double>").alias("vec"))
-        size = asked.agg(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0
-        blocks = -(-size // search.BLOCK_BYTES)
-        found, facts = self.spark.createDataFrame([], "query_id long, page_ord long, token int, low double, high double"), []
+        blocks = -(-(asked.agg(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0) // search.BLOCK_BYTES)
         for b in range(blocks):
-            rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
-            if not rows:
-                continue
-            some = _Tokens(rows, centroids, radius, probes)
-            lists = self._lists()
+            if rows := (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect():
+                yield _Tokens(rows, centroids, radius, probes)
+
+    def hopeless(self, tokens: DataFrame, probes: int) -> DataFrame:
+        """(query_id) of queries that probing can't make certain, as a page in no probed list could have the greatest score there is."""
+        _, longest = self._radii()
+        facts = self.spark.createDataFrame([r for some in self._blocks(tokens, probes) for r in some.rows()], "query_id long, token int, rest double, norm double")
+        total = facts.groupBy("query_id").agg(F.sum("rest").alias("unseen"), F.sum(F.col("norm") * F.lit(longest)).alias("most"))
+        return total.where((F.col("unseen") > float("-inf")) & (F.col("unseen") >= F.col("most"))).select("query_id")
+
+    def bounds(self, tokens: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, page_ord, low, high) of pages in the probed lists, and (query_id, unseen): what a page in none of them could score, -infinity if all lists are probed."""
+        book, (_, longest), n = self.codebook(), self._radii(), len(self.centroids())
+        found, facts = self.spark.createDataFrame([], "query_id long, page_ord long, token int, low double, high double"), []
+        for some in self._blocks(tokens, probes):
             wanted = np.flatnonzero(some.wants.any(axis=0))
-            lists = lists if len(wanted) == len(centroids) else lists.where(F.col("cell").isin(wanted.tolist()))
+            lists = self._lists() if len(wanted) == n else self._lists().where(F.col("cell").isin(wanted.tolist()))
             found = found.unionByName(lists.select("page_ord", "code", "err", "cell").mapInArrow(_bounds(some, book), found.schema))
             facts += some.rows()
         facts = self.spark.createDataFrame(facts, "query_id long, token int, rest double, norm double")
         each = found.groupBy("query_id", "page_ord", "token").agg(F.max("low").alias("low"), F.max("high").alias("high")).join(facts, ["query_id", "token"])
-        least = -F.col("norm") * F.lit(longest)
-        # what is known of the tokens a page was met with, over what holds for those it wasn't
-        part = each.groupBy("query_id", "page_ord").agg(
-            F.sum(F.greatest("low", least) - least).alias("low"), F.sum(F.greatest("high", "rest") - F.greatest("rest", least)).alias("high"))
-        total = facts.groupBy("query_id").agg(F.sum(least).alias("floor"), F.sum(F.greatest("rest", least)).alias("unseen"), F.min("rest").alias("rest"))
-        pages = part.join(total, "query_id").select("query_id", "page_ord", (F.col("low") + F.col("floor")).alias("low"), (F.col("high") + F.col("unseen")).alias("high"))
-        unseen = total.select("query_id", F.when(F.col("rest") == F.lit(float("-inf")), F.lit(float("-inf"))).otherwise(F.col("unseen")).alias("unseen"))
-        return pages, unseen
+        part = each.groupBy("query_id", "page_ord").agg(F.sum("low").alias("low"), F.sum(F.greatest("high", "rest")).alias("high"))  # a query probes its lists with all its tokens
+        return part, facts.groupBy("query_id").agg(F.sum("rest").alias("unseen"))
+
+    def every(self, tokens: DataFrame, k: int) -> DataFrame:
+        """(query_id, page_ord, low, high) from all codes, for pages that no task could exclude from a query's k best."""
+        book, found = self.codebook(), self.spark.createDataFrame([], "query_id long, page_ord long, low double, high double")
+        for some in self._blocks(tokens, 1):
+            found = found.unionByName(self.spark.read.parquet(f"{self.path}/pages").select("page_ord", "codes").mapInArrow(_page_bounds(some, book, k), found.schema))
+        return found
 
     def search(self, tokens: DataFrame, k: int = 10, probes: int = 2) -> DataFrame:
         """(query_id, rank, page_ord, score): the k pages of greatest late-interaction score, exact. probes: lists for each token at first."""
         if k <= 0 or probes <= 0:
             raise ValueError("k and probes have to be positive")
         scratch = Scratch(self.spark, "lists")
-        pages, unseen = self.bounds(tokens, probes)
+        lost = scratch.table(self.hopeless(tokens, probes), "hopeless")
+        tried = tokens.join(lost, "query_id", "left_anti")
+        pages, unseen = self.bounds(tried, probes)
         pages = scratch.table(pages, "pages")
-        bars = scratch.table(self._bars(pages, tokens, k), "bars")
-        known = unseen.join(bars, "query_id", "left").select("query_id", "bar", (F.col("bar").isNotNull() & (F.col("unseen") < F.col("bar") - codes.SLACK) | (F.col("unseen") == float("-inf"))).alias("certain"))
-        known = scratch.table(known, "known")
-        open_ = known.where(~F.col("certain")).select("query_id")
-        if not open_.isEmpty():
-            every, _ = self.bounds(tokens.join(open_, "query_id", "left_semi"), len(self.centroids()))
-            every = scratch.table(every, "every")
-            bars = bars.join(open_, "query_id", "left_anti").unionByName(self._bars(every, tokens, k))
-            pages = pages.join(open_, "query_id", "left_anti").unionByName(every)
+        bars = scratch.table(self._bars(pages, tried, k), "bars")
+        certain = unseen.join(bars, "query_id", "left").where((F.col("bar").isNotNull() & (F.col("unseen") < F.col("bar") - codes.SLACK)) | (F.col("unseen") == float("-inf"))).select("query_id")
+        certain = scratch.table(certain, "certain")
+        left = tokens.join(certain, "query_id", "left_anti")
+        if not left.isEmpty():
+            every = scratch.table(self.every(left, k), "every")
+            bars = bars.join(certain, "query_id", "left_semi").unionByName(self._bars(every, left, k))
+            pages = pages.join(certain, "query_id", "left_semi").unionByName(every)
         return search.best(search.rescore(self.patches(), tokens, self._reaching(pages, bars)), k, "score")
 
     def candidates(self, tokens: DataFrame, k: int) -> DataFrame:
         """(query_id, page_ord) whose patches a search that probes all lists reads."""
-        pages, _ = self.bounds(tokens, len(self.centroids()))
+        pages = self.every(tokens, k)
         return self._reaching(pages, self._bars(pages, tokens, k))
 
     def _bars(self, pages: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
