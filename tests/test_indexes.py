@@ -146,9 +146,9 @@ def test_keyword_index_skips_postings(spark, tmp_path):
     counts = text.counted(docs, "page_ord", "text")
     want = text.ranked(text.keyword_scores(counts, asked, "page_ord", "text"), "page_ord", "score", 10).select("query_id", "rank", "page_ord", "score")
     assert _rows(index.search(asked, 10)) == _rows(want)
-    assert _rows(index.search(asked, 1)) == [r for r in _rows(want) if r[1] == 1]
-    small = KeywordIndex.build(docs, str(tmp_path / "small"), zone=4)
-    assert _rows(small.search(asked, 10)) == _rows(want) and small.share_read(asked.where("query_id = 1"), 1) < 0.5
+    # a rare word decides, so zones that only hold the frequent one aren't read
+    assert _rows(index.search(asked, 3)) == [r for r in _rows(want) if r[1] <= 3]
+    assert index.share_read(asked.where("query_id = 0"), 3) < 0.5
     assert index.search(asked.where("query_id > 1 and query_id < 4"), 10).count() == 0
     with pytest.raises(ValueError):
         index.search(asked, 0)
