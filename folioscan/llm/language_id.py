@@ -5,8 +5,9 @@ A text is lower-cased, everything but letters becomes one space, and its 1- to 4
 centroids; a text takes the language of the centroid with the greatest cosine. A text is rejected whose cosine falls below a limit for
 its language and length, between what training texts and pieces of that length reach and what random letters do.
 
-The classifier is fitted on at most `sample` different labelled rows (id and text) of each of the `languages` most frequent languages, picked by the rank of a hash: a documented,
-bounded sample; everything else covers all rows and whole texts. Null text or text without a letter: `und`, score 0, rejected.
+The classifier is fitted on at most `sample` different labelled rows (id and text) of each language, picked by the rank of a hash, and on no further row once these have `sample_bytes` of text: a documented,
+bounded sample; everything else covers all rows and whole texts. Every language that occurs is learned, each in a task of its own: only document frequencies of the `DIM` bins and the centroids
+reach the driver. Null text or text without a letter: `und`, score 0, rejected.
 Ties between languages go to the lesser name. Without any labelled row every text is `und`. Repeated rows are predicted each. Empty table: no rows.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import U64, configured, mix64
+from folioscan.llm.common import U64, Scratch, configured, maybe_broadcast, mix64, partitions
 
 DIM = 1 << 18
 _SHIFT = U64(64 - 18)
@@ -44,19 +45,29 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         points = np.frombuffer(f" {plain} ".encode("utf-32-le"), dtype="<u4").astype(U64) if at == 0 else np.frombuffer(f"{plain} ".encode("utf-32-le"), dtype="<u4").astype(U64)
         if not np.any(points != U64(32)):
             continue
-        h = np.zeros(len(points), dtype=U64)
-        found = []
-        for n in _ORDERS:
-            if len(points) < n:
-                break
-            h = h[: len(points) - n + 1] * U64(0x100000001B3) + points[n - 1 :] + U64(n)
-            found.append((mix64(h) >> _SHIFT).astype(np.int32))
-        own = np.unique(np.concatenate(found), return_counts=True)
+        own = _counted(points)
         total = own if total is None else _added(total, own)
         tail = plain[-(_ORDERS[-1] - 1) :]
     return total
 
 
+def _counted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of the n-grams of code points, in order, and their counts."""
+    h = np.zeros(len(points), dtype=U64)
+    found = []
+    for n in _ORDERS:
+        if len(points) < n:
+            break
+        h = h[: len(points) - n + 1] * U64(0x100000001B3) + points[n - 1 :] + U64(n)
+        found.append((mix64(h) >> _SHIFT).astype(np.int32))
+    all_ = np.concatenate(found)
+    if len(all_) < DIM // 8:
+        return np.unique(all_, return_counts=True)
+    count = np.bincount(all_, minlength=DIM)
+    bins = np.flatnonzero(count)
+    return bins.astype(np.int32), count[bins]
+
+
 def _added(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     bins, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
     return bins, np.bincount(at, weights=np.concatenate([x[1], y[1]])).astype(np.int64)
@@ -128,10 +139,20 @@ def band(n: float | np.ndarray) -> np.ndarray:
 
 
 class LanguageModel:
-    """Centroids of the bins seen, with their languages, idf and rejection limits for each length band; some MB, sent to the tasks."""
+    """Centroids with their languages, idf of the bins seen and rejection limits for each length band; some MB, sent to the tasks.
+
+    Centroids are held by bin: the entries first[i]:first[i + 1] of own and weight are the centroids that have bin seen[i], and their values there.
+    """
+
+    def __init__(self, langs: list[str], seen: np.ndarray, first: np.ndarray, own: np.ndarray, weight: np.ndarray, idf: np.ndarray, unseen: float, limits: dict[str, np.ndarray]):
+        self.langs, self.seen, self.first, self.own, self.weight, self.idf, self.unseen, self.limits = langs, seen, first, own, weight, idf, unseen, limits
 
-    def __init__(self, langs: list[str], seen: np.ndarray, centroids: np.ndarray, idf: np.ndarray, unseen: float, limits: dict[str, np.ndarray]):
-        self.langs, self.seen, self.centroids, self.idf, self.unseen, self.limits = langs, seen, centroids, idf, unseen, limits
+    @property
+    def centroids(self) -> np.ndarray:
+        """A row for each bin seen, a column for each centroid."""
+        out = np.zeros((len(self.seen), len(self.langs)), np.float32)
+        out[np.repeat(np.arange(len(self.seen)), np.diff(self.first)), self.own] = self.weight
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected)"""
@@ -142,23 +163,33 @@ class LanguageModel:
         at = np.minimum(np.searchsorted(self.seen, bins), len(self.seen) - 1)
         known = self.seen[at] == bins
         x = np.log1p(count)
-        own = x[known] * self.idf[at[known]]
-        norm = np.sqrt(own @ own + self.unseen**2 * (x[~known] @ x[~known]))
-        cosines = (own.astype(np.float32) @ self.centroids[at[known]]) / norm
+        at = at[known]
+        values = x[known] * self.idf[at]
+        norm = np.sqrt(values @ values + self.unseen**2 * (x[~known] @ x[~known]))
+        n = self.first[at + 1] - self.first[at]
+        entries = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cosines = np.bincount(self.own[entries], weights=self.weight[entries] * np.repeat(values, n), minlength=len(self.langs)) / norm
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
         return self.langs[best], score, bool(score < self.limits[self.langs[best]][band(count.sum())])
 
 
-_NOTHING = LanguageModel([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0), 1.0, {})
+_NOTHING = LanguageModel([], np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0), 1.0, {})
 
 
 def _noise(letters: str, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """N-grams of texts of random letters, with and without spaces, of some n n-grams."""
     r = np.random.default_rng(n)
     size, many = max(1, n // 4), int(min(100, max(6, (1 << 16) // n)))
-    out = [grams("".join(r.choice(list(letters + " " * spaces), size))) for spaces in (0, 1, len(letters)) for _ in range(many)]
-    return [x for x in out if x is not None]
+    out = []
+    for spaces in (0, 1, len(letters)):
+        pool = np.array([*map(ord, letters), *[32] * spaces], dtype=U64)
+        for _ in range(many):
+            points = np.concatenate(([U64(32)], pool[r.integers(len(pool), size=size)], [U64(32)]))
+            points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
+            if len(points) > 1:
+                out.append(_counted(points))
+    return out
 
 
 def _limits(scores: np.ndarray, sizes: np.ndarray, noise, reject_share: float) -> np.ndarray:
@@ -176,48 +207,89 @@ def _limits(scores: np.ndarray, sizes: np.ndarray, noise, reject_share: float) -
     return limits[np.abs(np.arange(BANDS)[:, None] - np.array(known)[None, :]).argmin(axis=1)]
 
 
-def training_rows(docs: DataFrame, training: Column, sample: int, languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text) of at most `sample` different rows for each of the most frequent languages: those of the least hashes of id and text."""
+def training_rows(docs: DataFrame, training: Column, sample: int, languages: int | None, id_col: str, text_col: str, lang_col: str, sample_bytes: int = 8 << 20) -> DataFrame:
+    """(lang, text) of at most `sample` different rows for each language: those of the least hashes of id and text, up to the one with which they have sample_bytes.
+
+    languages: only so many, the most frequent ones; None: all.
+    """
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language sample")).alias("h"))
-    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
-    if not sizes:
-        return labelled.limit(0).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    if languages is not None:
+        sizes = sizes.orderBy(F.col("n").desc(), "lang").limit(languages)
+    # A row for each language.
+    sizes = Scratch(docs.sparkSession, "languages").table(sizes, "sizes")
     # The least hashes, with room: some two samples' worth of the different rows, so the ranking is over few.
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * sample / r["n"]))])
-    near = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 30)).distinct()
+    near = labelled.join(maybe_broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), 2 * sample / F.col("n")) * (1 << 30)).select("lang", "text", "h").distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "text")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = near.select("lang", "text", F.row_number().over(order).alias("rank"), before.alias("before"))
+    return ranked.where((F.col("rank") <= sample) & (F.col("before") < sample_bytes)).select("lang", "text")
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (bins) of texts to (bin, n): in how many texts of the task each bin occurs; bin -1: how many they are."""
+    count, texts = np.zeros(DIM, np.int64), 0
+    for batch in batches:
+        for bins in batch.column(0):
+            count[np.frombuffer(bins.as_buffer(), dtype=np.int32)] += 1
+            texts += 1
+    found = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(count[found], texts))], names=["bin", "n"])
 
 
-def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4, reject_share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = 64) -> LanguageModel:
-    """A model from rows where training holds and lang isn't null. sample: labelled rows per language, languages: how many are learned, at most.
+def _fitted(idf: np.ndarray, centroids: int, reject_share: float):
+    """One language's features to a row (lang, k, bins, weights, limits): its k centroids' values at the bins that they have."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip((x is None for x in table["letters"].to_pylist()), table["bins"].to_pylist(), table["counts"].to_pylist(), table["letters"].to_pylist(), strict=True), key=lambda r: r[:3])
+        of = lambda some: Rows(np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]), np.array([len(x[0]) for x in some]), idf)
+        own = [(np.frombuffer(r[1], dtype=np.int32), np.frombuffer(r[2], dtype=np.int32)) for r in rows]
+        texts = [x for x, r in zip(own, rows, strict=True) if not r[0]]
+        c = fit_centroids(of(texts), centroids)
+        held = Counter(x for r in rows if r[3] for x in r[3])
+        letters = "".join(sorted(x for x, n in held.items() if n * 10 >= len(texts)))
+        limits = _limits(of(own).dots(c).max(axis=1), np.array([x[1].sum() for x in own]), lambda n: of(_noise(letters, n)).dots(c).max(axis=1), reject_share)
+        bins = np.flatnonzero(c.any(axis=0)).astype(np.int32)
+        row = [key[0].as_py(), len(c), bins.tobytes(), c[:, bins].astype(np.float32).tobytes(), limits.astype(np.float64).tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["lang", "k", "bins", "weights", "limits"])
+
+    return run
+
+
+def fit(docs: DataFrame, training: Column, sample: int = 300, centroids: int = 4, reject_share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int | None = None, sample_bytes: int = 8 << 20) -> LanguageModel:
+    """A model from rows where training holds and lang isn't null. sample, sample_bytes: labelled rows per language, at most, and their text; languages: only the most frequent ones.
 
     reject_share: a text is rejected below a limit for its length and language, that share of the way from the cosines of random letters
     up to the least that the sample's texts, and pieces of them, reach at that length, a hundredth left out.
     """
-    configured(docs)
-    rows = training_rows(docs, training, sample, languages, id_col, text_col, lang_col).mapInArrow(_features, "lang string, letters string, bins binary, counts binary").collect()
-    rows = sorted(((r["lang"], r["letters"] is None, bytes(r["bins"]), bytes(r["counts"]), r["letters"]) for r in rows), key=lambda r: r[:4])
-    if not rows:
+    spark = configured(docs)
+    scratch = Scratch(spark, "language")
+    rows = training_rows(docs, training, sample, languages, id_col, text_col, lang_col, sample_bytes).repartition(partitions(spark))
+    features = scratch.table(rows.mapInArrow(_features, "lang string, letters string, bins binary, counts binary"), "features")
+    # DIM rows at most.
+    found = features.where("letters is not null").select("bins").mapInArrow(_frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    count = dict(zip(found["bin"].to_pylist(), found["n"].to_pylist(), strict=True))
+    total = count.pop(-1, 0)
+    if not total:
+        scratch.remove()
         return _NOTHING
-    names, whole = np.array([r[0] for r in rows]), np.array([not r[1] for r in rows])
-    found = [(np.frombuffer(r[2], dtype=np.int32), np.frombuffer(r[3], dtype=np.int32)) for r in rows]
-    idf = np.log((1 + whole.sum()) / (1 + np.bincount(np.concatenate([x[0] for x, w in zip(found, whole, strict=True) if w]), minlength=DIM))) + 1
-    of = lambda some: Rows(np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]), np.array([len(x[0]) for x in some]), idf)
-    langs, cents, limits = [], [], {}
-    for lang in sorted(set(names)):
-        texts = [found[i] for i in np.flatnonzero((names == lang) & whole)]
-        c = fit_centroids(of(texts), centroids)
-        own = [found[i] for i in np.flatnonzero(names == lang)]
-        held = Counter(x for r in rows if r[0] == lang and r[4] for x in r[4])
-        letters = "".join(sorted(x for x, n in held.items() if n * 10 >= len(texts)))
-        noise = lambda n, letters=letters, c=c: of(_noise(letters, n)).dots(c).max(axis=1)
-        limits[str(lang)] = _limits(of(own).dots(c).max(axis=1), np.array([x[1].sum() for x in own]), noise, reject_share)
-        langs += [str(lang)] * len(c)
-        cents.append(c)
-    cents = np.vstack(cents)
-    seen = np.flatnonzero(cents.any(axis=0)).astype(np.int32)
-    return LanguageModel(langs, seen, np.ascontiguousarray(cents[:, seen].T).astype(np.float32), idf[seen], float(np.log(1 + whole.sum()) + 1), limits)
+    idf = np.full(DIM, np.log(1 + total) + 1)
+    idf[np.array(list(count), dtype=np.int64)] = np.log((1 + total) / (1 + np.array(list(count.values())))) + 1
+    own = features.repartition(partitions(spark), "lang").groupBy("lang").applyInArrow(_fitted(idf, centroids, reject_share), "lang string, k int, bins binary, weights binary, limits binary").collect()
+    scratch.remove()
+    langs, bins, columns, weights, limits = [], [], [], [], {}
+    for r in sorted(own, key=lambda r: r["lang"]):
+        at, w = np.frombuffer(r["bins"], dtype=np.int32), np.frombuffer(r["weights"], dtype=np.float32).reshape(r["k"], -1)
+        which, where = np.nonzero(w)
+        bins.append(at[where])
+        columns.append((which + len(langs)).astype(np.int32))
+        weights.append(w[which, where])
+        langs += [r["lang"]] * r["k"]
+        limits[r["lang"]] = np.frombuffer(r["limits"], dtype=np.float64)
+    bins, columns, weights = np.concatenate(bins), np.concatenate(columns), np.concatenate(weights)
+    order = np.argsort(bins, kind="stable")
+    seen, n = np.unique(bins, return_counts=True)
+    return LanguageModel(langs, seen, np.concatenate(([0], np.cumsum(n))), columns[order], weights[order], idf[seen], float(np.log(1 + total) + 1), limits)
 
 
 def _predict(model: LanguageModel, keep: int, at: int):

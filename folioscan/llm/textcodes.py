@@ -1,7 +1,7 @@
 """Vectorised word and shingle codes over Arrow text buffers.
 
-Words are hashed from their bytes to 64 bits, mixed after each lane of 8 bytes; a shingle's code mixes its words' hashes in order. No code is a plain polynomial, which
-self-similar strings could make equal; different shingles share a code with a chance of 2**-64.
+Words are hashed from their bytes to 64 bits. Two states of 64 bits take in each lane of 8 bytes in different ways and are joined at the end: a lane that makes up for an earlier
+one in one state doesn't in the other. A shingle's code mixes its words' hashes in order. No code is a plain polynomial, which self-similar strings could make equal; different shingles share a code with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -26,16 +26,23 @@ _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 
 
 def hashes(buf: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each range at:to of buf. Ranges of up to 8 bytes have different hashes where their bytes or lengths differ, but for the length's share in them."""
+    """A 64-bit hash of the bytes of each range at:to of buf."""
     lanes = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
     n = to - at
-    h = mix64((mix64(n.astype(U64) * U64(0xA0761D6478BD642F))) ^ (lanes[at] & _MASK[np.minimum(n, 8)]))
+    lane = lanes[at] & _MASK[np.minimum(n, 8)]
+    h = mix64((mix64(n.astype(U64) * U64(0xA0761D6478BD642F))) ^ lane)
+    other = (lane + n.astype(U64)) * U64(0x9E3779B97F4A7C15)
     rows = np.flatnonzero((n > 8) & (n <= LANES))
     for first in range(8, LANES, 8):
         if not len(rows):
             break
-        h[rows] = mix64(h[rows] ^ (lanes[at[rows] + first] & _MASK[np.minimum(n[rows] - first, 8)]))
+        lane = lanes[at[rows] + first] & _MASK[np.minimum(n[rows] - first, 8)]
+        h[rows] = mix64(h[rows] ^ lane)
+        # The shift carries high bits down, so that products of lanes don't simply add up.
+        was = other[rows]
+        other[rows] = ((was ^ (was >> U64(29))) + lane) * U64(0xD6E8FEB86659FD93)
         rows = rows[n[rows] > first + 8]
+    h = mix64(h + (other ^ (other >> U64(32))) * U64(0xE7037ED1A0B428DB))
     for i in np.flatnonzero(n > LANES).tolist():
         h[i] = xxhash.xxh3_64_intdigest(buf[at[i] : to[i]].tobytes())
     return h

@@ -9,7 +9,8 @@ import pytest
 from brute import components, near_duplicates, repeats, sha
 from pyspark.sql import functions as F
 
-from folioscan.llm import byte_bpe, embedding_dedup, language_id, license_scan, minhash_dedup, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search, url_filter
+from folioscan.llm import byte_bpe, embedding_dedup, language_id, license_scan, minhash_dedup, packing, sentencepiece_codec, suffix_dedup, textcodes, token_counts, topk_search, url_filter
+from folioscan.llm.common import mix64
 
 LONG = " ".join(f"w{i % 7919}" for i in range(300_000))
 EDGE = [None, "", " \n\t ", "One", "one", "Été à la\u00a0plage", "x" * 5000, "日本語 😀 text", LONG]
@@ -384,6 +385,45 @@ def test_language_sample_is_bounded(spark):
     assert by["aa"].count("the house of stone") <= 1
 
 
+def test_words_that_cancel_in_one_state_differ(spark):
+    """Words whose second lane makes up for their first one in a chain of mixed lanes, and longer words with such a pair of lanes anywhere."""
+    pair = ["aaaaaaaabbbbbbbb", "&h5mnr%s(d_w#yj&"]
+    rest = " and more words that nobody shares with anyone else at all"
+    texts = [f"{pair[i]}{tail}" for tail in ("", " only") for i in (0, 1)] + [" ".join([pair[i]] * 30) + rest * i for i in (0, 1)]
+    got = minhash_dedup.minhash_components(_docs(spark, texts), k=2).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(len(texts)))
+    r = np.random.default_rng(5)
+    for n in (16, 24, 40, 248):
+        for at in range(0, n - 8, 8):
+            x = r.integers(0, 1 << 63, n // 8, dtype=np.uint64)
+            y = x.copy()
+            y[at // 8] ^= np.uint64(0x0102)
+            states = []
+            for w in (x, y):
+                h = mix64(mix64(np.array([n], dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) ^ w[:1])
+                for lane in w[1 : at // 8 + 1]:
+                    h = mix64(h ^ lane)
+                states.append(h[0])
+            y[at // 8 + 1] ^= states[0] ^ states[1]
+            buf = np.frombuffer(x.tobytes() + y.tobytes(), dtype=np.uint8)
+            codes = textcodes.hashes(buf, np.array([0, n]), np.array([n, 2 * n]))
+            assert codes[0] != codes[1]
+
+
+def test_language_learns_every_label(spark):
+    """More labels than were once learned, each with words of its own; a sample bounded by bytes."""
+    r = random.Random(3)
+    own = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(r.choices(own[i % 70], k=20)), f"l{i % 70:02d}") for i in range(70 * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.col("doc_id") % 8 != 0, centroids=2)
+    assert sorted(set(model.langs)) == sorted({x[2] for x in rows})
+    assert all(model.predict(text)[0] == lang for i, text, lang in rows if i % 8 == 0)
+    sizes = docs.groupBy("lang").agg(F.min(F.length("text")).alias("n")).collect()
+    picked = language_id.training_rows(docs, F.lit(True), 20, None, "doc_id", "text", "lang", sample_bytes=min(x["n"] for x in sizes))
+    assert picked.count() == 70
+
+
 def test_language_equals_nearest_centroid(spark):
     """Predictions against dense vectors and a plain loop over the model's centroids."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
