@@ -6,6 +6,7 @@ minimiser). So instead of all suffixes, one in some `length / 2` is sorted, and
 
 1. Sampled suffixes are written as (hash of the gram, hash of the context, place), of a text that occurs often in a task twice at most. Contexts that are equal,
    in both hashes of 64 bits, collapse by a map-side combined count; each string in a context that occurs twice repeats.
+   A Bloom filter of the contexts that matter (16 MB at most) passes over most other suffixes before these are joined with them.
 2. Where several contexts share a gram, their bytes are fetched and grouped by gram. A group is sorted into a suffix array with common
    prefixes; a stack scan gives the common-prefix intervals, and the left contexts of an interval's members, sorted, tell how far each
    pair extends to the left (where they differ at once, the interval is left-diverse). Common prefix and left extension of `length` bytes
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import U64, Scratch, configured, join_by_degree, maybe_broadcast, mix64, partitions
+from folioscan.llm.exact_dedup import _filter
 from folioscan.llm.textcodes import bounds, hashes, pieces
 
 GRAM = 32
@@ -220,6 +222,21 @@ def _anchors(lengths: tuple[int, ...]):
     return run
 
 
+def _passing(words, size: int):
+    """Batches to the rows whose ctx passes the Bloom filter of `size` bits that words holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(words.value, U64)
+        for batch in batches:
+            ctx = batch.column("ctx").to_numpy(zero_copy_only=False).view(U64)
+            both = [x & U64(size - 1) for x in (ctx, ctx >> U64(32))]
+            fits = np.logical_and(*((bits[x >> U64(6)] >> (x & U64(63)) & U64(1)).astype(bool) for x in both))
+            if fits.any():
+                yield batch.filter(pa.array(fits))
+
+    return run
+
+
 _CONTEXT = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("view", pa.int8()), ("n", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
 
 
@@ -395,8 +412,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     shared = scratch.table(join_by_degree(classes, grams, ["gram"], "contexts", classes.count(), scratch), "shared")
     # What is left after this: suffixes whose context repeats, and those that share their gram with another context; big is null where only the former holds.
     alone = classes.where("n > 1").join(shared.where("n > 1").select(*_CTX), _CTX, "left_anti").withColumn("big", F.lit(None).cast("boolean"))
-    hits = scratch.table(join_by_degree(found, shared.unionByName(alone).withColumn("degree", F.col("n")), _CTX, "degree", found.count(), scratch), "hits")
-    scratch.drop(found, classes, shared)
+    relevant = scratch.table(shared.unionByName(alone), "relevant")
+    # Most suffixes are neither; they don't move.
+    bits, size = _filter(relevant.select(F.col("ctx").alias("mark")), relevant.count())
+    bits = spark.sparkContext.broadcast(bits)
+    near = found.mapInArrow(_passing(bits, size), found.schema)
+    hits = scratch.table(join_by_degree(near, relevant.withColumn("degree", F.col("n")), _CTX, "degree", found.count(), scratch), "hits")
+    bits.destroy()
+    scratch.drop(found, classes, shared, relevant)
     places = hits.where("big is not null")
     firsts = [F.first(c).alias(c) for c in ("doc", *_KEY, "view", "place", "n", "big")]
     single = places.where("n = 1").unionByName(places.where("n > 1").groupBy(*_CTX).agg(*firsts))
