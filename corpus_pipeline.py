@@ -80,4 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.table(docs, name)
+            # What the stage has read isn't needed again.
+            scratch.keep(docs)
     return docs
