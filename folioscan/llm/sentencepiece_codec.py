@@ -4,12 +4,13 @@ A normalised text is a row of marked words: the mark of white space, then what f
 crosses into a mark, so words are independent. The distinct new words of a batch are sorted, which lays them out as a trie in depth-first order;
 walking from one to the next keeps the forward states of the prefix they share and computes only what differs.
 
-The forward state of a unigram model is the best score and last piece of each prefix (Viterbi). A BPE model has no sums to compare:
+The forward state of a unigram model is the best score and last piece of each prefix (Viterbi); of equal scores the one with the longest last piece, as in the library. Sums start
+anew with each word, in double precision, where the library's run on over a text in single precision: segmentations that differ by less than its rounding can come out otherwise. A BPE model has no sums to compare:
 scores rank its merges, and the best sum is not its encoding. There, the state is the last piece of the prefix's encoding. It is unique, and it is the piece that
 ends the prefix and stands next to the last piece of what is before it as those two strings encode together; such neighbours are looked up in a cache.
 
-Characters without a piece become byte pieces, or the unknown piece where a model has none. Null text: null ids, null decoding. Empty text: no ids. Repeated rows
-are coded each. Empty table: no rows. Decoding undoes encoding up to the model's own normalisation.
+Characters without a piece become byte pieces, or the unknown piece where a model has none, one for each run of them. Null text: null ids, null decoding. Empty text: no ids. Very long
+texts are coded whole. Repeated rows are coded each. Columns besides id and text aren't read, so their names can't clash. Empty table: no rows. Decoding undoes encoding up to the model's own normalisation.
 """
 
 from __future__ import annotations
@@ -55,7 +56,11 @@ class PieceCodec:
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if types[i] == 6}
         self.unknown = next((i for i, t in types.items() if t == 2), 0)
-        self.penalty = min(self.scores.values(), default=0.0) - 10
+        normal = [p.score for p in spec.pieces if p.type == 1]
+        self.penalty = min(normal, default=0.0) - 10
+        if not self.bpe:
+            # The library scores a user's own piece by its bytes, above all others, whatever the file says.
+            self.scores |= {p.piece: 0.1 * (len(p.piece.encode()) - 1) for p in spec.pieces if p.type == 4}
         self.out = [b"" if types[i] == 3 else bytes([int(p[3:5], 16)]) if types[i] == 6 else b" \xe2\x81\x87 " if types[i] == 2 else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.prefixed = spec.normalizer_spec.add_dummy_prefix
         self.known: dict[str, bytes] = {}
@@ -137,9 +142,9 @@ class PieceCodec:
                 states.append(chosen)
             return
         for i in range(start + 1, len(word) + 1):
-            best, chosen = scores[i - 1] + self.scores.get(word[i - 1], self.penalty), 1
-            for n in range(2, min(self.longest, i) + 1):
-                score = self.scores.get(word[i - n : i])
+            best, chosen = -math.inf, 1
+            for n in range(min(self.longest, i), 0, -1):
+                score = self.scores.get(word[i - n : i], self.penalty if n == 1 else None)
                 if score is not None and scores[i - n] + score > best:
                     best, chosen = scores[i - n] + score, n
             states.append(chosen)
@@ -192,7 +197,14 @@ class PieceCodec:
             new = {w for words in split if words for w in words}
         self.learn(new)
         known = self.known
-        return [None if words is None else np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<i4") for words in split]
+        return [None if words is None else self._joined(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<i4")) for words in split]
+
+    def _joined(self, ids: np.ndarray) -> np.ndarray:
+        """ids with each run of the unknown piece as one, across words where the mark itself is unknown."""
+        if self.bytes or len(ids) < 2:
+            return ids
+        unknown = ids == self.unknown
+        return ids[np.concatenate(([True], ~(unknown[1:] & unknown[:-1])))]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:

@@ -258,6 +258,45 @@ def test_sentencepiece(spark):
     assert sentencepiece_codec.encode(docs.limit(0), path).count() == 0
 
 
+def _unigram(path, bytes_, own=()):
+    """A unigram model written by hand: scores are multiples of 1/8, so that sums are exact and ties frequent."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    r = random.Random(5)
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.trainer_spec.model_type = 1
+    spec.trainer_spec.byte_fallback = bytes_
+    spec.normalizer_spec.name = "identity"
+    letters = "abcdé日"
+    strings = {"▁", *letters, *(m + "".join(r.choices(letters, k=r.randint(1, 5))) for m in ("", "▁") for _ in range(150))}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if bytes_ else []
+    pieces += [(s, -r.randint(8, 40) / 8, 1) for s in sorted(strings - set(own))] + [(s, 0.0, 4) for s in own]
+    for piece, score, kind in pieces:
+        spec.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(spec.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("bytes_", [False, True])
+@pytest.mark.parametrize("own", [(), ("cab", "▁dad")])
+def test_sentencepiece_unigram(spark, tmp_path, bytes_, own):
+    """Shared-prefix Viterbi against the library: ties, unknown letters in runs and at a text's start, a long text, a user's own pieces."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = _unigram(tmp_path / "unigram.model", bytes_, own)
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("aabbccdé日xy", k=r.randint(1, 12))) for _ in range(r.randint(1, 40))) for _ in range(300)]
+    texts += [None, "", "   ", "x", "xxyx xx a", "a" * 30_000, "abcd" * 6000 + " x " * 3000, "cab dad cabdad", texts[0], "a  b\n c"]
+    docs = _docs(spark, texts)
+    library = SentencePieceProcessor(model_file=path)
+    got = [r["ids"] for r in sentencepiece_codec.encode(docs, path).orderBy("doc_id").collect()]
+    want = [None if t is None else library.encode(t) for t in texts]
+    assert got == want
+    back = [r["text"] for r in sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path).orderBy("doc_id").collect()]
+    assert back == [None if x is None else library.decode(x) for x in want]
+
+
 # 6
 
 
