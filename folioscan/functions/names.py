@@ -53,4 +53,12 @@ def encode_hours(pages: Column, seconds_a_page: float) -> Column:
 
 
 def shown(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    """The double in fixed notation as C's printf gives it: its binary value is rounded, half to even, where Java's formatter rounds the shortest decimal of that value half up."""
+    size = F.abs(value.cast("double"))
+    coarse = size.cast("float").cast("double")  # 24 and 29 bits, so both products are exact
+    high, low = coarse * 10**digits, (size - coarse) * 10**digits
+    whole = F.floor(high + low)
+    over = (high - whole - 0.5) + low
+    units = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    text = F.format_string(f"%s%d.%0{digits}d", F.when(value.cast("string").startswith("-"), "-").otherwise(""), (units / 10**digits).cast("long"), units % 10**digits)
+    return F.when(size < 1e9, text).otherwise(F.format_string(f"%.{digits}f", value))

@@ -284,3 +284,10 @@ def test_cli_from_documents_to_an_answer(spark, tmp_path, capsys):
     assert cli.main(["stars", "--data-dir", store, "--encoder", "none"], spark) == 1
     (tmp_path / "empty").mkdir()
     assert cli.main(["ingest", "--docs-dir", str(tmp_path / "empty"), "--output-dir", store], spark) == 1
+
+
+def test_numbers_are_shown_as_printf_shows_them(spark):
+    """0.48595 lies below its decimal as a double and 0.00005 above; 0.03125 is a tie, which goes to the even digit."""
+    values = [0.48595, 0.47445, 0.00005, 0.03125, 0.09375, 0.99995, -0.48655, -0.0, -0.00001, 12345.67885, 1.0]
+    found = spark.createDataFrame([(x,) for x in values], "x double").select("x", names.shown(F.col("x"), 4)).collect()
+    assert [r[1] for r in found] == ["%.4f" % r[0] for r in found]
