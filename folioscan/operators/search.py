@@ -98,16 +98,56 @@ class _TopK(_Kernel):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(self.p[real]), pa.array(self.s[real])], names=["query_id", "page_ord", "similarity"])
 
 
-class _TokenMax(_Kernel):
-    """Each token's greatest product with the patches of a page in the batch."""
+class _PageScores(_Kernel):
+    """Late interaction with whole pages, whose patches come one after another: of a page that isn't over yet only each token's greatest product is held."""
+
+    def __init__(self, *queries: np.ndarray):
+        order = np.lexsort((queries[1], queries[0]))
+        super().__init__(*(q[order] for q in queries))
+        self.ids, first = np.unique(self.names, return_index=True)
+        self.ends = np.append(first, len(self.names))
+        # rows of one token of a query count once
+        self.begins = np.flatnonzero(np.append(True, (np.diff(self.names) != 0) | (np.diff(self.tokens) != 0)))
+        self.places = np.searchsorted(self.begins, self.ends)
+        self.page, self.top = None, np.full(len(self.names), -np.inf)
+
+    def groups(self, size: int) -> Iterator[tuple[slice, slice]]:
+        """(queries, their tokens) in groups of about so many tokens."""
+        q = 0
+        while q < len(self.ids):
+            to = max(q + 1, int(np.searchsorted(self.ends, self.ends[q] + size, "right")) - 1)
+            yield slice(q, to), slice(self.ends[q], self.ends[to])
+            q = to
 
     def take(self, batch):
-        for pages, first, found in self.products(batch, 256):
-            names, own = np.unique(pages, return_inverse=True)
-            order = np.argsort(own, kind="stable")
-            best = np.maximum.reduceat(found[:, order], np.flatnonzero(np.diff(own[order], prepend=-1)), axis=1)
-            t, p = np.divmod(np.arange(best.size), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names[p]), pa.array(self.names[t + first]), pa.array(self.tokens[t + first], pa.int32()), pa.array(best.ravel())], names=["page_ord", "query_id", "token", "s"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            pages, vectors = part.column(0).to_numpy(), rectangle(part.column(1), self.matrix.shape[1])
+            if self.page is not None and pages[0] != self.page:
+                yield from self.end()
+            cuts = np.append(0, np.flatnonzero(np.diff(pages)) + 1)
+            goes_on, done = pages[0] == self.page, pages[cuts[:-1]]
+            for q, t in self.groups(4 * QUERIES_AT_ONCE):
+                best = np.maximum.reduceat(self.matrix[t] @ vectors.T, cuts, axis=1)
+                if goes_on:
+                    best[:, 0] = np.maximum(best[:, 0], self.top[t])
+                self.top[t] = best[:, -1]
+                if len(done):
+                    yield self.summed(q, t, done, best[:, :-1])
+            self.page = pages[-1]
+
+    def summed(self, q: slice, t: slice, pages: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        if len(self.begins) < len(self.names):
+            best = np.maximum.reduceat(best, self.begins[self.places[q.start] : self.places[q.stop]] - t.start, axis=0)
+        found = np.add.reduceat(np.round(best, PLACES), self.places[q] - self.places[q.start], axis=0)
+        columns = [pa.array(np.repeat(self.ids[q], len(pages))), pa.array(np.tile(pages, len(found))), pa.array(found.ravel())]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "page_ord", "score"])
+
+    def end(self):
+        if self.page is not None:
+            for q, t in self.groups(1 << 16):
+                yield self.summed(q, t, np.array([self.page], np.int64), self.top[t][:, None])
+        self.page = None
 
 
 def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,24 +193,26 @@ def _grid(make: Callable[..., _Kernel]):
     return run
 
 
-def met(pages: DataFrame, asked: DataFrame, make: Callable[..., _Kernel], schema: str) -> DataFrame:
-    """What make's kernel gives for every query (query_id, token, vec) and all pages (page_ord, vec, and token if the kernel takes one). The rows of a query stay together."""
+def met(pages: DataFrame, asked: DataFrame, make: Callable[..., _Kernel], schema: str, whole: bool = False) -> DataFrame:
+    """What make's kernel gives for every query (query_id, token, vec) and all pages (page_ord, vec, and token if the kernel takes one). The rows of a query stay together; those of a page follow one another in one task if whole."""
     spark = pages.sparkSession
     size = asked.agg(F.sum(F.size("vec").cast("long") * 8).alias("bytes")).first()["bytes"]
     if not size:
         return spark.createDataFrame([], schema)
     blocks = -(-size // BLOCK_BYTES)
     pages = pages.select(F.col("page_ord").cast("long").alias("page_ord"), "vec", (F.col("token") if "token" in pages.columns else F.lit(0)).cast("int").alias("token"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     if blocks == 1:
+        if whole:
+            pages = pages.repartition(tasks, F.xxhash64("page_ord")).sortWithinPartitions("page_ord")
         return pages.mapInArrow(_past(make, _matrix(asked.select("query_id", "token", "vec").collect())), schema)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     shares = max(1, tasks // blocks)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     doubles = F.col("vec").cast("array<double>").alias("vec")
     left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), every(shares).alias("s"), F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("key"), F.col("token").cast("int").alias("token"), doubles)
     right = pages.select(every(blocks).alias("b"), F.pmod(F.xxhash64("page_ord"), F.lit(shares)).cast("int").alias("s"), F.lit(1).alias("kind"), F.col("page_ord").alias("key"), "token", doubles)
     both = left.unionByName(right).select((F.col("b") * shares + F.col("s")).alias("cell"), "kind", "key", "token", "vec")
-    return both.repartition(blocks * shares, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_grid(make), schema)
+    return both.repartition(blocks * shares, "cell").sortWithinPartitions("cell", "kind", *["key"] * whole).mapInArrow(_grid(make), schema)
 
 
 def scores(pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -215,10 +257,11 @@ def with_metadata(hits: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def max_sim(patches: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, page_ord, score): for each token of a query the greatest inner product with a page's patches, summed. patches: page_ord, vec; tokens: query_id, token, vec."""
-    each = met(patches.select("page_ord", "vec"), tokens.select("query_id", "token", "vec"), _TokenMax, "page_ord long, query_id long, token int, s double")
-    top = each.groupBy("query_id", "page_ord", "token").agg(F.max("s").alias("s"))
-    return top.groupBy("query_id", "page_ord").agg(F.sum("s").alias("score"))
+    """(query_id, page_ord, score): for each token of a query the greatest inner product with a page's patches, summed. patches: page_ord, vec; tokens: query_id, token, vec.
+
+    Patches are shuffled, once for each block of queries; products and scores aren't.
+    """
+    return met(patches.select("page_ord", "vec"), tokens.select("query_id", "token", "vec"), _PageScores, "query_id long, page_ord long, score double", whole=True)
 
 
 def _rescored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

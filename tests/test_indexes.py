@@ -65,6 +65,29 @@ def test_rescore_equals_max_sim(spark):
     assert _rows(search.rescore(patches, tokens, wanted)) == _rows(want)
 
 
+@pytest.mark.parametrize("size", [1 << 8, 16 << 20])
+def test_late_interaction_shuffles_patches_only(spark, monkeypatch, size):
+    """Pages longer than a kernel's chunk, pages of one patch, a token of two rows, queries in one block or several; one exchange, so products aren't shuffled."""
+    monkeypatch.setattr(search, "BLOCK_BYTES", size)
+    r = np.random.default_rng(5)
+    v, owner = r.normal(size=(1500, 3)), np.where(np.arange(1500) < 700, 7, r.integers(0, 400, 1500))
+    patches = spark.createDataFrame([(int(p), x.tolist()) for p, x in zip(owner, v, strict=True)], "page_ord long, vec array<double>").repartition(3)
+    q = [(i, t, r.normal(size=3)) for i in range(9) for t in range(i % 4 + 1)] + [(3, 1, r.normal(size=3))]
+    tokens = spark.createDataFrame([(i, t, x.tolist()) for i, t, x in q], "query_id long, token int, vec array<double>")
+    want = []
+    for i in range(9):
+        for p in np.unique(owner):
+            best = {}
+            for t, x in [(t, x) for j, t, x in q if j == i]:
+                best[t] = max(best.get(t, -np.inf), float((v[owner == p] @ x).max()))
+            want.append((i, int(p), sum(best.values())))
+    found = search.max_sim(patches, tokens)
+    got = sorted(map(tuple, found.collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan[plan.rindex("MapInArrow") :].count("Exchange") and "Exchange" not in plan[: plan.rindex("MapInArrow")]
+
+
 def test_cells_are_partitions_that_probes_prune(spark, tmp_path):
     v, pages = _vectors(spark, 1500, spread=0.6)
     index, ids = IvfIndex.build(pages, str(tmp_path / "ivf"), cells=30), range(0, 1500, 30)
