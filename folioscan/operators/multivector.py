@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 from folioscan.operators import clusters, codes, ivf, search
 from folioscan.scratch import Scratch
 
+#: Bytes of tokens that a task holds at once.
+TOKEN_BYTES = 8 << 20
+#: Tokens and patches of a product's two sides.
+TOKENS_AT_ONCE, PATCHES_AT_ONCE = 512, 1024
+
 
 def _listed(centroids: np.ndarray, book: codes.Codebook):
     """Batches (page_ord, patch, vec) to (page_ord, code, err, far, size, cell): far is the distance from the centre, size the length."""
@@ -49,9 +54,11 @@ class _Tokens:
         names, at = np.unique(self.queries, return_inverse=True)
         wants = np.zeros((len(names), said.shape[1]), bool)
         np.logical_or.at(wants, at, own)
-        self.wants = wants[at]
+        wants = wants[at]
+        #: The tokens that probe each list: tasks get these few rows, not a table of all tokens by all lists.
+        self.asked = {int(cell): np.flatnonzero(wants[:, cell]).astype(np.int32) for cell in np.flatnonzero(wants.any(axis=0))}
         #: What a patch in a list that the query doesn't probe can give a token at most.
-        self.rest = np.where(self.wants, -np.inf, said).max(axis=1) + codes.SLACK
+        self.rest = np.where(wants, -np.inf, said).max(axis=1) + codes.SLACK
 
     def rows(self) -> list[tuple[int, int, float, float]]:
         return [(int(q), int(t), float(r), float(n)) for q, t, r, n in zip(self.queries, self.tokens, self.rest, self.norms, strict=True)]
@@ -64,7 +71,7 @@ def _bounds(tokens: _Tokens, book: codes.Codebook):
         for batch in batches:
             cells = batch.column(3).to_numpy()
             for cell in np.unique(cells):
-                asked = np.flatnonzero(tokens.wants[:, cell])
+                asked = tokens.asked.get(int(cell), ())
                 rows = np.flatnonzero(cells == cell)
                 for at in range(0, len(rows) if len(asked) else 0, 1024):
                     part = batch.take(pa.array(rows[at : at + 1024]))
@@ -98,14 +105,18 @@ def _page_bounds(tokens: _Tokens, book: codes.Codebook, k: int):
             made, errs, begin = flat.field("code"), flat.field("err").to_numpy(), begin - begin[0]
             a = 0
             while a < len(pages):
-                b = max(a + 1, int(np.searchsorted(begin, begin[a] + 4096, "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(begin, begin[a] + PATCHES_AT_ONCE, "right")) - 1)
                 said, err = book.decode(codes.bytes_of(made.slice(begin[a], begin[b] - begin[a]), len(book.words))).T, errs[begin[a] : begin[b]]
                 cuts, q = begin[a:b] - begin[a], 0
                 while q < len(names):
-                    to = max(q + 1, int(np.searchsorted(ends, ends[q] + 512, "right")) - 1)
+                    to = max(q + 1, int(np.searchsorted(ends, ends[q] + TOKENS_AT_ONCE, "right")) - 1)
                     t = slice(ends[q], ends[to])
                     found, room = matrix[t] @ said, norms[t, None] * err
-                    low, high = (np.add.reduceat(np.maximum.reduceat(x, cuts, axis=1), ends[q:to] - ends[q], axis=0) for x in (found - room, found + room))
+                    summed = lambda x: np.add.reduceat(np.maximum.reduceat(x, cuts, axis=1), ends[q:to] - ends[q], axis=0)  # noqa: B023, E731
+                    found -= room
+                    low = summed(found)
+                    found += 2 * room
+                    high = summed(found)
                     best[q:to] = np.sort(np.concatenate([best[q:to], low], axis=1), axis=1)[:, -k:]
                     i, j = np.nonzero(high >= best[q:to, :1] - codes.SLACK)
                     yield pa.RecordBatch.from_arrays([pa.array(names[q + i]), pa.array(pages[a + j]), pa.array(low[i, j]), pa.array(high[i, j])], names=["query_id", "page_ord", "low", "high"])
@@ -154,10 +165,10 @@ class MultiVectorIndex:
         return np.array([rows.get(i, (-np.inf, 0.0))[0] for i in range(len(self.centroids()))]), max((s for _, s in rows.values()), default=0.0)
 
     def _blocks(self, tokens: DataFrame, probes: int) -> Iterator[_Tokens]:
-        """Tokens in blocks of search.BLOCK_BYTES, those of a query together."""
+        """Tokens in blocks of TOKEN_BYTES, those of a query together."""
         centroids, (radius, _) = self.centroids(), self._radii()
         asked = tokens.select(F.col("query_id").cast("long").alias("query_id"), F.col("token").cast("int").alias("token"), F.col("vec").cast("array<double>").alias("vec"))
-        blocks = -(-(asked.agg(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0) // search.BLOCK_BYTES)
+        blocks = -(-(asked.agg(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0) // TOKEN_BYTES)
         for b in range(blocks):
             if rows := (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect():
                 yield _Tokens(rows, centroids, radius, probes)
@@ -174,8 +185,8 @@ class MultiVectorIndex:
         book, (_, longest), n = self.codebook(), self._radii(), len(self.centroids())
         found, facts = self.spark.createDataFrame([], "query_id long, page_ord long, token int, low double, high double"), []
         for some in self._blocks(tokens, probes):
-            wanted = np.flatnonzero(some.wants.any(axis=0))
-            lists = self._lists() if len(wanted) == n else self._lists().where(F.col("cell").isin(wanted.tolist()))
+            wanted = sorted(some.asked)
+            lists = self._lists() if len(wanted) == n else self._lists().where(F.col("cell").isin(wanted))
             found = found.unionByName(lists.select("page_ord", "code", "err", "cell").mapInArrow(_bounds(some, book), found.schema))
             facts += some.rows()
         facts = self.spark.createDataFrame(facts, "query_id long, token int, rest double, norm double")

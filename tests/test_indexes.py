@@ -1,11 +1,13 @@
 """Search over blocks of queries, cells, codes, inverted lists: each against exact search, with what it reads."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions.vectors import unit
-from folioscan.operators import codes, search, text
+from folioscan.operators import codes, multivector, search, text
 from folioscan.operators.codes import CodeIndex
 from folioscan.operators.ivf import IvfIndex
 from folioscan.operators.keyword_index import KeywordIndex
@@ -152,6 +154,28 @@ def test_inverted_lists_give_exact_late_interaction(spark, tmp_path, spread, pro
     assert kept.count() < 0.3 * 6 * pages
 
 
+def test_late_interaction_in_blocks_of_tokens(spark, tmp_path, monkeypatch):
+    """Blocks of two queries, products of few rows: the same pages."""
+    monkeypatch.setattr(multivector, "TOKEN_BYTES", 1024)
+    monkeypatch.setattr(multivector, "PATCHES_AT_ONCE", 7)
+    monkeypatch.setattr(multivector, "TOKENS_AT_ONCE", 5)
+    v, _ = _vectors(spark, 300, spread=1.0)
+    patches = spark.createDataFrame([(i // 6, x.tolist()) for i, x in enumerate(v)], "page_ord long, vec array<float>")
+    tokens = spark.createDataFrame([(q, t, v[(q * 37 + t) % 300].tolist()) for q in range(5) for t in range(4)], "query_id long, token int, vec array<float>")
+    index = MultiVectorIndex.build(patches, str(tmp_path / "mv"), cells=8)
+    assert len(list(index._blocks(tokens, 1))) > 1
+    want = _rows(search.best(search.max_sim(patches, tokens), 10, "score"))
+    assert [r[:3] for r in _rows(index.search(tokens, 10, 1))] == [r[:3] for r in want]
+
+
+def test_tasks_get_no_table_of_tokens_by_lists():
+    r = np.random.default_rng(1)
+    rows = [(i // 10, i % 10, x) for i, x in enumerate(r.normal(size=(2000, 8)))]
+    tokens = multivector._Tokens(rows, r.normal(size=(1500, 8)), np.full(1500, 0.1), 2)
+    assert len(pickle.dumps(tokens)) < 6 * tokens.matrix.nbytes  # 128,000; the table would be 3,000,000
+    assert all(len(tokens.asked[c]) for c in tokens.asked) and max(tokens.asked) < 1500
+
+
 def test_inverted_lists_of_the_given_vectors_read_few_pages(spark, tmp_path):
     d = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     patches = d.select(F.floor(F.col("vec_id") / 10).alias("page_ord"), F.col("embedding").alias("vec"))
