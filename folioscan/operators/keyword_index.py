@@ -7,8 +7,12 @@ dealt to folders by hash, and a search lists the folders of its tokens only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,44 @@ ZONE = 32
 BUCKETS = 16
 #: Sums of shares are compared with so much room.
 SLACK = 1e-6
+POSTINGS = "postings array<struct<at:int,tf:int,size:int>>"
+
+
+def _zoned(width: int, mean: float):
+    """Batches (page_ord, tokens) in order of page_ord to (t, zone, postings, most, n), a row for each token of a zone."""
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        pages, lists = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+        size, doc = pc.list_value_length(lists).to_numpy(), pc.list_parent_indices(lists).to_numpy()
+        coded = pc.list_flatten(lists).dictionary_encode()
+        zones, place = np.unique(pages // width, return_inverse=True)
+        words = len(coded.dictionary)
+        # ordered by zone, token and text at once
+        keys, tf = np.unique((place[doc] * words + coded.indices.to_numpy()) * len(pages) + doc, return_counts=True)
+        block, doc = np.divmod(keys, len(pages))
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).astype(np.int32)
+        zone, word = np.divmod(block[cuts[:-1]], max(1, words))
+        postings = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (pages[doc] % width, tf, size[doc])], names=["at", "tf", "size"])
+        share = text.impact(tf, size[doc], mean)
+        most = np.maximum.reduceat(share, cuts[:-1]) if len(block) else share
+        columns = [coded.dictionary.take(pa.array(word)), pa.array(zones[zone]), pa.ListArray.from_arrays(pa.array(cuts), postings), pa.array(most), pa.array(np.diff(cuts))]
+        return pa.RecordBatch.from_arrays(columns, names=["t", "zone", "postings", "most", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the texts of a zone that isn't over yet
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = pa.Table.from_batches([batch.slice(at, 512)])
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                zones = rows.column(0).to_numpy() // width
+                last = int(np.searchsorted(zones, zones[-1]))
+                held = rows.slice(last)
+                if last:
+                    yield made(rows.slice(0, last))
+        if held is not None:
+            yield made(held)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -32,20 +74,18 @@ class KeywordIndex:
         texts = docs.select(F.col(key).cast("long").alias("page_ord"), F.col(column).alias("text"))
         facts = texts.agg(F.count("*").alias("docs"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean"), F.lit(zone).cast("long").alias("zone"), F.lit(buckets).cast("long").alias("buckets"))
         facts.write.mode("overwrite").parquet(f"{path}/facts")
-        mean = F.lit(docs.sparkSession.read.parquet(f"{path}/facts").first()["mean"] or 1.0)
-        # dealt once: by folder and a share of the zones, so that a frequent token's postings aren't one task's
-        rows = text.counted(texts, "page_ord", "text").where("t is not null").withColumn("zone", F.floor(F.col("page_ord") / zone))
-        rows = rows.select("t", "zone", (F.col("page_ord") - F.col("zone") * zone).cast("int").alias("at"), F.col("tf").cast("int").alias("tf"), "size", F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int").alias("bucket"))
-        rows = rows.withColumn("share", F.pmod(F.xxhash64("zone"), F.lit(16))).repartition("bucket", "share")
-        most = F.max(text.impact(F.col("tf"), F.col("size"), mean))
-        blocks = rows.groupBy("bucket", "share", "t", "zone").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "size"))).alias("postings"), most.alias("most"), F.count("*").cast("int").alias("n")).drop("share")
+        mean = docs.sparkSession.read.parquet(f"{path}/facts").first()["mean"] or 1.0
+        # texts are dealt once, by zone, so that a task makes whole blocks and a frequent token's postings aren't one task's
+        dealt = texts.repartition(F.xxhash64(F.floor(F.col("page_ord") / zone))).sortWithinPartitions("page_ord")
+        blocks = dealt.select("page_ord", text.tokens(F.col("text")).alias("ts")).mapInArrow(_zoned(zone, mean), f"t string, zone long, {POSTINGS}, most double, n int")
+        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int"))
         blocks.sortWithinPartitions("bucket", "t", "zone").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         index = KeywordIndex(docs.sparkSession, path)
         index.blocks().groupBy("t").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         return index
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("t string, zone long, postings array<struct<at:int,tf:int,size:int>>, most double, n int, bucket int").parquet(f"{self.path}/blocks")
+        return self.spark.read.schema(f"t string, zone long, {POSTINGS}, most double, n int, bucket int").parquet(f"{self.path}/blocks")
 
     def _asked(self, queries: DataFrame, column: str) -> DataFrame:
         """(query_id, t, idf, bucket)"""

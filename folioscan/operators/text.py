@@ -60,8 +60,8 @@ def idf(docs: Column, df: Column) -> Column:
     return F.log(1 + (docs - df + 0.5) / (df + 0.5))
 
 
-def impact(tf: Column, size: Column, mean: Column, k1: float = 1.2, b: float = 0.75) -> Column:
-    """A token's share of BM25 before its idf."""
+def impact(tf, size, mean, k1: float = 1.2, b: float = 0.75):
+    """A token's share of BM25 before its idf, of columns or arrays."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
 
 

@@ -201,6 +201,25 @@ def test_keyword_index_skips_postings(spark, tmp_path):
         index.search(asked, 0)
 
 
+def test_keyword_index_deals_texts_not_postings(spark, tmp_path, monkeypatch):
+    """Texts in no order, zones over several batches, negative keys: blocks are as counted one by one, and rows that are dealt out are texts."""
+    rows = [(i - 40, f"a b{i % 3} " * (i % 4) + "c" * (i % 7 == 0)) for i in range(1300)]
+    docs = spark.createDataFrame(rows, "page_ord long, text string").repartition(5)
+    dealt, plain = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *a: dealt.append(self.columns) or plain(self, *a))
+    index = KeywordIndex.build(docs, str(tmp_path / "k"), zone=16)
+    assert dealt == [["page_ord", "text"]]
+    want = {}
+    for page, body in rows:
+        words = body.split()
+        for t in sorted(set(words)):
+            want.setdefault((t, page // 16), []).append((page % 16, words.count(t), len(words)))
+    got = {(r["t"], r["zone"]): ([tuple(p) for p in r["postings"]], r["n"], r["most"]) for r in index.blocks().collect()}
+    assert {k: v[0] for k, v in got.items()} == want and all(v[1] == len(v[0]) for v in got.values())
+    mean = sum(len(b.split()) for _, b in rows) / len(rows)
+    assert all(abs(most - max(text.impact(tf, size, mean) for _, tf, size in posted)) < 1e-9 for posted, _, most in got.values())
+
+
 def test_keyword_index_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, None)], "page_ord long, text string")
     index = KeywordIndex.build(docs, str(tmp_path / "k"))
