@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 DIM = 64
+#: Tokens whose hashes a task keeps.
+KNOWN = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -33,27 +36,57 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(size[i].astype(np.int32)), t.cast(pa.string()), pa.array(tf)], names=[part.schema.names[0], "size", "t", "tf"])
 
 
+def _counts_and_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_counts() and a row without t for every text that has tokens too."""
+    for batch in batches:
+        yield from _counts(iter([batch]))
+        size = pc.list_value_length(batch.column(1))
+        some = pc.greater(size, 0)
+        key, size = batch.column(0).filter(some), size.filter(some)
+        yield pa.RecordBatch.from_arrays([key, size, pa.nulls(len(key), pa.string()), pa.array(np.ones(len(key), np.int64))], names=[batch.schema.names[0], "size", "t", "tf"])
+
+
 def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, size, t, tf): how often each token occurs in a text of size tokens; a text without tokens is one row without t. Texts are counted where they are read."""
     found = rows.select(key, tokens(F.col(text)).alias("ts"))
     return found.mapInArrow(_counts, StructType([found.schema[0], StructField("size", IntegerType()), StructField("t", StringType()), StructField("tf", LongType())]))
 
 
-def encode_counted(counts: DataFrame, key: str) -> DataFrame:
-    """(key, unit_vec) of counted texts: signed counts of hashed tokens, the offline encoder. A text without tokens gives the zero vector."""
-    code = F.conv(F.substring("h", 1, 7), 16, 10).cast("long")
-    sign = F.when(F.conv(F.substring("h", 8, 1), 16, 10).cast("long") < 8, 1).otherwise(-1)
-    hashed = counts.select(key, "tf", F.md5("t").alias("h")).select(key, (code % DIM).cast("int").alias("dim"), F.coalesce(sign * F.col("tf"), F.lit(0)).alias("n"))
-    found = hashed.groupBy(key, "dim").agg(F.sum("n").cast("double").alias("n")).groupBy(key)
-    found = found.agg(F.map_from_entries(F.filter(F.collect_list(F.struct("dim", "n")), lambda s: s["dim"].isNotNull())).alias("m"))
-    full = found.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return full.select(key, F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("unit_vec"))
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, tokens) to (key, unit_vec)."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            coded = pc.list_flatten(part.column(1)).dictionary_encode()
+            if len(known) > KNOWN:
+                known.clear()
+            words = coded.dictionary.to_pylist()
+            for t in words:
+                if t not in known:
+                    h = hashlib.md5(t.encode()).digest()
+                    known[t] = (int.from_bytes(h[:4], "big") >> 4) % DIM * 2 + ((h[3] & 15) < 8)
+            code = np.array([known[t] for t in words], np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+            doc = pc.list_parent_indices(part.column(1)).to_numpy()
+            sums = np.bincount(doc * (2 * DIM) + code, minlength=part.num_rows * 2 * DIM).reshape(part.num_rows, DIM, 2)
+            v = (sums[:, :, 1] - sums[:, :, 0]).astype(np.float64)
+            norm = np.sqrt((v * v).sum(axis=1))
+            v /= np.where(norm > 0, norm, 1.0)[:, None]
+            offsets = pa.array(np.arange(0, v.size + 1, DIM, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], names=[part.schema.names[0], "unit_vec"])
 
 
 def encode(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, unit_vec) of every row."""
-    return encode_counted(counted(rows, key, text), key)
+    """(key, unit_vec) of every row: signed counts of hashed tokens, the offline encoder. A text without tokens gives the zero vector. Nothing is shuffled."""
+    found = rows.select(key, tokens(F.col(text)).alias("ts"))
+    return found.mapInArrow(_encoded, StructType([found.schema[0], StructField("unit_vec", ArrayType(DoubleType()))]))
+
+
+def counted_for(rows: DataFrame, key: str, text: str, queries: DataFrame, query_text: str) -> DataFrame:
+    """counted() without the tokens that no query has, but with a row for each text: one without t, which gives its size."""
+    found = rows.select(key, tokens(F.col(text)).alias("ts"))
+    counts = found.mapInArrow(_counts_and_sizes, StructType([found.schema[0], StructField("size", IntegerType()), StructField("t", StringType()), StructField("tf", LongType())]))
+    return counts.join(asked_terms(queries, query_text).select("t", F.lit(True).alias("asked")).distinct(), "t", "left").where("asked or t is null").select(key, "size", "t", "tf")
 
 
 def idf(docs: Column, df: Column) -> Column:

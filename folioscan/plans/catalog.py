@@ -194,9 +194,9 @@ def r3_rerank(spark, d):
 def r4_hybrid_rrf(spark, d):
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("page_ord"), "text")
     asked = _read(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
-    counts = Scratch(spark, "counts").table(text.counted(docs, "page_ord", "text"), "counts")
+    counts = Scratch(spark, "counts").table(text.counted_for(docs, "page_ord", "text", asked, "text"), "counts")
     words = text.ranked(text.keyword_scores(counts, asked, "page_ord", "text"), "page_ord", "score", 20)
-    dense = search.top_k(text.encode_counted(counts, "page_ord"), text.encode(asked, "query_id", "text"), 20)
+    dense = search.top_k(text.encode(docs, "page_ord", "text"), text.encode(asked, "query_id", "text"), 20)
     return text.ranked(text.fuse(dense, words, "page_ord"), "page_ord", "score", 10).select("query_id", "rank", "page_ord", F.round("score", 9).alias("score"))
 
 

@@ -1,6 +1,8 @@
 """Search over blocks of queries, cells, codes, inverted lists: each against exact search, with what it reads."""
 
+import hashlib
 import pickle
+import re
 
 import numpy as np
 import pytest
@@ -224,3 +226,25 @@ def test_keyword_index_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, None)], "page_ord long, text string")
     index = KeywordIndex.build(docs, str(tmp_path / "k"))
     assert index.search(spark.createDataFrame([(0, "a")], "query_id long, text string"), 3).count() == 0
+
+
+def test_texts_are_encoded_where_they_are_read(spark, monkeypatch):
+    """No exchange, hashes that are forgotten in between, null and empty texts; of counted tokens only those asked for are held, and every text's size."""
+    monkeypatch.setattr(text, "KNOWN", 3)
+    rows = [(i, f"Alpha beta beta w{i % 9} Ñandú 7 " * (i % 3)) for i in range(700)] + [(900, None), (901, "!?")]
+    docs = spark.createDataFrame(rows, "page_ord long, text string").repartition(3)
+    found = text.encode(docs, "page_ord", "text")
+    assert "Exchange" not in text.encode(spark.createDataFrame(rows, "page_ord long, text string"), "page_ord", "text")._jdf.queryExecution().executedPlan().toString()
+    got = {r["page_ord"]: np.array(r["unit_vec"]) for r in found.collect()}
+    assert sorted(got) == sorted(p for p, _ in rows)
+    for page, body in rows:
+        v = np.zeros(64)
+        for t in re.findall(r"\w+", (body or "").lower()):
+            h = hashlib.md5(t.encode()).hexdigest()
+            v[int(h[:7], 16) % 64] += 1 if int(h[7], 16) < 8 else -1
+        assert np.allclose(got[page], v / (np.linalg.norm(v) or 1), atol=1e-12)
+    asked = spark.createDataFrame([(0, "beta w4 w4"), (1, None), (2, "BETA nothing")], "query_id long, text string")
+    some, every = text.counted_for(docs, "page_ord", "text", asked, "text"), text.counted(docs, "page_ord", "text")
+    assert {r["t"] for r in some.select("t").distinct().collect()} == {"beta", "w4", None} and some.where("t is null").count() == 702
+    assert _rows(text.keyword_scores(some, asked, "page_ord", "text")) == _rows(text.keyword_scores(every, asked, "page_ord", "text"))
+    assert text.facts(some, "page_ord").first() == text.facts(every, "page_ord").first()
