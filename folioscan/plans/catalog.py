@@ -222,7 +222,7 @@ def r4_keyword_topk(spark, d):
     """BM25's 20 best documents of each benchmark item, from the stored inverted index."""
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("page_ord"), "text")
     index = KeywordIndex.build(docs, Scratch(spark, "keywords").path("index"))
-    return index.search(_read(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text"), 20)
+    return index.search(_read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 20)
 
 
 def asof_sales_changes(spark, d):
@@ -267,6 +267,7 @@ def _encoded(name: str, table: str, key: str) -> str:
 , {name} AS (SELECT k, CASE WHEN list_inner_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) ELSE v END AS u FROM {name}_v)"""
 
 
+_ITEMS = "items AS (SELECT item_id AS qid, text FROM benchmark)"
 _ASKED = "items AS (SELECT item_id AS qid, text FROM benchmark WHERE item_id % 100 = 0)"
 _TEXT = f"WITH {_ASKED}, {_encoded('dv', 'documents', 'doc_id')}, {_encoded('qv', 'items', 'qid')}, s AS (SELECT qv.k AS query_id, dv.k AS page_ord, list_inner_product(dv.u, qv.u) AS s FROM dv, qv), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, page_ord) AS r FROM s)"
 _KEYWORDS = """sz AS (SELECT doc_id AS page_ord, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS size FROM documents)
@@ -314,7 +315,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(score, 9) AS score
     "r2_multivector_topk": f"WITH {_MAXSIM}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_ord) AS r FROM late) SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(score, 6) AS score FROM top WHERE r <= 10",
     "ann_ivf_topk": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(s, 6) AS similarity FROM top WHERE r <= 10",
     "pq_topk": f"{_SCORED} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, round(s, 6) AS similarity FROM top WHERE r <= 10",
-    "r4_keyword_topk": f"{_TEXT}, {_KEYWORDS} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, score FROM kr WHERE r <= 20",
+    "r4_keyword_topk": f"{_TEXT.replace(_ASKED, _ITEMS)}, {_KEYWORDS} SELECT query_id, CAST(r AS INTEGER) AS rank, page_ord, score FROM kr WHERE r <= 20",
     "asof_sales_changes": "WITH c AS (SELECT client_id, valid_at, max(change_id) AS change_id, arg_max(segment, change_id) AS segment FROM (SELECT client_id, valid_at, change_id, struct_pack(s := segment) AS segment FROM client_changes) GROUP BY ALL) SELECT s.sale_id, s.client_id, c.change_id, c.segment.s AS segment FROM sales s ASOF LEFT JOIN c ON s.client_id = c.client_id AND s.sold_at >= c.valid_at",
     "overlap_sales_changes": "SELECT sale_id, change_id FROM sales s JOIN client_changes c ON s.client_id = c.client_id AND sold_at <= arrived_at AND sold_at <= valid_at + INTERVAL 1 HOUR AND valid_at <= arrived_at",
     "r5_chunks": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - 200) / 150.0) AS BIGINT) + 1))) AS chunk FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(w[chunk * 150 + 1 : chunk * 150 + 200]) AS INTEGER) AS n_words, md5(array_to_string(w[chunk * 150 + 1 : chunk * 150 + 200], ' ')) AS chunk_md5 FROM c",

@@ -38,3 +38,10 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_keyword_topk_asks_every_benchmark_item(spark, con):
+    """Each item of benchmark that shares a token with a document, not those of some ids alone, in the query and in its SQL."""
+    items = {r["item_id"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id").collect()}
+    assert len(items) > 1 and {r["query_id"] for r in QUERIES["r4_keyword_topk"](spark, DATA).collect()} == items
+    assert {r[0] for r in con.sql(f"select query_id from ({SQL['r4_keyword_topk']})").fetchall()} == items

@@ -5,11 +5,14 @@ import pickle
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from folioscan.functions.vectors import unit
-from folioscan.operators import codes, multivector, search, text
+from folioscan.operators import codes, keyword_index, multivector, search, text
 from folioscan.operators.codes import CodeIndex
 from folioscan.operators.ivf import IvfIndex
 from folioscan.operators.keyword_index import KeywordIndex
@@ -228,6 +231,49 @@ def test_keyword_index_of_nothing(spark, tmp_path):
     assert index.search(spark.createDataFrame([(0, "a")], "query_id long, text string"), 3).count() == 0
 
 
+def test_keyword_index_takes_queries_in_blocks(spark, tmp_path, monkeypatch):
+    """Many queries in blocks, zones that don't travel, rows of one id, an id that is null and equal texts: scores as counted one by one."""
+    monkeypatch.setattr(keyword_index, "PAIRS", 9)
+    monkeypatch.setattr(keyword_index, "QUERIES", 4)
+    monkeypatch.setattr(keyword_index, "ZONES", 0)
+    rows = [(i - 40, f"a b{i % 3} " * (i % 4) + f"c{i % 50} " * (i % 7 == 0) + "d" * (i % 2)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "page_ord long, text string").repartition(5)
+    texts = [(q, f"A b{q % 4} c{q % 60} absent") for q in range(11)] + [(None, "a c7"), (20, "b1"), (20, "b1 d"), (21, None)]
+    index = KeywordIndex.build(docs, str(tmp_path / "k"), zone=16)
+    asked = spark.createDataFrame(texts, "query_id long, text string")
+    assert len(list(index._asked(asked, "text"))) > 1
+    one_by_one = spark.createDataFrame([(-1 if q is None else q, body) for q, body in texts if body != "b1"], "query_id long, text string")
+    want = text.ranked(text.keyword_scores(text.counted(docs, "page_ord", "text"), one_by_one, "page_ord", "text"), "page_ord", "score", 8)
+    got = index.search(asked, 8).collect()
+    assert sorted((-1 if q is None else q, *rest) for q, *rest in got) == _rows(want.select("query_id", "rank", "page_ord", "score"))
+    assert len(got) == 13 * 8
+
+
+@pytest.mark.parametrize(("cells", "size"), [(1 << 21, 1000), (300, 7), (1, 1)])
+def test_keyword_scores_of_zones_over_batches(monkeypatch, cells, size):
+    monkeypatch.setattr(keyword_index, "CELLS", cells)
+    r = np.random.default_rng(3)
+    asked = keyword_index._Asked([Row(query_id=q, t=f"t{t}", idf=1.0 + t / 8, bucket=t) for q in range(6) for t in range(q, 20, q + 1)], LongType())
+    rows, scores = [], {}
+    for zone in [-1, 0, 4, 5, 6, 9]:
+        for t in r.permutation(list(asked.words))[: 3 * zone + 4]:
+            posted = [(int(at), int(r.integers(1, 5)), 9) for at in np.flatnonzero(r.random(4) < 0.6)] or [(2, 1, 9)]
+            share = [text.impact(tf, n, 8.0) for _, tf, n in posted]
+            rows.append((asked.words[t], zone, max(share), *map(list, zip(*posted, strict=True))))
+            for q in range(6):
+                for at, own in zip(posted, share, strict=True):
+                    if int(t[1:]) in range(q, 20, q + 1):
+                        scores[q, zone * 4 + at[0]] = scores.get((q, zone * 4 + at[0]), 0) + own * (1 + int(t[1:]) / 8)
+    kinds = [pa.int32(), pa.int64(), pa.float64(), *[pa.list_(pa.int32())] * 3]
+    whole = pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["word", "zone", "most", "at", "tf", "size"])
+    found = pa.Table.from_batches(keyword_index._best(asked, 3, 4, 8.0, np.full(6, -np.inf), asked.ids)(iter(whole.to_batches(size)))).to_pylist()
+    want = [sorted(((q, p, round(s, 9)) for (q, p), s in scores.items() if q == n), key=lambda x: (-x[2], x[1]))[:3] for n in range(6)]
+    assert sorted((x["query_id"], x["page_ord"], x["score"]) for x in found) == sorted(x for some in want for x in some)
+    most = pa.Table.from_batches(keyword_index._bounds(asked)(iter(whole.select(["word", "zone", "most"]).to_batches(size)))).to_pylist()
+    bound = {(x["query"], x["zone"]): x["most"] for x in most}
+    assert len(bound) == len(most) and all(s <= bound[q, p // 4] + 1e-9 for (q, p), s in scores.items())
+
+
 def test_texts_are_encoded_where_they_are_read(spark, monkeypatch):
     """No exchange, hashes that are forgotten in between, null and empty texts; of counted tokens only those asked for are held, and every text's size."""
     monkeypatch.setattr(text, "KNOWN", 3)
